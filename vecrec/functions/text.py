@@ -66,7 +66,7 @@ def number_or(c: Column, default: float, kind: str = "double") -> Column:
 
 def term_list(c: Column) -> Column:
     """``|``-separated list -> trimmed non-empty terms."""
-    return F.filter(F.transform(F.split(clean(c), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(clean(c), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def squeeze(c: Column) -> Column:
@@ -171,7 +171,8 @@ def head_text(html: Column, n: int = HEAD_CHARS) -> Column:
 
 
 def any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
-    return c.rlike("(?i)(?:" + ")|(?:".join(patterns) + ")")
+    # (?U): word boundaries and spaces in the Unicode sense on every JVM
+    return c.rlike("(?iU)(?:" + ")|(?:".join(patterns) + ")")
 
 
 def page_flags(head: Column) -> dict[str, Column]:
@@ -192,7 +193,7 @@ def pattern_vote(c: Column, classes: dict[str, tuple[str, ...]]) -> Column:
     """Label whose patterns hit most; '' unless it strictly leads."""
     scores = F.array_sort(
         F.array(*[
-            F.struct((-sum((c.rlike(f"(?i){p}").cast("int") for p in pats), F.lit(0))).alias("s"), F.lit(label).alias("label"))
+            F.struct((-sum((c.rlike(f"(?iU){p}").cast("int") for p in pats), F.lit(0))).alias("s"), F.lit(label).alias("label"))
             for label, pats in classes.items()
         ])
     )
@@ -207,7 +208,7 @@ def field_pairs(html: Column, pair_pattern: str, only_pattern: str, max_len: int
     a page's own fields never need a shuffle.
     """
     def build(names: Column, local: Column) -> Column:
-        zipped = F.zip_with(F.transform(names, F.trim), F.transform(local, F.trim), lambda n, k: F.struct(n.alias("name"), k.alias("local")))
+        zipped = F.zip_with(F.transform(names, lambda x: F.trim(x)), F.transform(local, lambda x: F.trim(x)), lambda n, k: F.struct(n.alias("name"), k.alias("local")))
         fits = F.filter(zipped, lambda p: (p["name"] != "") & (F.length(p["name"]) <= max_len))
         seen = F.transform(fits, lambda p: p["name"])
         return F.filter(fits, lambda p, i: F.array_position(seen, p["name"]) == i + 1)
@@ -233,7 +234,7 @@ def before_stop(c: Column, stop: str) -> Column:
 
 def script_segment(raw: Column, run: str = HANGUL_RUN, drop: str = KANA) -> Column:
     """Of ``a / b`` keep the part with most runs of one script (first wins), then drop another script."""
-    parts = F.transform(F.split(raw, "/"), F.trim)
+    parts = F.transform(F.split(raw, "/"), lambda x: F.trim(x))
     scored = F.transform(parts, lambda p, i: F.struct(F.size(F.regexp_extract_all(p, F.lit(run), F.lit(0))).alias("n"), (-i).alias("i"), p.alias("p")))
     picked = F.when(F.contains(raw, F.lit("/")), F.array_max(scored)["p"]).otherwise(raw)
     return F.trim(F.regexp_replace(picked, drop, ""))
@@ -385,7 +386,7 @@ def section_between(c: Column, start: str, stop: str | None) -> Column:
 
 def year_list(section: Column, year: str = r"20\d\d", stop_markers: tuple[str, ...] = STOP_MARKERS, skip: tuple[str, ...] = SKIP_NAMES) -> Column:
     """``YYYY a , b [marker] , c YYYY ...`` -> array of (year, name), stopped and skipped items dropped."""
-    blocks = F.transform(F.split(section, rf"\s(?=(?:{year})\s)"), F.trim)
+    blocks = F.transform(F.split(section, rf"\s(?=(?:{year})\s)"), lambda x: F.trim(x))
     dated = F.filter(blocks, lambda b: b.rlike(rf"^{year}\s+.+$"))
 
     def items(block: Column) -> Column:
