@@ -23,7 +23,7 @@ def duck(sf: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "item") and getattr(v, "ndim", 0) == 0:
         v = v.item()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("vectors", "evaluation", "grouping", "texts")
+MODULES = ("vectors", "evaluation", "grouping", "texts", "maintenance")
 
 
 def registered():

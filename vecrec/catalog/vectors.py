@@ -222,10 +222,10 @@ open AS (
                            WHERE r.request_id = f.request_id)
     AND image_count >= 5 AND confidence >= 0.02
     AND (allowed.segment IS NULL OR f.segment = '' OR f.segment = allowed.segment)),
-deduped AS (SELECT * FROM open QUALIFY row_number() OVER (PARTITION BY request_id, alias_id ORDER BY score DESC, ord) = 1),
-pool AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ord) <= 50),
-capped AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY request_id, group_name ORDER BY score DESC, ord) <= 2)
-SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ord) AS rank, entity_id, group_name, segment,
+deduped AS (SELECT * FROM open QUALIFY row_number() OVER (PARTITION BY request_id, alias_id ORDER BY round(score, 9) DESC, ord) = 1),
+pool AS (SELECT * FROM deduped QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, ord) <= 50),
+capped AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY request_id, group_name ORDER BY round(score, 9) DESC, ord) <= 2)
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, ord) AS rank, entity_id, group_name, segment,
        image_count, round(score, 6) AS score, round(za, 6) AS score_0, round(zb, 6) AS score_1
 FROM capped QUALIFY rank <= 10"""
 

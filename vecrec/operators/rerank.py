@@ -12,8 +12,11 @@ from vecrec.operators.blocks import matrix
 from vecrec.operators.rank import top_n
 
 
+SCORE_DIGITS = 9  # sums differ in their last bits from run to run; equal scores must stay ties
+
+
 def best_first() -> list[Column]:
-    return [F.col("score").desc(), F.col("ord")]
+    return [F.round("score", SCORE_DIGITS).desc(), F.col("ord")]
 
 
 def dedupe_aliases(rows: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def diversify(pool: DataFrame, vectors: list[tuple[str, int]], lam: float, k: in
     pool = vec.with_unit(pool, "__f", "__fused", width).select("request_id", "entity_id", "group_name", "ord", "score", "__fused")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "ord"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.assign(__s=pdf["score"].round(SCORE_DIGITS)).sort_values(["__s", "ord"], ascending=[False, True]).reset_index(drop=True)
         m, score = matrix(pdf["__fused"]), pdf["score"].to_numpy()
         redundancy = np.zeros(len(pdf))
         open_, used, picks = np.ones(len(pdf), bool), {}, []
@@ -57,7 +60,7 @@ def diversify(pool: DataFrame, vectors: list[tuple[str, int]], lam: float, k: in
                 allowed &= np.array([used.get(g, 0) < cap for g in pdf["group_name"]])
             if not allowed.any():
                 break
-            value = np.where(allowed, lam * score - (1.0 - lam) * redundancy, -np.inf)
+            value = np.where(allowed, np.round(lam * score - (1.0 - lam) * redundancy, SCORE_DIGITS), -np.inf)
             best = int(np.argmax(value))
             sims = m @ m[best]
             redundancy = sims if not picks else np.maximum(redundancy, sims)

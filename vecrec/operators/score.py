@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecrec.functions import vec
 from vecrec.operators.aggregate import mean_direction
 from vecrec.operators.blocks import block_apply, matrix
+from vecrec.operators.rerank import SCORE_DIGITS
+from vecrec.session import cut_lineage
 
 
 def query_vectors(requests: DataFrame, entities: DataFrame, vector: str, dim: int, out: str = "query", strict: bool = False) -> DataFrame:
@@ -59,6 +61,37 @@ def background_stats(entities: DataFrame, queries: DataFrame, vector: str, dim:
     )
 
 
+def _scores(entities: DataFrame, queries: DataFrame, vector: str, dim: int, keep: int | None) -> DataFrame:
+    def cosines(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        s = matrix(right["q"]) @ matrix(left["u"]).T
+        ids = left["entity_id"].to_numpy()
+        if keep is None or len(ids) <= keep:
+            return pd.DataFrame({"request_id": np.repeat(right["request_id"].to_numpy(), len(ids)), "entity_id": np.tile(ids, len(right)), "s": s.ravel()})
+        order = np.argsort(ids, kind="stable")
+        s, ids = s[:, order], ids[order]
+        top = np.argsort(-np.round(s, SCORE_DIGITS), axis=1, kind="stable")[:, :keep]
+        return pd.DataFrame({"request_id": np.repeat(right["request_id"].to_numpy(), keep), "entity_id": ids[top].ravel(), "s": np.take_along_axis(s, top, axis=1).ravel()})
+
+    units = vec.with_unit(entities.where(F.col(vector).isNotNull()), vector, "u", dim).select("entity_id", "u")
+    right = queries.select("request_id", F.col("query").alias("q"))
+    return block_apply(units, right, cosines, "request_id string, entity_id string, s double", "entity_id", "request_id", row_bytes=8 * dim)
+
+
+def best_cosines(entities: DataFrame, queries: DataFrame, vector: str, dim: int, k: int) -> DataFrame:
+    """The k entities closest to each query vector; each block pair hands on at most k rows per request."""
+    found = _scores(entities, queries, vector, dim, k)
+    w = Window.partitionBy("request_id").orderBy(F.round("s", SCORE_DIGITS).desc(), "entity_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def space_zscores(entities: DataFrame, requests: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``(request_id, entity_id, z)`` for every entity of one space: the full score list of a few requests."""
+    queries = cut_lineage(query_vectors(requests, entities, vector, dim))
+    stats = background_stats(entities, queries, vector, dim)
+    rows = _scores(entities, queries, vector, dim, None).join(stats, "request_id")
+    return rows.select("request_id", "entity_id", vec.zscore(F.col("s"), F.col("bg_mean"), F.col("bg_std")).alias("z"))
+
+
 def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float], id_col: str = "entity_id") -> DataFrame:
     """Left-join per-space ``(entity_id, z)`` tables to the primary; a missing space adds 0 while the
     denominator stays the sum of all absolute weights."""
@@ -127,7 +160,8 @@ def score_candidates(
     fields = ["request_id", "entity_id", "alias_id", "ord", "score", *[f"score_{i}" for i in range(n)]]
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.sort_values(["request_id", "score", "ord"], ascending=[True, False, True], kind="stable")
+        best = pdf.assign(__s=pdf["score"].round(SCORE_DIGITS)).sort_values(["request_id", "__s", "ord"], ascending=[True, False, True])
+        best = best.drop(columns="__s")
         if by_alias:
             best = best.drop_duplicates(["request_id", "alias_id"])
         return best.groupby("request_id", sort=False).head(pool)
