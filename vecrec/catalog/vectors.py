@@ -194,9 +194,9 @@ FROM q1, ev GROUP BY 1""",
 )
 def _(spark, sf):
     ev = stored_entity_vectors(spark, sf)
-    queries = score.query_vectors(views.requests(spark, sf), ev, "vector", D1)
-    out = score.background_stats(ev, queries, "vector", D1)
-    return out.select("request_id", "n_background", F.round("bg_mean", 6).alias("bg_mean"), F.round("bg_std", 6).alias("bg_std"))
+    queries = score.query_vectors(views.requests(spark, sf), ev, "vector", D1, "q0")
+    out = score.background_stats(ev, queries, [("vector", D1)])
+    return out.select("request_id", "n_background", F.round("m0", 6).alias("bg_mean"), F.round("s0", 6).alias("bg_std"))
 
 
 SCORED_SQL = f"""{QUERY_SQL},

@@ -68,7 +68,7 @@ def with_unit(df: DataFrame, vec: str, out: str, dim: int | None = None, policy:
     else:
         raise ValueError(f"unknown zero-vector policy: {policy}")
     df = df.withColumn(norm, F.expr(safe))
-    return df.withColumn(out, F.expr(divide_sql(vec, norm, dim))).drop(norm)
+    return df.withColumn(out, F.expr(f"if({vec} is null, null, {divide_sql(vec, norm, dim)})")).drop(norm)
 
 
 def parse_vector(text: Column, mode: str = "null") -> Column:

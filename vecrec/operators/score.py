@@ -30,35 +30,49 @@ def query_vectors(requests: DataFrame, entities: DataFrame, vector: str, dim: in
     )
 
 
-def background_stats(entities: DataFrame, queries: DataFrame, vector: str, dim: int, query: str = "query") -> DataFrame:
-    """Per request: mean and population sigma of the cosine to every entity, in one map-side reduced pass."""
+def background_stats(entities: DataFrame, queries: DataFrame, spaces: list[tuple[str, int]]) -> DataFrame:
+    """Per request: entity count, mean ``m<i>`` and population sigma ``s<i>`` of the cosine to every entity.
+
+    ``queries(request_id, q0, q1, ..)`` may lack a space (null). All spaces share one pass over the entities,
+    and a map task hands on one row per request.
+    """
+    n = len(spaces)
+    sums = [f"{k}{i}" for i in range(n) for k in ("n", "x", "xx")]
 
     def cosines(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = matrix(left["u"]) @ matrix(right["q"]).T
-        return pd.DataFrame({"request_id": right["request_id"], "n": len(left), "s": s.sum(axis=0), "ss": (s * s).sum(axis=0)})
+        out = pd.DataFrame({"request_id": right["request_id"], **{c: 0.0 for c in sums}})
+        for i in range(n):
+            rows, asked = left[f"u{i}"].dropna(), right[f"q{i}"].dropna()
+            if len(rows) and len(asked):
+                c = matrix(rows) @ matrix(asked).T
+                out.loc[asked.index, f"n{i}"] = float(len(rows))
+                out.loc[asked.index, f"x{i}"] = c.sum(axis=0)
+                out.loc[asked.index, f"xx{i}"] = (c * c).sum(axis=0)
+        return out
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.groupby("request_id", as_index=False, sort=False)[["n", "s", "ss"]].sum()
+        return pdf.groupby("request_id", as_index=False, sort=False)[sums].sum()
 
-    units = vec.with_unit(entities.where(F.col(vector).isNotNull()), vector, "u", dim).select("entity_id", "u")
+    units = entities
+    for i, (column, dim) in enumerate(spaces):
+        units = vec.with_unit(units, column, f"u{i}", dim)
     part = block_apply(
-        units,
-        queries.select("request_id", F.col(query).alias("q")),
+        units.select("entity_id", *[f"u{i}" for i in range(n)]),
+        queries.select("request_id", *[f"q{i}" for i in range(n)]),
         cosines,
-        "request_id string, n long, s double, ss double",
+        "request_id string, " + ", ".join(f"{c} double" for c in sums),
         "entity_id",
         "request_id",
-        row_bytes=8 * dim,
+        row_bytes=8 * sum(d for _, d in spaces),
         combine=fold,
     )
-    total = part.groupBy("request_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    mean = F.col("s") / F.col("n")
-    return total.select(
-        "request_id",
-        F.col("n").alias("n_background"),
-        mean.alias("bg_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)).alias("bg_std"),
-    )
+    total = part.groupBy("request_id").agg(*[F.sum(c).alias(c) for c in sums])
+    out = [F.col("request_id"), F.col("n0").cast("bigint").alias("n_background")]
+    for i in range(n):
+        mean = F.try_divide(f"x{i}", f"n{i}")
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(f"xx{i}", f"n{i}") - mean * mean))
+        out += [F.when(F.col(f"n{i}") > 0, mean).alias(f"m{i}"), F.when(F.col(f"n{i}") > 0, spread).alias(f"s{i}")]
+    return total.select(*out)
 
 
 def _scores(entities: DataFrame, queries: DataFrame, vector: str, dim: int, keep: int | None) -> DataFrame:
@@ -87,9 +101,9 @@ def best_cosines(entities: DataFrame, queries: DataFrame, vector: str, dim: int,
 def space_zscores(entities: DataFrame, requests: DataFrame, vector: str, dim: int) -> DataFrame:
     """``(request_id, entity_id, z)`` for every entity of one space: the full score list of a few requests."""
     queries = cut_lineage(query_vectors(requests, entities, vector, dim))
-    stats = background_stats(entities, queries, vector, dim)
+    stats = background_stats(entities, queries.withColumnRenamed("query", "q0"), [(vector, dim)])
     rows = _scores(entities, queries, vector, dim, None).join(stats, "request_id")
-    return rows.select("request_id", "entity_id", vec.zscore(F.col("s"), F.col("bg_mean"), F.col("bg_std")).alias("z"))
+    return rows.select("request_id", "entity_id", vec.zscore(F.col("s"), F.col("m0"), F.col("s0")).alias("z"))
 
 
 def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float], id_col: str = "entity_id") -> DataFrame:
@@ -113,11 +127,13 @@ def request_profiles(
 ) -> DataFrame:
     """One row per request: query vector, background mean and sigma per space, liked ids, liked
     aliases and the allowed segment (``auto`` = majority among the liked, ``off``, or a value)."""
-    liked = requests.select("request_id", "entity_id").distinct().join(entities.select("entity_id", "ord", "segment"), "entity_id", "left")
+    liked = requests.select("request_id", "entity_id").distinct()
     if aliases is not None:
         liked = liked.join(aliases, "entity_id", "left").withColumn("alias_id", F.coalesce("alias_id", "entity_id"))
     else:
         liked = liked.withColumn("alias_id", F.col("entity_id"))
+    # only the liked rows: read once, then everything about the requests comes from this small copy
+    liked = cut_lineage(liked.join(entities.select("entity_id", "ord", "segment", *[c for c, _ in spaces]), "entity_id", "left"))
     profile = liked.groupBy("request_id").agg(
         F.collect_set("entity_id").alias("liked_ids"), F.collect_set("alias_id").alias("liked_aliases")
     )
@@ -133,12 +149,10 @@ def request_profiles(
     else:
         profile = profile.withColumn("allowed", F.lit(None if segment_mode == "off" else segment_mode).cast("string"))
     for i, (column, dim) in enumerate(spaces):
-        queries = query_vectors(requests, entities, column, dim, f"q{i}")
-        stats = background_stats(entities, queries, column, dim, f"q{i}").select(
-            "request_id", F.col("bg_mean").alias(f"m{i}"), F.col("bg_std").alias(f"s{i}")
-        )
-        profile = profile.join(queries, "request_id", "left").join(stats, "request_id", "left")
-    return profile.where(F.coalesce(*[F.col(f"q{i}") for i in range(len(spaces))]).isNotNull())
+        rows = liked.where(F.col(column).isNotNull())
+        profile = profile.join(mean_direction(rows, ["request_id"], column, dim, f"q{i}").drop("n"), "request_id", "left")
+    profile = cut_lineage(profile.where(F.coalesce(*[F.col(f"q{i}") for i in range(len(spaces))]).isNotNull()))
+    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id"))
 
 
 def score_candidates(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ def build_session(app: str = "vecrec", master: str | None = None, shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", os.environ.get("VECREC_DRIVER_MEMORY", "8g"))
     )
     if master:
         builder = builder.master(master)
@@ -43,8 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and later plans start from files."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    The copy survives lost executors, later plans start from a short scan with known size (so joins can
+    be chosen well) and column pruning, and no constraints of the old plan are carried along.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
