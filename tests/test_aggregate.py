@@ -76,7 +76,6 @@ def test_rank_of_a_huge_key_is_exact(spark, skewed):
 def test_median_of_a_huge_key_is_exact(spark, skewed):
     for keys in (["k"], []):
         want = sorted(map(tuple, rank.exact_median(skewed, keys, "x", "m").collect()))
-        assert sorted(map(tuple, rank.exact_median(skewed, keys, "x", "m", hot_rows=50).collect())) == pytest.approx(want) if not keys else True
         got = {tuple(r)[:-1]: tuple(r)[-1] for r in rank.exact_median(skewed, keys, "x", "m", hot_rows=50).collect()}
         assert got == {w[:-1]: pytest.approx(w[-1]) for w in want}
 

@@ -11,7 +11,7 @@ SCHEMA = "entity_id string, group_name string, ord long, image_count long, confi
 
 
 def entities(spark, rows):
-    full = [(e, g, i, o.get("count", 5), o.get("conf", 0.8), o.get("seg", ""), v) for i, (e, g, v, o) in enumerate(rows)]
+    full = [(e, g, i, o.get("count", 5), o.get("conf", 0.8), o.get("seg", ""), [float(x) for x in v]) for i, (e, g, v, o) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -55,7 +55,7 @@ def test_unknown_request_is_empty_and_missing_space_counts_zero(spark):
     second = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "entity_id string, vector array<double>")
     req = spark.createDataFrame([("r", "a")], "request_id string, entity_id string")
     out = {r.entity_id: r for r in recommend(entities(spark, rows), req, [2, 2], secondary=second, weights=[1.0, 1.0], use_confidence=False).collect()}
-    assert np.isnan(out["b"].score_1) or out["b"].score_1 is None
+    assert out["b"].score_1 is None or np.isnan(out["b"].score_1)
     assert out["b"].score == pytest.approx(out["b"].score_0 / 2)
     assert out["c"].score == pytest.approx((out["c"].score_0 + out["c"].score_1) / 2)
     # no liked entity in the second space: it drops out of the denominator

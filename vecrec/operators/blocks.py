@@ -88,6 +88,7 @@ def block_apply(
     right_grid = right.withColumn("__r", F.pmod(F.xxhash64(right_key), F.lit(n_right))).withColumn(
         "__l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_left - 1).cast("bigint")))
     )
+    right_grid = right_grid.select(*[F.col(c).alias(c) for c in right_grid.columns])  # fresh column identities
     return _cogroup(left_grid, right_grid, fn, schema, combine)
 
 
@@ -154,6 +155,8 @@ def self_block_apply(
     right = placed.withColumn("__o", F.explode(back)).withColumn("__r", F.col("__b")).withColumn(
         "__l", F.expr("pmod(__b - __o, __nb)")
     )
+    # fresh column identities: both sides come from one table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def pair(lpdf: Frame, rpdf: Frame) -> Frame:

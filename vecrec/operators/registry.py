@@ -57,36 +57,47 @@ def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
 
     found = tier(1, "target", "form").unionByName(tier(2, "target", "form_last")).unionByName(tier(3, "target_last", "form"))
     exact = found.groupBy("entity_id").agg(F.min("m").alias("m"))
-    # The lists are page-sized: one array per group, scanned inside each remaining registry row.
-    lists = names.where(F.col("form") != "").groupBy("group_name").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "hit"))).alias("list"))
-    open_rows = rows.join(exact.select("entity_id"), "entity_id", "left_anti").where(F.col("target") != "")
-    inside = F.filter("list", lambda e: F.contains(e["form"], F.col("target")) | F.contains(F.col("target"), e["form"]))
-    loose = open_rows.join(lists, "group_name").withColumn("e", F.get(inside, F.lit(0))).where(F.col("e").isNotNull())
-    both = exact.unionByName(loose.select("entity_id", F.struct(F.lit(4).alias("tier"), F.col("e.hit").alias("hit")).alias("m")))
+    # Substring tier as equi-joins: x contains y exactly when y is among the substrings of x. Names are
+    # short, so their substrings are few; groups of any size stay spread over their forms.
+    forms = names.where(F.col("form") != "").groupBy("group_name", "form").agg(F.min("hit").alias("hit"))
+    open_rows = rows.join(exact.select("entity_id"), "entity_id", "left_anti").where(F.col("target") != "").select("entity_id", "group_name", "target")
+    in_target = open_rows.select("entity_id", "group_name", F.explode(substrings("target")).alias("form")).join(forms, ["group_name", "form"])
+    targets = open_rows.select("group_name", "target").distinct()
+    in_form = (
+        forms.select("group_name", "hit", F.explode(substrings("form")).alias("target"))
+        .join(targets, ["group_name", "target"], "left_semi")
+        .groupBy("group_name", "target").agg(F.min("hit").alias("hit"))
+        .join(open_rows, ["group_name", "target"])
+    )
+    loose = in_target.select("entity_id", "hit").unionByName(in_form.select("entity_id", "hit")).groupBy("entity_id").agg(F.min("hit").alias("hit"))
+    both = exact.unionByName(loose.select("entity_id", F.struct(F.lit(4).alias("tier"), "hit").alias("m")))
     return rows.join(both, "entity_id").select(
         *registry.columns, F.col("m.tier").alias("tier"), F.col("m.hit.name").alias("new_name"), F.col("m.hit.local").alias("new_local")
     )
 
 
+def substrings(column: str) -> Column:
+    return F.expr(
+        f"array_distinct(flatten(transform(sequence(1, length({column})), i -> transform(sequence(1, length({column}) - i + 1), n -> substring({column}, i, n)))))"
+    )
+
+
+def prefixes(column: str) -> Column:
+    return F.expr(f"transform(sequence(1, length({column})), n -> substring({column}, 1, n))")
+
+
 def match_prefix(registry: DataFrame, listed: DataFrame) -> DataFrame:
     """Variant with two tiers: equal alphanumeric form, else one is a prefix of the other."""
     rows = registry.withColumn("target", text.alnum_form(F.col("entity_name"))).where(F.col("target") != "")
     names = listed.withColumn("form", text.alnum_form(F.col("name"))).where(F.col("form") != "")
-    lists = names.groupBy("group_name").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "url"))).alias("list"))
-    scored = F.transform(
-        "list",
-        lambda e: F.struct(
-            F.when(e["form"] == F.col("target"), 1)
-            .when(F.startswith(e["form"], F.col("target")) | F.startswith(F.col("target"), e["form"]), 2)
-            .alias("tier"),
-            e["pos"].alias("pos"),
-            e["url"].alias("url"),
-        ),
-    )
-    best = F.array_min(F.filter(scored, lambda e: e["tier"].isNotNull()))
-    return rows.join(lists, "group_name").withColumn("b", best).where(F.col("b").isNotNull()).select(
-        *registry.columns, F.col("b.tier").alias("tier"), F.col("b.url").alias("url")
-    )
+    forms = names.groupBy("group_name", "form").agg(F.min(F.struct("pos", "url")).alias("hit"))
+    begun = forms.select("group_name", "form", "hit", F.explode(prefixes("form")).alias("target"))
+    begun = begun.groupBy("group_name", "target").agg(F.min(F.struct(F.when(F.col("form") == F.col("target"), 1).otherwise(2).alias("tier"), "hit")).alias("m"))
+    longer = rows.select("entity_id", "group_name", "target", F.explode(prefixes("target")).alias("form")).join(forms, ["group_name", "form"])
+    tier = F.when(F.col("form") == F.col("target"), 1).otherwise(2).alias("tier")
+    found = rows.join(begun, ["group_name", "target"]).select("entity_id", "m").unionByName(longer.select("entity_id", F.struct(tier, "hit").alias("m")))
+    best = found.groupBy("entity_id").agg(F.min("m").alias("m"))
+    return rows.join(best, "entity_id").select(*registry.columns, F.col("m.tier").alias("tier"), F.col("m.hit.url").alias("url"))
 
 
 def first_existing_page(groups: DataFrame, pages: DataFrame, name: str, key: str, marker: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecrec.functions import vec
 from vecrec.operators.aggregate import mean_direction
 from vecrec.operators.blocks import block_apply, matrix
+from vecrec.operators.rank import has_hot_group
 from vecrec.operators.rerank import SCORE_DIGITS
 from vecrec.session import cut_lineage
 
@@ -118,15 +119,19 @@ def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float
     return out.withColumn("score", total / F.lit(float(denominator)))
 
 
-MAX_SPACES = 3
+LIKED_LIMIT = 10_000  # liked rows per request kept in its profile; beyond it the entities carry the bans
 NO_SEGMENT = ""
 
 
 def request_profiles(
     requests: DataFrame, entities: DataFrame, spaces: list[tuple[str, int]], aliases: DataFrame | None, segment_mode: str
-) -> DataFrame:
-    """One row per request: query vector, background mean and sigma per space, liked ids, liked
-    aliases and the allowed segment (``auto`` = majority among the liked, ``off``, or a value)."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """One row per request: query vector, background mean and sigma per space, the allowed segment
+    (``auto`` = majority among the liked, ``off``, or a value) and the aliases it may not return.
+
+    If some request likes more than ``LIKED_LIMIT`` entities, those lists stay out of the profiles and come back
+    as ``(alias_id, banned request ids)`` for the entity side. Without aliases an entity is its own alias.
+    """
     liked = requests.select("request_id", "entity_id").distinct()
     if aliases is not None:
         liked = liked.join(aliases, "entity_id", "left").withColumn("alias_id", F.coalesce("alias_id", "entity_id"))
@@ -134,9 +139,12 @@ def request_profiles(
         liked = liked.withColumn("alias_id", F.col("entity_id"))
     # only the liked rows: read once, then everything about the requests comes from this small copy
     liked = cut_lineage(liked.join(entities.select("entity_id", "ord", "segment", *[c for c, _ in spaces]), "entity_id", "left"))
-    profile = liked.groupBy("request_id").agg(
-        F.collect_set("entity_id").alias("liked_ids"), F.collect_set("alias_id").alias("liked_aliases")
-    )
+    bans = None
+    if has_hot_group(liked, ["request_id"], LIKED_LIMIT):
+        profile = liked.select("request_id").distinct().withColumn("liked_aliases", F.array().cast("array<string>"))
+        bans = cut_lineage(liked.groupBy("alias_id").agg(F.collect_set("request_id").alias("banned")))
+    else:
+        profile = liked.groupBy("request_id").agg(F.collect_set("alias_id").alias("liked_aliases"))
     if segment_mode == "auto":
         votes = (
             liked.where(F.col("segment") != NO_SEGMENT)
@@ -152,7 +160,7 @@ def request_profiles(
         rows = liked.where(F.col(column).isNotNull())
         profile = profile.join(mean_direction(rows, ["request_id"], column, dim, f"q{i}").drop("n"), "request_id", "left")
     profile = cut_lineage(profile.where(F.coalesce(*[F.col(f"q{i}") for i in range(len(spaces))]).isNotNull()))
-    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id"))
+    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id")), bans
 
 
 def score_candidates(
@@ -163,6 +171,7 @@ def score_candidates(
     use_confidence: bool,
     pool: int,
     by_alias: bool,
+    bans: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``pool`` candidates per request and map task: fused z-scores, request-specific filters.
 
@@ -172,6 +181,7 @@ def score_candidates(
     n = len(spaces)
     weight = [float(weights[i]) if i < len(weights) else 1.0 for i in range(n)]
     fields = ["request_id", "entity_id", "alias_id", "ord", "score", *[f"score_{i}" for i in range(n)]]
+    by_ban = bans is not None
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         best = pdf.assign(__s=pdf["score"].round(SCORE_DIGITS)).sort_values(["request_id", "__s", "ord"], ascending=[True, False, True])
@@ -186,7 +196,7 @@ def score_candidates(
             have = left[f"u{i}"].notna().to_numpy()
             units.append((have, matrix(left.loc[have, f"u{i}"])))
         outs = []
-        ids, alias = left["entity_id"].to_numpy(), left["alias_id"].to_numpy()
+        alias = left["alias_id"].to_numpy()
         segment, confidence = left["segment"].to_numpy(), left["confidence"].to_numpy(dtype=float)
         for _, req in right.iterrows():
             total, denom, shown = np.zeros(len(left)), 0.0, []
@@ -204,9 +214,9 @@ def score_candidates(
             fused = total / (denom or 1.0)
             if use_confidence:
                 fused = fused * (0.5 + 0.5 * confidence)
-            ok = left["candidate"].to_numpy() & ~np.isin(ids, req["liked_ids"])
-            if by_alias:
-                ok &= ~np.isin(alias, req["liked_aliases"])
+            ok = left["candidate"].to_numpy() & ~np.isin(alias, req["liked_aliases"])
+            if by_ban:
+                ok &= np.array([b is None or req["request_id"] not in b for b in left["banned"]])
             if req["allowed"]:
                 ok &= (segment == "") | (segment == req["allowed"])
             out = left.loc[ok, ["entity_id", "alias_id", "ord"]].copy()
@@ -217,8 +227,8 @@ def score_candidates(
             outs.append(cut(out))
         return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=fields)
 
-    rows = entities
-    keep = ["entity_id", "alias_id", "ord", "segment", "confidence", "candidate"]
+    rows = entities if bans is None else entities.join(bans, "alias_id", "left")
+    keep = ["entity_id", "alias_id", "ord", "segment", "confidence", "candidate", *(["banned"] if by_ban else [])]
     for i, (column, dim) in enumerate(spaces):
         rows = vec.with_unit(rows, column, f"u{i}", dim)
         keep.append(f"u{i}")

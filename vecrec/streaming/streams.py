@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vecrec.functions import vec
 from vecrec.operators.aggregate import consistency, merge_moments, moments
@@ -37,13 +37,17 @@ def epoch_path(path: str, epoch: int) -> str:
     return f"{path}/epoch={epoch}"
 
 
-def read_epochs(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    fields = schema.simpleString() if isinstance(schema, StructType) else schema
-    return spark.read.schema(StructType.fromDDL(fields) if isinstance(schema, str) else schema).option("basePath", path).parquet(f"{path}/epoch=*")
+def read_epochs(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All batch partitions with their ``epoch`` number."""
+    reader = spark.read.option("basePath", path)
+    if schema is not None:
+        reader = reader.schema(StructType([*schema.fields, StructField("epoch", IntegerType())]))
+    return reader.parquet(f"{path}/epoch=*")
 
 
 def within_watermark(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Bounded-state de-duplication for repeats that arrive within ``delay``."""
+    stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -57,7 +61,7 @@ def skip_processed(stream: DataFrame, keys: list[str], order: str, path: str, ch
     def handle(batch: DataFrame, epoch: int) -> None:
         fresh = first_per_key(batch, keys, [F.col(order)])
         if epoch > 0:
-            done = read_epochs(batch.sparkSession, path, schema.add("epoch", "int") if "epoch" not in schema.names else schema)
+            done = read_epochs(batch.sparkSession, path, schema)
             fresh = fresh.join(done.where(F.col("epoch") < epoch).select(*keys).distinct(), keys, "left_anti")
         fresh.select(*batch.columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
 
@@ -76,14 +80,14 @@ def accumulate_moments(stream: DataFrame, key: str, vector: str, dim: int, path:
 
 def current_vectors(spark: SparkSession, path: str, key: str, dim: int) -> DataFrame:
     """Unit vector and consistency per key from all deltas: equal to the batch aggregate without trim."""
-    state = merge_moments(spark.read.option("basePath", path).parquet(f"{path}/epoch=*"), [key], dim)
+    state = merge_moments(read_epochs(spark, path), [key], dim)
     state = state.withColumn("confidence", consistency())
     return vec.with_unit(state.withColumn("__m", F.expr(vec.divide_sql("sum_vec", "n"))), "__m", "vector").select(key, "n", "confidence", "vector")
 
 
 def compact_moments(spark: SparkSession, path: str, key: str, dim: int, out: str) -> None:
     """Fold all deltas into one (written elsewhere; the caller swaps the folders between runs)."""
-    merge_moments(spark.read.option("basePath", path).parquet(f"{path}/epoch=*"), [key], dim).write.mode("overwrite").parquet(epoch_path(out, 0))
+    merge_moments(read_epochs(spark, path), [key], dim).write.mode("overwrite").parquet(epoch_path(out, 0))
 
 
 def count_progress(stream: DataFrame, key: str, path: str, checkpoint: str) -> None:
@@ -97,7 +101,7 @@ def count_progress(stream: DataFrame, key: str, path: str, checkpoint: str) -> N
 
 
 def counts_upto(spark: SparkSession, path: str, key: str, epoch: int) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(f"{path}/epoch=*").where(F.col("epoch") <= epoch)
+    rows = read_epochs(spark, path).where(F.col("epoch") <= epoch)
     return rows.groupBy(key).agg(F.max_by("n", "epoch").alias("n"))
 
 
