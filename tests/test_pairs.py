@@ -36,6 +36,20 @@ def test_similar_pairs_broadcast_and_grid(cloud):
         assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_far_cells_never_meet(spark):
+    """Tight, far-apart bunches: the pruned grid finds the same pairs and leaves most block pairs out."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(6)
+    x = np.repeat(centres, 25, axis=0) + rng.normal(scale=0.02, size=(150, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(v) for v in u[i]]) for i in range(150)], "id long, v array<double>")
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if u[a] @ u[b] >= 0.9985}
+    assert {(r.src, r.dst) for r in pairs.similar_pairs(nodes, "v", 6, 0.9985, broadcast_bytes=1, block_rows=8).collect()} == want
+    placed = pairs._cells(nodes.select("id", "v"), 0.9985, 8, 64)
+    blocks_total = placed.select("block").distinct().count()
+    assert placed.agg(F.avg(F.size("partners"))).first()[0] < 0.6 * blocks_total
+
+
 def test_nearest_broadcast_and_grid(cloud):
     u, nodes, _ = cloud
     small = {(r.src, r.dst, r["rank"]) for r in pairs.nearest(nodes, "v", 5, 4).collect()}

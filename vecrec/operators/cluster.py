@@ -17,6 +17,7 @@ from vecrec.session import cut_lineage
 
 MICRO_CLUSTERS = 512
 SILHOUETTE_ROWS = 500
+MAX_SEGMENTS = 200
 
 
 def column_stats(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -195,7 +196,9 @@ def choose_k(df: DataFrame, vector: str, dim: int, min_k: int, max_k: int, targe
 
 def per_segment(df: DataFrame, segment: str, cluster) -> DataFrame:
     """Run ``cluster(rows) -> rows`` independently for every known segment value (a few labels) and union."""
-    known = [r[0] for r in df.where(F.col(segment) != "").select(segment).distinct().orderBy(segment).collect()]
+    known = [r[0] for r in df.where(F.col(segment) != "").select(segment).distinct().orderBy(segment).limit(MAX_SEGMENTS + 1).collect()]
+    if len(known) > MAX_SEGMENTS:
+        raise ValueError(f"more than {MAX_SEGMENTS} segment values")
     out = None
     for value in known:
         part = cluster(df.where(F.col(segment) == value)).withColumn(segment, F.lit(value))
