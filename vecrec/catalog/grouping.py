@@ -131,17 +131,48 @@ def _(spark, sf):
 
 
 # ---- graph clustering ------------------------------------------------------------------------
-@query("c10_label_propagation")
+# one half-round per step; a settled labelling no longer changes, so all 60 steps can be taken
+def propagation_sql(key: str, rounds: int = 30) -> str:
+    k = f"{key}, " if key else ""
+    on = f"w.{key} = e.{key} AND " if key else ""
+    back = f"l.{key} = b.{key} AND " if key else ""
+    return f"""twice AS (SELECT {k}src, dst, weight FROM cut UNION ALL SELECT {k}dst, src, weight FROM cut),
+spread(step, {k}id, label) AS (
+  SELECT 0, {k}id, id FROM start
+  UNION ALL
+  SELECT l.step + 1, {'l.' + key + ', ' if key else ''}l.id,
+    CASE WHEN b.label IS NOT NULL AND ascii(md5(concat(l.id, ':', l.step // 2))) % 2 = l.step % 2 THEN b.label ELSE l.label END
+  FROM spread l LEFT JOIN (
+    SELECT {k}id, arg_max(label, {{'w': w, 'l': -label}}) AS label FROM (
+      SELECT {'e.' + key + ', ' if key else ''}e.src AS id, w.label, round(sum(e.weight), 9) AS w FROM twice e JOIN spread w ON {on}w.id = e.dst GROUP BY ALL)
+    GROUP BY ALL) b ON {back}l.id = b.id
+  WHERE l.step < {2 * rounds})"""
+
+
+@query(
+    "c10_label_propagation",
+    f"""WITH RECURSIVE {EDGES_SQL}, cut AS (SELECT * FROM edges), start AS (SELECT id FROM nodes), {propagation_sql('')}
+SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS cluster_id FROM spread WHERE step = 60""",
+)
 def _(spark, sf):
     table, members = nodes(spark, sf)
     labels = graph.propagate_labels(table.select("id", "copies"), pairs.similar_pairs(table, "v", D, PAIR_COS))
-    return graph.relabel(members.join(labels.withColumnRenamed("id", "rep"), "rep").select("id", "label"))
+    return graph.relabel(members.join(labels.withColumnRenamed("id", "rep"), "rep").select("id", "label")).select("id", "label", "cluster_id")
 
 
 SCAN = (0.30, 0.32, 0.34, 0.36, 0.38, 0.40)
 
 
-@query("c11_threshold_scan")
+@query(
+    "c11_threshold_scan",
+    f"""WITH RECURSIVE {EDGES_SQL}, kept AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(w) AS weight FROM knn WHERE r <= 10 AND w >= {min(SCAN)} GROUP BY 1, 2),
+cuts AS (SELECT unnest({list(SCAN)})::DOUBLE AS threshold), cut AS (SELECT threshold, src, dst, weight FROM kept, cuts WHERE weight >= threshold),
+start AS (SELECT threshold, id FROM nodes, cuts), {propagation_sql('threshold')},
+sizes AS (SELECT threshold, label, count(*) AS n FROM spread WHERE step = 60 GROUP BY 1, 2), total AS (SELECT count(*) AS n, greatest(8, round(sqrt(count(*)))) AS t FROM base),
+s AS (SELECT threshold, count(*) AS k, max(sizes.n) AS max_size FROM sizes GROUP BY 1), e AS (SELECT threshold, count(*) AS edges FROM cut GROUP BY 1)
+SELECT threshold, edges, k, max_size, round(exp(-((k - t) ** 2) / (2 * (t / 2) ** 2)) * least(1, greatest(20, floor(n / t * 1.5)) / max_size), 6) AS score
+FROM s JOIN e USING (threshold), total""",
+)
 def _(spark, sf):
     table, members = nodes(spark, sf)
     table = cut_lineage(table)

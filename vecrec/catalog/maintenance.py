@@ -10,7 +10,7 @@ from vecrec.catalog import views
 from vecrec.catalog.base import mean_cte, query, unit
 from vecrec.catalog.texts import HEADING, LINK, REG_SQL, REGISTRY_SQL, raw_registry, registry
 from vecrec.catalog.vectors import (
-    BUILT_SQL, RECOMMEND_SQL, SCORED_SQL, entity_vectors, long_sql, long_vector, recommend_two_spaces, second_vectors, stored_entity_vectors,
+    BUILT_SQL, RECOMMEND_SQL, SCORED_SQL, entity_vectors, long_sql, long_vector, recommend_two_spaces, second_vectors, stored_entity_vectors, walk_sql,
 )
 from vecrec.catalog.views import D1, D2, MAPS_SQL, SAMPLES_SQL
 from vecrec.functions import text, vec
@@ -547,7 +547,12 @@ def _(spark, sf):
     return rerank.top_k(rerank.cap_groups(plain_scores(spark, sf), 1), 6).select("request_id", "entity_id", "rank")
 
 
-@query("w05_diversity")
+@query(
+    "w05_diversity",
+    f"""WITH RECURSIVE {PLAIN_SQL}, best AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, ord) <= 50),
+cand AS (SELECT request_id, entity_id, best.group_name, best.ord, score, ev.vector AS f FROM best JOIN ev USING (entity_id)),
+{walk_sql(0.5, 10, 2)} SELECT request_id, entity_id, rank FROM picked""",
+)
 def _(spark, sf):
     ev = stored_entity_vectors(spark, sf)
     pool = rerank.top_k(plain_scores(spark, sf), 50).drop("rank").join(ev.select("entity_id", "vector"), "entity_id")

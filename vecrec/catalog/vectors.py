@@ -230,6 +230,30 @@ SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY round(sco
 FROM capped QUALIFY rank <= 10"""
 
 
+def walk_sql(lam: float, k: int, cap: int) -> str:
+    """Greedy re-rank as a recursion over list state; ``cand(request_id, entity_id, group_name, ord, score, f)``."""
+    return f"""pools AS (SELECT request_id, list({{'e': entity_id, 'g': group_name, 'o': ord, 's': score, 'f': f}}) AS pool FROM cand GROUP BY 1),
+walk AS (
+  SELECT request_id, 0 AS n, [] :: STRUCT(v DOUBLE, o BIGINT, e VARCHAR, g VARCHAR, f DOUBLE[])[] AS chosen FROM pools
+  UNION ALL
+  SELECT w.request_id, w.n + 1, list_append(w.chosen, list_sort(list_transform(
+      list_filter(p.pool, lambda x: NOT list_contains(list_transform(w.chosen, lambda c: c.e), x.e) AND len(list_filter(w.chosen, lambda c: c.g = x.g)) < {cap}),
+      lambda x: {{'v': round({lam} * x.s - {1 - lam} * coalesce(list_max(list_transform(w.chosen, lambda c: list_dot_product(c.f, x.f))), 0), 9), 'o': -x.o, 'e': x.e, 'g': x.g, 'f': x.f}}), 'DESC')[1])
+  FROM walk w JOIN pools p USING (request_id) WHERE w.n < {k} AND len(list_filter(p.pool,
+      lambda x: NOT list_contains(list_transform(w.chosen, lambda c: c.e), x.e) AND len(list_filter(w.chosen, lambda c: c.g = x.g)) < {cap})) > 0),
+picked AS (SELECT request_id, unnest(list_transform(chosen, lambda c: c.e)) AS entity_id, unnest(range(1, len(chosen) + 1)) AS rank
+  FROM walk QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n DESC) = 1)"""
+
+
+ZERO2 = "list_transform(range(0, 32), lambda i: 0.0)"
+DIVERSE_SQL = f"""{RECOMMEND_SQL[: RECOMMEND_SQL.index('capped AS')]}
+fv AS (SELECT ev.entity_id, list_concat(ev.vector, coalesce(second.vector, {ZERO2})) AS f FROM ev LEFT JOIN second USING (entity_id)),
+cand AS (SELECT request_id, pool.entity_id, group_name, ord, score, {unit('fv.f')} AS f FROM pool JOIN fv USING (entity_id)),
+{walk_sql(0.6, 10, 2)}
+SELECT request_id, picked.rank, entity_id, pool.group_name, pool.segment, pool.image_count, round(pool.score, 6) AS score, round(za, 6) AS score_0, round(zb, 6) AS score_1
+FROM picked JOIN pool USING (request_id, entity_id)"""
+
+
 def shown(df: DataFrame) -> DataFrame:
     return df.select(
         "request_id", "rank", "entity_id", "group_name", "segment", "image_count",
@@ -253,6 +277,6 @@ def _(spark, sf):
     return recommend_two_spaces(spark, sf)
 
 
-@query("l1_recommend_diverse")
+@query("l1_recommend_diverse", f"WITH RECURSIVE {DIVERSE_SQL}")
 def _(spark, sf):
     return recommend_two_spaces(spark, sf, mmr_lambda=0.6)
