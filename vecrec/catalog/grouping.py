@@ -206,9 +206,28 @@ def _(spark, sf):
     return density(spark, sf, [EPS], [MIN_SIZE]).select("id", "label")
 
 
-@query("c08_density_scan")
+SCAN_EPS, SCAN_SIZES = [0.58, 0.60, 0.62, 0.64], [2, 3, 5]
+DENSITY_SCAN_SQL = f"""{EDGES_SQL},
+core AS (SELECT src AS id, 1 - w AS core FROM knn WHERE r = {CORE_K}), lv AS (SELECT unnest({SCAN_EPS})::DOUBLE AS eps),
+reached AS (SELECT eps, src, dst FROM sims JOIN core a ON a.id = src JOIN core b ON b.id = dst JOIN lv ON greatest(a.core, b.core, 1 - w) <= eps),
+closure(eps, src, dst) AS (SELECT eps, id, id FROM nodes, lv UNION SELECT c.eps, c.src, r.dst FROM closure c JOIN reached r ON c.dst = r.src AND c.eps = r.eps),
+comp AS (SELECT eps, src AS id, min(dst) AS label FROM closure GROUP BY 1, 2), sized AS (SELECT *, count(*) OVER (PARTITION BY eps, label) AS size FROM comp),
+kept AS (SELECT eps, min_size, id, label, size FROM sized JOIN (SELECT unnest({SCAN_SIZES}) AS min_size) ON size >= min_size),
+st AS (SELECT eps, min_size, count(DISTINCT label) AS k, count(*) AS n_kept, max(size) AS max_size FROM kept GROUP BY 1, 2),
+to_label AS (SELECT a.eps, a.min_size, a.id, a.label, b.label AS other, avg(sqrt(greatest(0, 2 - 2 * w))) AS d FROM kept a
+  JOIN sims ON sims.src = a.id JOIN kept b ON b.eps = a.eps AND b.min_size = a.min_size AND b.id = sims.dst GROUP BY ALL),
+sil AS (SELECT eps, min_size, avg((b - a) / greatest(a, b)) AS silhouette FROM (SELECT eps, min_size, id, max(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b
+  FROM to_label GROUP BY ALL) GROUP BY 1, 2), total AS (SELECT count(*) AS n FROM base)"""
+
+
+@query(
+    "c08_density_scan",
+    f"""WITH RECURSIVE {DENSITY_SCAN_SQL} SELECT eps, min_size, k, max_size, round(1 - n_kept / n, 6) AS noise, round(silhouette, 6) AS silhouette,
+round(silhouette * sqrt(n_kept / n) * exp(-((k - 25) ** 2) / (2 * 12.5 ** 2)) * least(1, greatest(50, n * 2 // 25) / max_size), 6) AS score
+FROM st JOIN sil USING (eps, min_size), total WHERE k >= 2 AND n_kept >= 20""",
+)
 def _(spark, sf):
-    found = cut_lineage(density(spark, sf, [0.58, 0.60, 0.62, 0.64], [2, 3, 5]))
+    found = cut_lineage(density(spark, sf, SCAN_EPS, SCAN_SIZES))
     rows = views.table(spark, sf, "embeddings").selectExpr("vec_id", "cast(embedding AS array<double>) AS e")
     scores = cluster.density_scan_scores(found, vec.with_unit(rows, "e", "v", D), "vec_id", "v", 25, "samples")
     return scores.select("eps", "min_size", "k", "max_size", F.round("noise", 6).alias("noise"), F.round("silhouette", 6).alias("silhouette"), F.round("score", 6).alias("score"))
@@ -257,7 +276,24 @@ def _(spark, sf):
     return cluster.agglomerate(rows, "u", D1, [8]).select("sample_id", F.get("labels", F.lit(0)).alias("cluster_id"))
 
 
-@query("c12_per_segment")
+LINKAGE_SQL = f"""{BUILT_SQL},
+pts AS (SELECT segment, entity_id, row_number() OVER (PARTITION BY segment ORDER BY vector) AS i, {unit('vector')} AS u FROM ev WHERE segment <> ''),
+dd AS (SELECT a.segment, a.i, b.i AS j, 1 - list_dot_product(a.u, b.u) AS d FROM pts a JOIN pts b ON a.segment = b.segment),
+link(step, segment, i, g) AS (
+  SELECT 0, segment, i, i FROM pts
+  UNION ALL
+  SELECT l.step + 1, l.segment, l.i, CASE WHEN l.g = p.m.b THEN p.m.a ELSE l.g END
+  FROM link l JOIN (
+    SELECT segment, min({{'d': round(d, 12), 'a': ga, 'b': gb}}) AS m FROM (
+      SELECT x.segment, x.g AS ga, y.g AS gb, avg(dd.d) AS d FROM link x JOIN link y ON x.segment = y.segment AND x.g < y.g
+      JOIN dd ON dd.segment = x.segment AND dd.i = x.i AND dd.j = y.i GROUP BY ALL) GROUP BY 1 HAVING count(*) > 6) p ON l.segment = p.segment),
+cut AS (SELECT * FROM link QUALIFY step = max(step) OVER (PARTITION BY segment))"""
+
+
+@query(
+    "c12_per_segment",
+    f"""WITH RECURSIVE {LINKAGE_SQL} SELECT entity_id, segment, dense_rank() OVER (PARTITION BY segment ORDER BY g) - 1 AS cluster_id FROM cut JOIN pts USING (segment, i)""",
+)
 def _(spark, sf):
     rows = stored_entity_vectors(spark, sf).select("entity_id", "segment", "vector")
     done = cluster.per_segment(rows, "segment", lambda part: cluster.agglomerate(part, "vector", D1, [4]))
