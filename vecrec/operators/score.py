@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vecrec.functions import vec
 from vecrec.operators.aggregate import mean_direction
 from vecrec.operators.blocks import block_apply, matrix
-from vecrec.operators.rank import has_hot_group
 from vecrec.operators.rerank import SCORE_DIGITS
 from vecrec.session import cut_lineage
 
@@ -119,18 +118,19 @@ def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float
     return out.withColumn("score", total / F.lit(float(denominator)))
 
 
-LIKED_LIMIT = 10_000  # liked rows per request kept in its profile; beyond it the entities carry the bans
+LIKED_LIMIT = 1_000  # liked rows per request kept in its profile; beyond it the entities carry the bans
 NO_SEGMENT = ""
 
 
 def request_profiles(
     requests: DataFrame, entities: DataFrame, spaces: list[tuple[str, int]], aliases: DataFrame | None, segment_mode: str
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, DataFrame | None, int]:
     """One row per request: query vector, background mean and sigma per space, the allowed segment
     (``auto`` = majority among the liked, ``off``, or a value) and the aliases it may not return.
 
     If some request likes more than ``LIKED_LIMIT`` entities, those lists stay out of the profiles and come back
     as ``(alias_id, banned request ids)`` for the entity side. Without aliases an entity is its own alias.
+    The third result is the largest number of list entries in a profile, for size checks.
     """
     liked = requests.select("request_id", "entity_id").distinct()
     if aliases is not None:
@@ -139,8 +139,9 @@ def request_profiles(
         liked = liked.withColumn("alias_id", F.col("entity_id"))
     # only the liked rows: read once, then everything about the requests comes from this small copy
     liked = cut_lineage(liked.join(entities.select("entity_id", "ord", "segment", *[c for c, _ in spaces]), "entity_id", "left"))
-    bans = None
-    if has_hot_group(liked, ["request_id"], LIKED_LIMIT):
+    bans, longest = None, liked.groupBy("request_id").count().agg(F.max("count")).first()[0] or 0
+    if longest > LIKED_LIMIT:
+        longest = 0
         profile = liked.select("request_id").distinct().withColumn("liked_aliases", F.array().cast("array<string>"))
         bans = cut_lineage(liked.groupBy("alias_id").agg(F.collect_set("request_id").alias("banned")))
     else:
@@ -160,7 +161,7 @@ def request_profiles(
         rows = liked.where(F.col(column).isNotNull())
         profile = profile.join(mean_direction(rows, ["request_id"], column, dim, f"q{i}").drop("n"), "request_id", "left")
     profile = cut_lineage(profile.where(F.coalesce(*[F.col(f"q{i}") for i in range(len(spaces))]).isNotNull()))
-    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id")), bans
+    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id")), bans, longest
 
 
 def score_candidates(
@@ -172,6 +173,7 @@ def score_candidates(
     pool: int,
     by_alias: bool,
     bans: DataFrame | None = None,
+    longest: int = 0,
 ) -> DataFrame:
     """Best ``pool`` candidates per request and map task: fused z-scores, request-specific filters.
 
@@ -240,6 +242,6 @@ def score_candidates(
         f"request_id string, entity_id string, alias_id string, ord long, score double, {scores}",
         "entity_id",
         "request_id",
-        row_bytes=8 * sum(d for _, d in spaces) + 512,
+        row_bytes=8 * sum(d for _, d in spaces) + 512 + 64 * longest,
         combine=cut,
     )

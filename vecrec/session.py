@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "vecrec", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -55,3 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, changed: Column) -> tuple[DataFrame, int]:
+    """``cut_lineage`` that also counts rows where ``changed`` holds, in the same job."""
+    seen = Observation()
+    counted = df.observe(seen, F.coalesce(F.sum(changed.cast("long")), F.lit(0)).alias("n"))
+    stored = cut_lineage(counted)
+    return stored, int(seen.get["n"])

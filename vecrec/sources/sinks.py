@@ -33,8 +33,12 @@ def append_evolving(old: DataFrame, new: DataFrame, columns: list[str]) -> DataF
 
 
 def append_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Only rows of ``new`` whose key is not there yet."""
-    return new.join(old.select(key).distinct(), key, "left_anti").select(*new.columns)
+    """Only rows of ``new`` whose key is not there yet.
+
+    The old table is reduced to the keys the new rows ask for; with few new rows it is scanned, not shuffled.
+    """
+    known = old.select(key).join(new.select(key).distinct(), key, "left_semi").distinct()
+    return new.join(known, key, "left_anti").select(*new.columns)
 
 
 def drop_entities(df: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:

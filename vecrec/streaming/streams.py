@@ -62,7 +62,9 @@ def skip_processed(stream: DataFrame, keys: list[str], order: str, path: str, ch
         fresh = first_per_key(batch, keys, [F.col(order)])
         if epoch > 0:
             done = read_epochs(batch.sparkSession, path, schema)
-            fresh = fresh.join(done.where(F.col("epoch") < epoch).select(*keys).distinct(), keys, "left_anti")
+            # the batch is the small side: the written table is only scanned for its keys, not shuffled
+            known = done.where(F.col("epoch") < epoch).select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
+            fresh = fresh.join(known, keys, "left_anti")
         fresh.select(*batch.columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
 
     run_available(stream, handle, checkpoint)
