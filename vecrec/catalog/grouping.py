@@ -255,7 +255,7 @@ def _(spark, sf):
 
 @query("c03_kmeans")
 def _(spark, sf):
-    return cluster.kmeans(stored_entity_vectors(spark, sf), "vector", 8, restarts=3).select("entity_id", "cluster_id")
+    return cluster.kmeans(stored_entity_vectors(spark, sf), "vector", 8).select("entity_id", "cluster_id")
 
 
 @query("c04_auto_k")
@@ -267,7 +267,7 @@ def _(spark, sf):
 @query("c05_chosen_k")
 def _(spark, sf):
     rows = stored_entity_vectors(spark, sf).select("entity_id", "vector")
-    return cluster.choose_k(rows, "vector", D1, 7, 10, 8, "kmeans", restarts=1)[1].withColumn("score", F.round("score", 6))
+    return cluster.choose_k(rows, "vector", D1, 7, 14, 10, "kmeans")[1].withColumn("score", F.round("score", 6))
 
 
 @query("c06_average_linkage")

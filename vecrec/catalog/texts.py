@@ -9,7 +9,7 @@ from vecrec.catalog.base import query, unit
 from vecrec.catalog.vectors import BUILT_SQL, entity_vectors
 from vecrec.catalog.views import D1, D2, SAMPLES_SQL
 from vecrec.functions import geometry, text, vec
-from vecrec.operators import curate, dedupe, evaluate  # noqa: F401
+from vecrec.operators import curate, dedupe
 from vecrec.operators.select import candidate_filter, without_prefixes
 
 
