@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecrec.functions import text
+from vecrec.session import cut_lineage
 
 
 def preceding_links(html: Column, item_pattern: str, link_pattern: str, blocked: tuple[str, ...] = text.BLOCKED_SUBSTRINGS) -> Column:
@@ -44,19 +45,27 @@ def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
     the other (empty forms never match). Within a tier the earliest list position wins.
     ``registry(entity_id, group_name, entity_name)``, ``listed(group_name, pos, name, local)``.
 
-    Tiers 1-3 are equi-joins on the form. Only rows they leave open reach the substring tier.
+    Tiers 1-3 are one equi-join on the form. Only rows they leave open reach the substring tier. Both inputs
+    are stored first, so pages behind the list are parsed once.
     """
     last = lambda c: F.try_element_at(F.split(F.trim(c), r"\s+"), F.lit(-1))
-    rows = registry.withColumn("target", text.name_form(F.col("entity_name"))).withColumn("target_last", text.name_form(last(F.col("entity_name"))))
-    names = listed.withColumn("form", text.name_form(F.col("name"))).withColumn("form_last", text.name_form(last(F.col("name"))))
-    names = names.withColumn("hit", F.struct("pos", "name", "local"))
-
-    def tier(number: int, key: str, form: str) -> DataFrame:
-        firsts = names.where(F.col(form) != "").groupBy("group_name", F.col(form).alias(key)).agg(F.min("hit").alias("hit"))
-        return rows.join(firsts, ["group_name", key]).select("entity_id", F.struct(F.lit(number).alias("tier"), "hit").alias("m"))
-
-    found = tier(1, "target", "form").unionByName(tier(2, "target", "form_last")).unionByName(tier(3, "target_last", "form"))
-    exact = found.groupBy("entity_id").agg(F.min("m").alias("m"))
+    rows = cut_lineage(
+        registry.withColumn("target", text.name_form(F.col("entity_name"))).withColumn("target_last", text.name_form(last(F.col("entity_name"))))
+    )
+    names = cut_lineage(
+        listed.select(
+            "group_name", text.name_form(F.col("name")).alias("form"), text.name_form(last(F.col("name"))).alias("form_last"),
+            F.struct("pos", "name", "local").alias("hit"),
+        )
+    )
+    asked = rows.select(
+        "entity_id", "group_name",
+        F.inline(F.expr("array(struct(1 AS tier, 'whole' AS side, target AS key), struct(2 AS tier, 'last' AS side, target AS key), struct(3 AS tier, 'whole' AS side, target_last AS key))")),
+    )
+    offered = names.select("group_name", "hit", F.inline(F.expr("array(struct('whole' AS side, form AS key), struct('last' AS side, form_last AS key))")))
+    offered = offered.where(F.col("key") != "").groupBy("group_name", "side", "key").agg(F.min("hit").alias("hit"))
+    exact = asked.join(offered, ["group_name", "side", "key"]).groupBy("entity_id").agg(F.min(F.struct("tier", "hit")).alias("m"))
+    exact = cut_lineage(exact)
     # Substring tier as equi-joins: x contains y exactly when y is among the substrings of x. Names are
     # short, so their substrings are few; groups of any size stay spread over their forms.
     forms = names.where(F.col("form") != "").groupBy("group_name", "form").agg(F.min("hit").alias("hit"))
