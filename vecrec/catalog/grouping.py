@@ -258,7 +258,22 @@ def _(spark, sf):
     return cluster.kmeans(stored_entity_vectors(spark, sf), "vector", 8).select("entity_id", "cluster_id")
 
 
-@query("c04_auto_k")
+@query(
+    "c04_auto_k",
+    f"""WITH RECURSIVE {BUILT_SQL}, pts AS (SELECT row_number() OVER (ORDER BY vector) AS i, {unit('vector')} AS u FROM ev),
+dd AS (SELECT a.i, b.i AS j, 1 - list_dot_product(a.u, b.u) AS d FROM pts a JOIN pts b ON a.i <> b.i),
+link(step, i, g) AS (
+  SELECT 0, i, i FROM pts
+  UNION ALL
+  SELECT l.step + 1, l.i, CASE WHEN l.g = p.m.b THEN p.m.a ELSE l.g END
+  FROM link l CROSS JOIN (
+    SELECT min({{'d': round(d, 12), 'a': ga, 'b': gb}}) AS m FROM (
+      SELECT x.g AS ga, y.g AS gb, avg(dd.d) AS d FROM link x JOIN link y ON x.g < y.g JOIN dd ON dd.i = x.i AND dd.j = y.i GROUP BY ALL) HAVING count(*) > 1) p),
+ks AS (SELECT step, count(DISTINCT g) AS k FROM link GROUP BY 1 HAVING count(DISTINCT g) BETWEEN 2 AND 20),
+far AS (SELECT a.step, a.i, a.g, b.g AS other, avg(d) AS d FROM link a JOIN ks USING (step) JOIN link b ON a.step = b.step JOIN dd ON dd.i = a.i AND dd.j = b.i GROUP BY ALL),
+s AS (SELECT step, i, max(d) FILTER (other = g) AS a, min(d) FILTER (other <> g) AS b FROM far GROUP BY 1, 2)
+SELECT k::INT AS k, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM s JOIN ks USING (step) GROUP BY 1""",
+)
 def _(spark, sf):
     rows = stored_entity_vectors(spark, sf).select("entity_id", "vector")
     return cluster.auto_k(rows, "entity_id", "vector", D1, "auto-cosine")[1].withColumn("silhouette", F.round("silhouette", 6))
