@@ -13,6 +13,7 @@ the input are only read by name and never clash, since measures are expressions,
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,10 @@ from vecrec.llm.common import SPACE, words
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows of the sample that cost and selectivity are estimated on.
-SAMPLE_ROWS = 2_000
+#: Column that holds a text's words while it is judged.
+FOUND = "__quality_words"
+#: Rows of the sample that cost and selectivity are estimated on, and the longest text in it.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 
 
 @dataclass(frozen=True)
@@ -79,12 +82,17 @@ def upper_share(text: Column) -> Column:
 def n_repeat_words(text: Column, found: Column | None = None) -> Column:
     """Words inside 5-word windows that the text holds twice or more, the first included.
 
-    Windows are compared by their 64-bit hash. Only texts whose hashes are not all different sort them.
+    Windows are compared by a 64-bit hash, made of their words' hashes two, four and five at a time. Only texts whose hashes are not all different sort them.
     """
 
     def windows(w: Column) -> Column:
-        last = F.size(w) - WINDOW
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+        return F.when(F.size(w) > WINDOW, _let(F.transform(w, lambda x: F.xxhash64(x)), five))
+
+    def five(h: Column) -> Column:
+        pair = lambda a, b: F.xxhash64(a, b)
+        off = lambda a, k: F.slice(a, k + 1, F.size(h))
+        fours = _let(F.zip_with(h, off(h, 1), pair), lambda two: F.zip_with(two, off(two, 2), pair))
+        return F.slice(F.zip_with(fours, off(h, 4), pair), 1, F.size(h) - WINDOW + 1)
 
     def repeated(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -124,26 +132,30 @@ def rules(text: Column, **known: Column) -> list[Rule]:
     ]
 
 
-def base_rules(text: Column) -> list[Rule]:
-    return [Rule("few_words", n_words(text) < 10), Rule("repeated_words", 100 * n_repeat_words(text) > 20 * n_words(text))]
+def base_rules(text: Column, found: Column | None = None) -> list[Rule]:
+    n = n_words(text, found)
+    return [Rule("few_words", n < 10), Rule("repeated_words", 100 * n_repeat_words(text, found) > 20 * n)]
 
 
-def order_rules(docs: DataFrame, given: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``given`` by rejections per second of work on a sample of at most ``sample_rows`` rows, best first.
+def order_rules(docs: DataFrame, of: Callable[[Column], list[Rule]], text: str, sample_rows: int = SAMPLE_ROWS) -> list[int]:
+    """Numbers of the rules ``of`` gives for a text, by rejections per second of work on a sample, best first.
 
-    The sample is read anew for each rule; a run with no rule is taken off as the cost of the scan.
+    The sample is the first ``sample_rows`` texts of up to ``SAMPLE_CHARS`` characters that ``take`` meets,
+    which reads few partitions; whole columns are judged by all rules in any case. A run with
+    no rule is taken off as the cost of the scan.
     """
-    sample = docs.limit(sample_rows)
+    spark = docs.sparkSession
+    known = docs.select(docs[text].alias("text")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    sample = spark.createDataFrame(known.take(sample_rows), "text string")
 
     def measured(expr: Column) -> tuple[float, float]:
         began = time.perf_counter()
         row = sample.agg(F.avg(expr.cast("int")).alias("r")).first()
         return time.perf_counter() - began, float(row["r"] or 0.0)
 
-    measured(F.lit(False))
-    scan = measured(F.lit(False))[0]
-    seen = [(max(t - scan, 1e-3), r, k) for k, (t, r) in enumerate(measured(x.rejects) for x in given)]
-    return [given[k] for _, _, k in sorted(((-r / t, t, k) for t, r, k in seen))]
+    scan = min(measured(F.lit(False))[0] for _ in range(2))
+    seen = [(max(t - scan, 1e-3), r, k) for k, (t, r) in enumerate(measured(x.rejects) for x in of(F.col("text")))]
+    return [k for _, _, k in sorted(((-r / t, t, k) for t, r, k in seen))]
 
 
 def cascade(ordered: list[Rule]) -> Column:
@@ -156,20 +168,22 @@ def cascade(ordered: list[Rule]) -> Column:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that pass the base rule and every other rule."""
-    col = docs[text]
-    ordered = order_rules(docs, base_rules(col) + rules(col))
-    return docs.where(cascade(ordered).isNull())
+    order = order_rules(docs, lambda t: base_rules(t) + rules(t), text)
+    marked = docs.withColumn(FOUND, words(docs[text]))
+    body, found = marked[text], F.col(FOUND)
+    known = base_rules(body, found) + rules(body, n_words=n_words(body, found))
+    return marked.where(cascade([known[k] for k in order]).isNull()).drop(FOUND)
 
 
 def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the measures of the base rule, its verdict and that of the cascade."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    order = [r.name for r in order_rules(docs, rules(docs[text]))]
-    split = docs.select(docs[key].alias("key"), docs[text].alias("text"), words(docs[text]).alias("w"))
-    body, w = F.col("text"), F.col("w")
-    measures = [n_words(body, w), word_chars(body), n_symbols(body), n_dup_lines(body), n_repeat_words(body, w)]
+    order = order_rules(docs, rules, text)
+    split = docs.select(docs[key].alias("key"), docs[text].alias("text"), words(docs[text]).alias(FOUND))
+    body, found = F.col("text"), F.col(FOUND)
+    measures = [n_words(body, found), word_chars(body), n_symbols(body), n_dup_lines(body), n_repeat_words(body, found)]
     measured = split.select("key", "text", *[m.alias(n) for m, n in zip(measures, names, strict=True)])
-    known = {r.name: r for r in rules(F.col("text"), **{n: F.col(n) for n in names[:3]})}
-    rejected = cascade([known[n] for n in order]).isNotNull()
+    known = rules(body, **{n: F.col(n) for n in names[:3]})
+    rejected = cascade([known[k] for k in order]).isNotNull()
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return measured.select(F.col("key").alias(key), *names, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from vecrec.llm.common import table
 from vecrec.llm.decontaminate import contaminated
+from vecrec.llm.language import identify
 from vecrec.llm.mixing import mix
 from vecrec.llm.quality import quality_report
 from vecrec.llm.simhash import simhash_groups
+from vecrec.llm.suffix_dedup import remove_repeats
 from vecrec.llm.token_file import token_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +30,21 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,

@@ -35,7 +35,7 @@ from vecrec.session import shared_dir
 BLOCK, PERCENTILE, MARK = 8192, 95, b"PFORIDS1"
 END_ID = 1
 #: Words a task remembers the ids of.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 #: Characters that str.split takes for white space but the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -152,23 +152,50 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.memo = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.library = Tokenizer.from_file(path)
+        # words are encoded together, with a special token between them
+        self.between = next((t.content for t in self.library.get_added_tokens_decoder().values() if t.special), None)
+        self.mark = self.library.token_to_id(self.between) if self.between else None
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word."""
+        plain = [w for w in words if self.between is None or self.between in w]
+        alone = dict(zip(plain, (i.tobytes() for i in self._encode(plain)), strict=True))
+        for k in range(0, len(words), 500):
+            part = [w for w in words[k : k + 500] if w not in alone]
+            ids = self._encode([self.between.join(part)])[0] if part else np.zeros(0, "<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
+            cut = iter(zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True))
+            for w in words[k : k + 500]:
+                if w in alone:
+                    yield alone[w]
+                else:
+                    a, b = next(cut)
+                    yield data[a:b]
+
+    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        """The memo with all of ``wanted``; words not asked for lately leave when it is full."""
+        if len(self.recent) > MEMO_WORDS:
+            self.recent, self.older = {}, self.recent
+        missing = wanted - self.recent.keys()
+        for w in missing & self.older.keys():
+            self.recent[w] = self.older[w]
+        new = list(missing - self.older.keys())
+        self.recent.update(zip(new, self._words(new), strict=True))
+        return self.recent
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = list({w for words in split for w in words or ()} - self.memo.keys())
-        for k in range(0, len(new), 20_000):
-            self.memo.update(zip(new[k : k + 20_000], self._encode(new[k : k + 20_000]), strict=True))
-        get, out = self.memo.__getitem__, []
+        get = self._known(set().union(*(w for w in split if w))).__getitem__
+        end, out = np.uint32(END_ID).astype("<u4").tobytes(), []
         for text, words in zip(texts, split, strict=True):
-            ids = self._encode([text])[0] if words is None else list(chain.from_iterable(map(get, words)))
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
+            data = self._encode([text])[0].tobytes() if words is None else b"".join(map(get, words))
+            out.append(np.frombuffer(data + end, "<u4"))
         return out
 
 
