@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from vecrec.llm.common import table
 from vecrec.llm.decontaminate import contaminated
+from vecrec.llm.html_text import extract_text
 from vecrec.llm.language import identify
+from vecrec.llm.line_dedup import BREAKS, drop_boilerplate
 from vecrec.llm.mixing import mix
 from vecrec.llm.quality import quality_report
 from vecrec.llm.simhash import simhash_groups
 from vecrec.llm.suffix_dedup import remove_repeats
 from vecrec.llm.token_file import token_digest
+from vecrec.llm.warc import page_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,12 +83,42 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS r, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'), '(?i)</?(?:BREAKS)(?:[\s/][^>]*)?>', chr(10), 'g'), '<[A-Za-z/!?][^>]*>', '', 'g'), chr(10)),
+      lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS body
+  FROM pages),
+held AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(body)) AS line FROM p WHERE host IS NOT NULL) GROUP BY host, line),
+totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+dropped AS (SELECT host, list(line) AS dropped FROM held JOIN totals USING (host) WHERE n >= 3 AND n > 0.3 * pages GROUP BY host),
+k AS (SELECT page_id, p.host, body, list_filter(body, lambda x: dropped IS NULL OR NOT list_contains(dropped, x)) AS kept FROM p LEFT JOIN dropped ON p.host = dropped.host)
+SELECT page_id, host, len(body)::BIGINT AS n_lines, (len(body) - len(kept))::BIGINT AS n_dropped, md5(coalesce(array_to_string(kept, chr(10)), '')) AS kept_md5 FROM k""".replace("BREAKS", BREAKS)
+
+
+@query(OP7_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_boilerplate(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "n_lines", "n_dropped", F.md5(F.encode("kept_text", "utf-8")).alias("kept_md5"))
+
+
 @query()
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and epoch that reads it; no source is read more than twice over."""
     return mix(table(spark, sf_dir, "documents"), max_repeats=2.0).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
 
+@query()
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_derivatives(table(spark, sf_dir, "pages"), keep_records=False).drop("record")
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
