@@ -128,7 +128,7 @@ def train(docs: DataFrame, key: str, text: str, lang: str, texts: int = TRAIN_TE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, body in rows_of(batches, "lang", "text"):
             h = np.unique(grams(letters(body))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h)), pa.array(h)], names=["lang", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h, pa.int64())], names=["lang", "gram"])
 
     counted = sample.repartition("key").mapInArrow(run, "lang string, gram bigint").groupBy("lang", "gram").count()
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))).where(F.col("r") <= keep)

@@ -63,11 +63,11 @@ def drop_boilerplate(pages: DataFrame, url: str = "url", text: Column | None = N
     """
     text = page_text(pages["html"]) if text is None else text
     marked = pages.withColumns({"__site": host(pages[url]), "__body": lines(text)})
-    found = cut_lineage(boilerplate(marked.select(F.col("__site").alias("site"), F.col("__body").alias("body")), ratio, least)).withColumnRenamed("site", "__key")
+    found = cut_lineage(boilerplate(marked.select(F.col("__site").alias("site"), F.col("__body").alias("body")), ratio, least)).toDF("__key", "__dropped")
     if found.count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
     joined = marked.join(found, F.col("__site") == F.col("__key"), "left")
-    kept = F.when(F.col("dropped").isNull(), F.col("__body")).otherwise(F.filter("__body", lambda x: ~F.array_contains(F.col("dropped"), _name(x))))
+    kept = F.when(F.col("__dropped").isNull(), F.col("__body")).otherwise(F.filter("__body", lambda x: ~F.array_contains(F.col("__dropped"), _name(x))))
     done = joined.withColumn("__kept", kept)
     new = {"host": F.col("__site"), "n_lines": F.size("__body").cast("bigint"), "n_dropped": (F.size("__body") - F.size("__kept")).cast("bigint"), "kept_text": F.array_join("__kept", "\n")}
     return done.select(*[done[c] for c in pages.columns if c not in new], *[c.alias(n) for n, c in new.items()])

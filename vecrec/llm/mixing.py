@@ -114,29 +114,35 @@ def block_order(source: Column, epoch: Column, block: Column, seed: int) -> Colu
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", max_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, once per epoch that takes them, with new columns ``mix_epoch`` and ``mix_place``.
+    """The rows of ``docs``, once per epoch that takes them, with new columns ``mix_epoch``, ``mix_block`` and ``mix_place``.
 
     Reading in the order of ``mix_place`` interleaves the sources at their weights: each epoch spreads its
     blocks over [0, 1), and blocks keep their documents together. Tokens are words. A null source is a
     source of its own; null and empty texts count no token and stay; repeated rows are mixed each for
-    itself; an empty table gives no rows. Columns named like the new ones are replaced.
+    itself; an empty table gives no rows. Columns of ``docs`` named like the new ones are replaced.
     """
+    out = _mixed(docs, source, key, text, max_repeats, target_entropy, seed)
+    new = ("epoch", "block", "place")
+    return out.select(*[out[c] for c in docs.columns if c not in [f"mix_{n}" for n in new]], *[F.col(f"__mix_{n}").alias(f"mix_{n}") for n in new])
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", max_repeats: float | None = 2.0, target_entropy: float | None = None, seed: int = 0) -> DataFrame:
+    """``mix`` with the columns of ``docs`` alone."""
+    return _mixed(docs, source, key, text, max_repeats, target_entropy, seed).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, source: str, key: str, text: str, max_repeats: float | None, target_entropy: float | None, seed: int) -> DataFrame:
     size = F.size(words(docs[text])).cast("bigint")
     chance = _unit(F.lit(seed + 1), docs[key], F.char_length(docs[text]))
-    marked = docs.withColumns({"mix_block": F.floor(chance * BLOCKS).cast("int"), "mix_u": chance * BLOCKS - F.floor(chance * BLOCKS)})
-    blocks = cut_lineage(marked.groupBy(marked[source].alias("source"), F.col("mix_block").alias("block")).agg(F.sum(size).alias("tokens")))
+    marked = docs.withColumns({"__mix_block": F.floor(chance * BLOCKS).cast("int"), "__mix_u": chance * BLOCKS - F.floor(chance * BLOCKS)})
+    blocks = cut_lineage(marked.groupBy(marked[source].alias("source"), F.col("__mix_block").alias("block")).agg(F.sum(size).alias("tokens")))
     plan = cut_lineage(plan_mixture(blocks, max_repeats, target_entropy, seed))
-    plan = plan.select(*[F.col(c).alias(f"mix_{c}") for c in ("source", "full", "taken", "cut_block", "cut")])
+    plan = plan.select(*[F.col(c).alias(f"__mix_{c}") for c in ("source", "full", "taken", "cut_block", "cut")])
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    met = marked.join(plan, marked[source].eqNullSafe(plan["mix_source"]))
-    more = F.array_contains("mix_taken", F.col("mix_block")) | ((F.col("mix_block") == F.col("mix_cut_block")) & (F.col("mix_u") < F.col("mix_cut")))
-    last = F.col("mix_full") - 1 + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    out = met.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), last)))
-    place = block_order(out[source], F.col("mix_epoch"), F.col("mix_block"), seed)
-    return out.withColumn("mix_place", place).select(*[c for c in docs.columns if not c.startswith("mix_")], "mix_epoch", "mix_block", "mix_place")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``mix`` with the columns of ``docs`` alone."""
-    return mix(docs, **options).select(*docs.columns)
+    met = marked.join(plan, marked[source].eqNullSafe(plan["__mix_source"]))
+    more = F.array_contains("__mix_taken", F.col("__mix_block")) | ((F.col("__mix_block") == F.col("__mix_cut_block")) & (F.col("__mix_u") < F.col("__mix_cut")))
+    last = F.col("__mix_full") - 1 + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+    out = met.withColumn("__mix_epoch", F.explode(F.sequence(F.lit(0), last)))
+    place = block_order(out[source], F.col("__mix_epoch"), F.col("__mix_block"), seed)
+    return out.withColumn("__mix_place", place)
