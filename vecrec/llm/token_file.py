@@ -35,7 +35,7 @@ from vecrec.session import shared_dir
 BLOCK, PERCENTILE, MARK = 8192, 95, b"PFORIDS1"
 END_ID = 1
 #: Words a task remembers the ids of.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: Characters that str.split takes for white space but the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
