@@ -387,7 +387,7 @@ st AS (SELECT *, CASE WHEN c_custkey % 10 = 0 THEN 'skip_existing' WHEN c_custke
 def intake(spark, sf):
     groups, pages = page_groups(spark, sf)
     pages = pages.withColumn("html", F.expr(INTAKE_HTML))
-    members = text.field_pairs(F.col("html"), LINK, "<nothing>(x)", 40, 2, 1)
+    members = text.field_pairs(F.col("html"), LINK, "<nothing>(x)", None, 2, 1)
     return reg.intake_status(
         groups, pages, groups.where("c_custkey % 10 = 0"), groups.where("c_custkey % 13 = 0"), "2026-04-23", members, "url_key", "article"
     )
@@ -406,7 +406,7 @@ def _slug_sql(c):
     "l4_intake_rows",
     f"""WITH {INTAKE_SQL}, lst AS (SELECT page_id, unnest(range(0, len(n))) AS i, trim(unnest(n)) AS name, trim(unnest(l)) AS local FROM (
   SELECT page_id, regexp_extract_all(html, '{LINK}', 2) AS n, regexp_extract_all(html, '{LINK}', 1) AS l FROM pages)),
-m AS (SELECT page_id, name, local FROM lst WHERE name <> '' AND length(name) <= 40 QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY i) = 1),
+m AS (SELECT page_id, name, local FROM lst WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY i) = 1),
 r AS (SELECT concat({_slug_sql('group_name')}, '__', {_slug_sql('name')}) AS entity_id, group_name, name, concat('"', group_name, '" ', CASE WHEN local <> '' THEN local ELSE name END) AS search_hint FROM st JOIN m USING (page_id) WHERE status = 'added')
 SELECT entity_id, group_name, name AS entity_name, search_hint FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY group_name, name, search_hint) = 1""",
 )

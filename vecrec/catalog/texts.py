@@ -352,7 +352,7 @@ def _(spark, sf):
 
 
 FLAGGED = "concat('<p>', CASE doc_id % 9 WHEN 0 THEN 'They Disbanded. ' WHEN 1 THEN 'a virtual idol group ' WHEN 2 THEN 'sub-unit of X ' WHEN 3 THEN 'a project group ' ELSE '' END, '</p>', text)"
-HEAD_SQL = f"substr(regexp_replace(regexp_replace({FLAGGED}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), 1, 4000)"
+HEAD_SQL = f"regexp_replace(regexp_replace({FLAGGED}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')"
 
 
 def _alt(patterns):
@@ -365,7 +365,7 @@ def _alt(patterns):
 regexp_matches(head, '{_alt(text.VIRTUAL_WORDS)}') AS virtual, regexp_matches(head, '{_alt(text.PROJECT_WORDS)}') AS project, regexp_matches(head, '{_alt(text.UNIT_WORDS)}') AS unit FROM h""",
 )
 def _(spark, sf):
-    rows = t(spark, sf, "documents").select("doc_id", text.head_text(F.expr(FLAGGED)).alias("head"))
+    rows = t(spark, sf, "documents").select("doc_id", text.page_text(F.expr(FLAGGED)).alias("head"))
     return rows.select("doc_id", *[c.alias(n) for n, c in text.page_flags(F.col("head")).items()])
 
 

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 # fixed value: feature order
 FEATURE_NAMES = (
-    "face_aspect eye_spacing eye_position_y nose_length philtrum chin_length mouth_width mouth_to_eye_ratio nose_offset_x lower_face_ratio"
-).split()
+    "face_aspect",
+    "eye_spacing",
+    "eye_position_y",
+    "nose_length",
+    "philtrum",
+    "chin_length",
+    "mouth_width",
+    "mouth_to_eye_ratio",
+    "nose_offset_x",
+    "lower_face_ratio",
+)
 MIN_LENGTH = 1e-6
 
 

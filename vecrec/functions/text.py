@@ -5,6 +5,8 @@ All are native column expressions; patterns are parameters with the fixed defaul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,10 +166,14 @@ def tags_to_text(html: Column) -> Column:
     return decode_named_entities(decode_numeric_entities(F.regexp_replace(html, r"<[^>]+>", " ")))
 
 
+def page_text(html: Column) -> Column:
+    """The tag-free page with single spaces."""
+    return F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
+
+
 def head_text(html: Column, n: int = HEAD_CHARS) -> Column:
     """The first ``n`` characters of the tag-free page, where its introduction stands."""
-    t = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
-    return F.substring(t, 1, n)
+    return F.substring(page_text(html), 1, n)
 
 
 def any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -201,17 +207,30 @@ def pattern_vote(c: Column, classes: dict[str, tuple[str, ...]]) -> Column:
     return F.when(first["s"] < second["s"], first["label"]).otherwise(F.lit(""))
 
 
-def field_pairs(html: Column, pair_pattern: str, only_pattern: str, max_len: int = 40, name_group: int = 1, local_group: int = 2) -> Column:
+def first_of_each(items: Column, field: str) -> Column:
+    """The items, in order, whose ``field`` no earlier one has."""
+    # lambda variables hold computed values: neither the items nor their fields are computed again per item
+    def pick(found: Column) -> Column:
+        return bound(F.transform(found, lambda p: p[field]), lambda seen: F.filter(found, lambda p, i: F.array_position(seen, p[field]) == i + 1))
+
+    return bound(items, pick)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def field_pairs(html: Column, pair_pattern: str, only_pattern: str, max_len: int | None = None, name_group: int = 1, local_group: int = 2) -> Column:
     """All (name, local) pairs of a page in page order, first occurrence of a name kept.
 
-    ``only_pattern`` (group 1 = name) is used when ``pair_pattern`` finds nothing. Works inside the row:
+    Names longer than ``max_len`` are passed over, if it is given. ``only_pattern`` (group 1 = name) is used when ``pair_pattern`` finds nothing. Works inside the row:
     a page's own fields never need a shuffle.
     """
     def build(names: Column, local: Column) -> Column:
         zipped = F.zip_with(F.transform(names, lambda x: F.trim(x)), F.transform(local, lambda x: F.trim(x)), lambda n, k: F.struct(n.alias("name"), k.alias("local")))
-        fits = F.filter(zipped, lambda p: (p["name"] != "") & (F.length(p["name"]) <= max_len))
-        seen = F.transform(fits, lambda p: p["name"])
-        return F.filter(fits, lambda p, i: F.array_position(seen, p["name"]) == i + 1)
+        fits = F.filter(zipped, lambda p: (p["name"] != "") & (F.lit(True) if max_len is None else F.length(p["name"]) <= max_len))
+        return first_of_each(fits, "name")
 
     both = build(
         F.regexp_extract_all(html, F.lit(pair_pattern), F.lit(name_group)), F.regexp_extract_all(html, F.lit(pair_pattern), F.lit(local_group))

@@ -34,8 +34,7 @@ def preceding_links(html: Column, item_pattern: str, link_pattern: str, blocked:
         ),
         lambda s: s["pairs"],
     )
-    firsts = F.filter(folded, lambda p, i: F.array_position(F.transform(folded, lambda q: q["item"]), p["item"]) == i + 1)
-    return F.filter(firsts, lambda p: p["url"].isNotNull())
+    return F.filter(text.first_of_each(folded, "item"), lambda p: p["url"].isNotNull())
 
 
 def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
@@ -170,7 +169,7 @@ def intake_status(
         .join(found, "group_name", "left")
         .join(pages.select("page_id", "html"), "page_id", "left")
     )
-    flags = text.page_flags(text.head_text(F.col("html")))
+    flags = text.page_flags(text.page_text(F.col("html")))
     debut = text.date_field(F.col("html"))
     day = F.to_date(F.lit(today))
     rows = rows.withColumn("debut", debut).withColumn("members", members)

@@ -13,16 +13,8 @@ from pyspark.sql import functions as F
 from vecrec.functions import text, vec
 from vecrec.operators.rank import first_per_key
 
-SAMPLE_COLUMNS = (
-    "member_id group_name member_name image_path crop_path vector_json is_valid_face face_count quality_score det_score "
-    "face_area_ratio face_bbox_json embedding_dim pose_yaw pose_pitch pose_roll gender age error"
-).split()
-MANIFEST_COLUMNS = (
-    "downloaded_at member_id group_name member_name query source_url thumbnail_url source_page source_title source_description "
-    "file_path sha256 phash bytes width height blur_score status error"
-).split()
-ENTITY_VECTOR_COLUMNS = "member_id group_name member_name image_count kept_count confidence gender vector_json".split()
-REGISTRY_COLUMNS = "member_id group_name member_name search_hint include_terms exclude_terms".split()
+# fixed values: names of registry columns, file suffixes and statuses
+REGISTRY_COLUMNS = ["member_id", "group_name", "member_name", "search_hint", "include_terms", "exclude_terms"]
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif")
 SEEN_STATUSES = ("downloaded", "duplicate_phash")
 
