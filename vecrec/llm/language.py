@@ -6,7 +6,7 @@ the AND of an n-gram's ``HASHES`` slots is the set of all languages that contain
 text is decided by per-language counts of its n-grams, corrected for false positives: of n n-grams,
 with false-positive rate p, c hits mean (c - n p) / (1 - p) true ones.
 
-Training reads at most ``TRAIN_TEXTS`` texts per language, those with the smallest key hash; this bound
+Training reads at most ``TRAIN_TEXTS`` texts per language, chosen by key hash; this bound
 is a parameter. The model is ``SLOTS`` slots of one 64-bit word per 64 languages, whatever the input.
 Prediction maps texts in place.
 """
@@ -118,10 +118,14 @@ class Model:
 def train(docs: DataFrame, key: str, text: str, lang: str, texts: int = TRAIN_TEXTS, keep: int = TRAIN_GRAMS) -> Model:
     """Learns from the rows of ``docs`` with a language; at most ``texts`` per language."""
     rows = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), F.xxhash64(F.lit("train"), docs[key]).alias("h")).where(F.col("lang").isNotNull())
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= texts)
-    names = [r[0] for r in first.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
+    sizes = cut_lineage(rows.groupBy("lang").count())
+    if sizes.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # twice as many as wanted pass by their hash, so that a language with most of the rows sends few
+    near = F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(2.0 * texts * (1 << 40)) / F.col("count")
+    rows = rows.join(F.broadcast(sizes), "lang").where(near).drop("count")
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= texts)
+    names = [r[0] for r in sizes.select("lang").collect()]
     chosen = first.select("key", "lang").distinct()  # at most texts * MAX_LANGUAGES rows
     sample = cut_lineage(docs.select(docs[key].alias("key"), docs[text].alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "key"))
 
