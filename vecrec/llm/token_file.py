@@ -16,6 +16,7 @@ renames it at the end, so a repeated attempt gives the same shard.
 
 from __future__ import annotations
 
+import functools
 import io
 import os
 import uuid
@@ -34,7 +35,7 @@ from vecrec.session import shared_dir
 
 BLOCK, PERCENTILE, MARK = 8192, 95, b"PFORIDS1"
 END_ID = 1
-#: Words a task remembers the ids of.
+#: Words a Python worker remembers the ids of, twice over at most.
 MEMO_WORDS = 800_000
 #: Characters that str.split takes for white space but the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -144,7 +145,7 @@ class Encoder:
     """Ids of whole texts, by the words between white space.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words, each
-    encoded by the library once. A text with a character on which the two notions of white space differ
+    encoded by the library once while it is remembered. A text with a character on which the two notions of white space differ
     is encoded whole.
     """
 
@@ -199,6 +200,12 @@ class Encoder:
         return out
 
 
+@functools.cache
+def worker_encoder(tokenizer: str) -> Encoder:
+    """The encoder of this Python worker; tasks that follow one another in it share the words it remembers."""
+    return Encoder(tokenizer)
+
+
 def _runs(rows: Iterable[tuple], chars: int = 4_000_000) -> Iterator[list[tuple]]:
     """Rows (key, text) in runs of bounded text."""
     held, size = [], 0
@@ -234,7 +241,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
         first = next(rows, None)
         if first is None:
             return
-        encode = Encoder(tokenizer)
+        encode = worker_encoder(tokenizer)
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root)
         name, draft = f"{root}/shard-{first[0]:06d}.ids", f"{root}/.{uuid.uuid4().hex}"
