@@ -185,13 +185,35 @@ def test_average_linkage_brute_force():
     assert {frozenset(g) for g in groups} == {frozenset(np.nonzero(got == c)[0].tolist()) for c in set(got.tolist())}
 
 
+def test_linkage_rounds_equal_exact_linkage(spark):
+    """Distributed rounds down to a few groups cut the same clusters as merging the closest pair each time."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(3, 3)) * 9])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = sorted(range(43), key=lambda i: list(u[i]))
+    copies = [*range(43), 4, 4]  # equal rows weigh as often as they occur
+    df = spark.createDataFrame([(n, [float(v) for v in u[i]]) for n, i in enumerate(copies)], "id long, v array<double>")
+    count = np.array([copies.count(i) for i in order], float)
+    want = [cluster.average_linkage(count, u[order] * count[:, None], k) for k in (2, 5)]
+    for micro in (6, 512):
+        got = {r.id: r.labels for r in cluster.agglomerate(df, "v", 3, [2, 5], micro).collect()}
+        for k in range(2):
+            label = dict(zip(order, want[k].tolist()))
+            assert {n: x[k] for n, x in got.items()} == {n: label[i] for n, i in enumerate(copies)}
+
+
 def test_silhouettes(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 20, axis=0)
     labels = np.repeat([0, 1], 20)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(labels[i])) for i in range(40)], "id long, v array<double>, cluster_id long")
     assert cluster.cosine_silhouette(df, "v", "cluster_id") == pytest.approx(cluster.silhouette(x, labels, "cosine"), abs=1e-9)
-    assert cluster.silhouette_sample(df, "id", "v", "cluster_id", "euclidean") > 0.4
+    other = np.where(np.arange(40) % 5 == 0, -1, np.arange(40) % 3)
+    both = df.withColumn("labels", F.array("cluster_id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id") % 3)))
+    want = {0: cluster.silhouette(x, labels), 1: cluster.silhouette(x[other >= 0], other[other >= 0])}
+    for sizes in ({}, {"broadcast_bytes": 1, "right_rows": 7}):
+        got = {r.setting: r.silhouette for r in cluster.silhouettes(both, "id", "v", "labels", **sizes).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
     done = {r.id: r.cluster_id for r in cluster.kmeans(df.drop("cluster_id"), "v", 2, restarts=2).collect()}
     assert len({done[i] for i in range(20)}) == 1 and done[0] != done[39]
 

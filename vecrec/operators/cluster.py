@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecrec.functions import vec
-from vecrec.operators.rank import first_per_key, seeded_sample, top_n, zero_padded
+from vecrec.operators import blocks
+from vecrec.operators.rank import top_n, zero_padded
 from vecrec.session import cut_lineage
 
+#: Groups of average linkage that the driver merges to the end; more merge in distributed rounds.
 MICRO_CLUSTERS = 512
-SILHOUETTE_ROWS = 500
 MAX_SEGMENTS = 200
 
 
@@ -92,37 +93,104 @@ def average_linkage(counts: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
     return np.array([names[x] for x in label])
 
 
-def micro_clusters(df: DataFrame, vector: str, dim: int, micro: int = MICRO_CLUSTERS, seed: int = 42) -> tuple[DataFrame, pd.DataFrame]:
-    """Rows with a micro-cluster id, and the ``(micro, n, sums)`` state of at most ``micro`` micro-clusters.
+def nearest_groups(groups: DataFrame, dim: int, **sizes: int) -> DataFrame:
+    """(lo, hi, d, id): for each group (id, n, s) the pair it forms with its nearest other group.
 
-    Up to ``micro`` distinct rows every distinct vector is its own micro-cluster (exact linkage).
+    Equal distances (12 decimals) go to the smaller pair of ids, so the closest pair of all is mutual.
     """
-    distinct = df.groupBy(vector).agg(F.count(F.lit(1)).alias("__c"))
-    if distinct.limit(micro + 1).count() <= micro:
-        w = Window.orderBy(vector)  # at most ``micro`` rows
-        rows = df.join(distinct.withColumn("micro", F.row_number().over(w) - 1).select(vector, "micro"), vector)
-    else:
-        rows = kmeans(df, vector, micro, restarts=1, seed=seed, out="micro")
-    rows = cut_lineage(vec.with_unit(rows, vector, "__u", dim))
-    state = vec.vector_sums(rows, ["micro"], "__u", dim, "s", extra=[F.count(F.lit(1)).alias("n")]).orderBy("micro").toPandas()
-    return rows, state
-
-
-def agglomerate(df: DataFrame, vector: str, dim: int, ks: list[int], micro: int = MICRO_CLUSTERS) -> DataFrame:
-    """Two-stage average linkage for several k at once: adds ``labels`` (one cluster id per k)."""
-    rows, state = micro_clusters(df, vector, dim, micro)
-    sums, counts = np.stack(state["s"].to_numpy()), state["n"].to_numpy()
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        d = np.round(1.0 - (blocks.matrix(left["s"]) @ blocks.matrix(right["s"]).T) / np.outer(left["n"], right["n"]), 12)
+        d[a[:, None] == b[None, :]] = np.inf
+        least = d.min(axis=1)
+        tied = d == least[:, None]
+        # for one group the order of its pairs is that of the partners
+        other = np.where(tied, b[None, :], np.iinfo(np.int64).max).min(axis=1)
+        found = pd.DataFrame({"id": a, "d": least, "lo": np.minimum(a, other), "hi": np.maximum(a, other)})
+        return found[np.isfinite(least)]
+
+    met = blocks.block_apply(groups, groups, closest, "id long, d double, lo long, hi long", "id", "id", 8 * dim + 16, **sizes)
+    best = met.groupBy("id").agg(F.min(F.struct("d", "lo", "hi")).alias("b"))
+    return best.select("id", "b.d", "b.lo", "b.hi")
+
+
+def merged_groups(groups: DataFrame, dim: int, most_k: int, micro: int, **sizes: int) -> tuple[DataFrame, DataFrame]:
+    """Average linkage by rounds of mutual nearest groups, down to ``micro`` groups -> (groups, (id, group) moves).
+
+    Average linkage is reducible: mutual nearest groups merge at some time in any order. A group whose
+    nearest one is at distance h stays alone below h, so at a height that ``most_k`` groups reach there are
+    ``most_k`` clusters or more, and merges below it belong to every cut asked for. The result is the same
+    as merging the closest pair each time. A round compares all groups block by block.
+    """
+    moves = cut_lineage(groups.select("id", F.col("id").alias("group")))
+    while groups.count() > max(micro, most_k):
+        best = cut_lineage(nearest_groups(groups, dim, **sizes))
+        height = best.select("d").orderBy(F.desc("d")).limit(most_k).agg(F.min("d")).first()[0]
+        least = best.agg(F.min(F.struct("d", "lo", "hi")).alias("b")).first()["b"]
+        mutual = best.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d")).where("c = 2")
+        first = (F.col("lo") == least["lo"]) & (F.col("hi") == least["hi"])
+        pairs = cut_lineage(mutual.where((F.col("d") < height) | first).select("lo", "hi"))
+        placed = groups.join(pairs, groups["id"] == pairs["hi"], "left").withColumn("id", F.coalesce("lo", "id")).drop("lo", "hi")
+        groups = cut_lineage(vec.vector_sums(placed, ["id"], "s", dim, "t", extra=[F.sum("n").alias("m")]).select("id", F.col("m").alias("n"), F.col("t").alias("s")))
+        moves = cut_lineage(moves.join(pairs, moves["group"] == pairs["hi"], "left").select("id", F.coalesce("lo", "group").alias("group")))
+    return groups, moves
+
+
+def agglomerate(df: DataFrame, vector: str, dim: int, ks: list[int], micro: int = MICRO_CLUSTERS, **sizes: int) -> DataFrame:
+    """Average linkage under cosine distance, cut at several k: adds ``labels`` (one cluster id per k).
+
+    Exact at every size: groups merge in distributed rounds until ``micro`` are left, whose (n, sum) state
+    the driver merges to the end. Clusters are numbered by their least vector.
+    """
+    distinct = df.groupBy(vector).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy(vector).withColumn("id", F.monotonically_increasing_id())
+    distinct = cut_lineage(vec.with_unit(distinct, vector, "__u", dim))
+    groups = distinct.select("id", "n", F.transform("__u", lambda x: x * F.col("n")).alias("s"))
+    groups, moves = merged_groups(groups, dim, max(ks), micro, **sizes)
+    state = groups.orderBy("id").toPandas()
+    sums, counts = blocks.matrix(state["s"]), state["n"].to_numpy()
     cuts = np.stack([average_linkage(counts, sums, k) for k in ks], axis=1)
     table = df.sparkSession.createDataFrame(
-        [(int(m), [int(x) for x in cut]) for m, cut in zip(state["micro"], cuts)], "micro int, labels array<bigint>"
+        [(int(m), [int(x) for x in cut]) for m, cut in zip(state["id"], cuts, strict=True)], "group long, labels array<bigint>"
     )
-    return rows.join(F.broadcast(table), "micro").drop("micro", "__u")  # at most ``micro`` rows
+    named = distinct.select(F.col(vector).alias("__of"), "id").join(moves, "id").join(F.broadcast(table), "group")  # at most ``micro`` rows
+    return df.join(named.select("__of", "labels"), df[vector] == F.col("__of")).drop("__of")
+
 
+def silhouettes(df: DataFrame, id_col: str, vector: str, labels: str, **sizes: int) -> DataFrame:
+    """Exact euclidean silhouette over all rows, for several labellings at once -> (setting, silhouette).
 
-def silhouette_sample(df: DataFrame, id_col: str, vector: str, label: str, metric: str, n: int = SILHOUETTE_ROWS) -> float:
-    """Textbook silhouette on a reproducible sample of at most ``n`` rows (all rows when fewer)."""
-    pdf = seeded_sample(df.select(id_col, vector, label), id_col, n).toPandas()
-    return silhouette(np.stack(pdf[vector].to_numpy()), pdf[label].to_numpy(), metric)
+    ``labels`` holds one label per labelling, -1 for rows it leaves out. Distances are summed per (row, label)
+    inside blocks, once for all labellings; pairs never become rows. A labelling with one label has none (NaN).
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(labels).alias("labels"))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y = blocks.matrix(left["v"]), blocks.matrix(right["v"])
+        d = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
+        d[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = 0.0
+        own, other = (np.stack(f["labels"].to_numpy()) for f in (left, right))
+        parts = []
+        for k in range(own.shape[1]):
+            here, there = np.flatnonzero(own[:, k] >= 0), np.flatnonzero(other[:, k] >= 0)
+            names, codes = np.unique(other[there, k], return_inverse=True)
+            total = d[np.ix_(here, there)] @ np.eye(len(names))[codes]
+            ids = left["id"].to_numpy()[here]
+            parts.append(pd.DataFrame({"id": np.repeat(ids, len(names)), "setting": np.int32(k), "own": np.repeat(own[here, k], len(names)), "label": np.tile(names, len(here)), "total": total.ravel()}))
+        return pd.concat(parts, ignore_index=True)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    row_bytes = rows.agg(F.max(8 * F.size("v") + 8 * F.size("labels"))).first()[0] or 0
+    met = blocks.block_apply(rows, rows, sums, f"id {kind}, setting int, own long, label long, total double", "id", "id", row_bytes + 64, left_rows=512, **sizes)
+    counted = rows.select(F.posexplode("labels").alias("setting", "label")).where("label >= 0").groupBy("setting", "label").count()
+    mean = met.groupBy("id", "setting", "own", "label").agg(F.sum("total").alias("total")).join(counted, ["setting", "label"])
+    same = F.col("own") == F.col("label")
+    each = mean.groupBy("id", "setting").agg(
+        F.max(F.when(same, F.col("total") / F.greatest(F.col("count") - 1, F.lit(1)))).alias("a"),
+        F.max(F.when(same, F.col("count"))).alias("n"),
+        F.min(F.when(~same, F.col("total") / F.col("count"))).alias("b"),
+    )
+    one = F.when(F.col("b").isNull(), F.lit(float("nan"))).when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(vec.TINY)))
+    return each.groupBy("setting").agg(F.avg(one).alias("silhouette"))
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray, metric: str = "euclidean") -> float:
@@ -154,20 +222,20 @@ def cosine_silhouette(df: DataFrame, vector: str, label: str) -> float:
 
 
 def auto_k(df: DataFrame, id_col: str, vector: str, dim: int, method: str = "auto", ks: range = range(2, 21), restarts: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Best k by silhouette: ``auto`` = k-means + euclidean, ``auto-cosine`` = average linkage + cosine."""
-    df = cut_lineage(df)
-    scored, kept = [], None
-    fits = agglomerate(df, vector, dim, list(ks)) if method == "auto-cosine" else None
-    fits = cut_lineage(fits) if fits is not None else None
-    for i, k in enumerate(ks):
-        if fits is not None:
-            labelled = fits.withColumn("cluster_id", F.get("labels", F.lit(i))).drop("labels")
-        else:
-            labelled = kmeans(df, vector, k, restarts)
-        s = silhouette_sample(labelled, id_col, vector, "cluster_id", "cosine" if fits is not None else "euclidean")
-        if not scored or s > max(x[1] for x in scored):
-            kept = labelled
-        scored.append((k, s))
+    """Best k by silhouette over all rows: ``auto`` = k-means + euclidean, ``auto-cosine`` = average linkage + cosine."""
+    fits = cut_lineage(df)
+    if method == "auto-cosine":
+        fits = cut_lineage(agglomerate(fits, vector, dim, list(ks)))
+        last = fits.agg(*[F.max(F.get("labels", F.lit(i))) for i in range(len(ks))]).first()  # 0: one cluster, which has no silhouette
+        scored = [(k, cosine_silhouette(fits.withColumn("__k", F.get("labels", F.lit(i))), vector, "__k") if last[i] else float("nan")) for i, k in enumerate(ks)]
+    else:
+        for k in ks:
+            fits = kmeans(fits, vector, k, restarts, out=f"__k{k}")
+        fits = cut_lineage(fits.withColumn("labels", F.array(*[f"__k{k}" for k in ks])).drop(*[f"__k{k}" for k in ks]))
+        found = {r["setting"]: r["silhouette"] for r in silhouettes(fits, id_col, vector, "labels").collect()}  # one row per k
+        scored = [(k, found[i]) for i, k in enumerate(ks)]
+    best = max(range(len(scored)), key=lambda i: (scored[i][1] if scored[i][1] == scored[i][1] else -2.0, -i))
+    kept = fits.withColumn("cluster_id", F.get("labels", F.lit(best))).drop("labels")
     return kept, df.sparkSession.createDataFrame(scored, "k int, silhouette double")
 
 
@@ -248,7 +316,7 @@ def name_clusters(rows: DataFrame, segment: str, cluster: str = "cluster_id", wi
     )
 
 
-def density_scan_scores(clusters: DataFrame, rows: DataFrame, id_col: str, vector: str, target_k: float, mode: str = "samples", sample: int = 1000) -> DataFrame:
+def density_scan_scores(clusters: DataFrame, rows: DataFrame, id_col: str, vector: str, target_k: float, mode: str = "samples") -> DataFrame:
     """Score every (eps, min_size) setting: silhouette * sqrt(1-noise) * k prior * balance.
 
     ``mode`` samples: sigma = max(5, K/2), size bound max(50, 2N/K). ``mode`` entities: bound max(20, 1.5N/K).
@@ -262,18 +330,12 @@ def density_scan_scores(clusters: DataFrame, rows: DataFrame, id_col: str, vecto
     stats = sizes.groupBy(*keys).agg(
         F.count(F.when(real, 1)).alias("k"), F.sum(F.when(real, F.col("c")).otherwise(0)).alias("n_kept"), F.max(F.when(real, F.col("c"))).alias("max_size")
     )
-    digest = F.md5(F.concat(F.lit("42:"), F.col("id").cast("string")))
-    w = Window.partitionBy(*keys).orderBy("__d", "id")
-    picked = (
-        clusters.where("label >= 0").withColumn("__d", digest).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
-        .join(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "id")
-    )
-
-    def sil(pdf: pd.DataFrame) -> pd.DataFrame:  # at most ``sample`` rows per setting
-        s = silhouette(np.stack(pdf["v"].to_numpy()), pdf["label"].to_numpy(), "euclidean")
-        return pd.DataFrame({"eps": [pdf["eps"].iloc[0]], "min_size": [pdf["min_size"].iloc[0]], "silhouette": [s]})
-
-    sils = picked.groupBy(*keys).applyInPandas(sil, "eps double, min_size int, silhouette double")
+    grid = [(r["eps"], r["min_size"]) for r in clusters.select(*keys).distinct().orderBy(*keys).collect()]  # the settings asked for
+    label_of = [F.coalesce(F.max(F.when((F.col("eps") == e) & (F.col("min_size") == m), F.col("label"))), F.lit(-1)).cast("bigint") for e, m in grid]
+    labelled = clusters.groupBy("id").agg(F.array(*label_of).alias("labels")).join(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), "id")
+    at = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("setting"))
+    found = silhouettes(cut_lineage(labelled), "id", "v", "labels")
+    sils = found.select(at([e for e, _ in grid]).alias("eps"), at([m for _, m in grid]).alias("min_size"), "silhouette")
     enough = 20 if mode == "samples" else 10
     prior = F.exp(-((F.col("k") - float(target_k)) ** 2) / (2 * sigma * sigma))
     return (
