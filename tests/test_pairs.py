@@ -218,6 +218,22 @@ def test_silhouettes(spark):
     assert len({done[i] for i in range(20)}) == 1 and done[0] != done[39]
 
 
+def test_kmeans_for_several_k_at_once(spark):
+    """Each row has its nearest centre, each centre is the mean of its rows, and clear clusters are found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3)) * 0.2 + np.repeat(np.eye(3) * 5, 20, axis=0)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)], "id long, v array<double>").repartition(3)
+    got = {r.id: r.labels for r in cluster.kmeans_many(df, "v", [2, 3, 5], 4).collect()}
+    for k, size in enumerate((2, 3, 5)):
+        label = np.array([got[i][k] for i in range(60)])
+        centres = np.stack([x[label == c].mean(axis=0) for c in range(size)])
+        assert (((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) == label).all()
+    assert len({(got[i][1], i // 20) for i in range(60)}) == 3
+    labelled, scores = cluster.auto_k(df, "id", "v", 3, "auto", range(2, 6), 4)
+    assert max(scores.collect(), key=lambda r: r.silhouette).k == 3 and labelled.select("cluster_id").distinct().count() == 3
+    assert cluster.kmeans_many(df.limit(0), "v", [2], 2).count() == 0
+
+
 def test_block_grid_covers_every_pair_once(spark):
     df = spark.range(53).toDF("id")
     import pandas as pd

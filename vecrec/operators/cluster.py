@@ -18,6 +18,8 @@ from vecrec.session import cut_lineage
 
 #: Groups of average linkage that the driver merges to the end; more merge in distributed rounds.
 MICRO_CLUSTERS = 512
+#: Rows that k-means seeds are drawn from.
+SEED_ROWS = 5_000
 MAX_SEGMENTS = 200
 
 
@@ -68,6 +70,82 @@ def kmeans(df: DataFrame, vector: str, k: int, restarts: int = 10, seed: int = 4
     return best.transform(rows).drop("__x").withColumn(out, F.col(out).cast("bigint"))
 
 
+def seeded_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeds among the rows of ``x``."""
+    chosen = [x[rng.integers(len(x))]]
+    d = ((x - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))])
+        d = np.minimum(d, ((x - chosen[-1]) ** 2).sum(axis=1))
+    return np.stack(chosen)
+
+
+def kmeans_many(df: DataFrame, vector: str, ks: list[int], restarts: int = 30, seed: int = 42, out: str = "labels", max_iter: int = 50, tol: float = 1e-4, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """k-means for several k and restarts side by side: adds ``labels``, for each k those of its cheapest restart.
+
+    Seeds come from k-means++ on a sample of ``seed_rows`` rows by hash; each step then reads all rows once for
+    all models. Centres and their sums (ks x restarts x dim numbers, whatever the input) go through the driver.
+    """
+    rows, spark = cut_lineage(df), df.sparkSession
+    total = rows.count()
+    if not total:
+        return rows.withColumn(out, F.array(*[F.lit(0).cast("bigint") for _ in ks]))
+    share = int(min(1.0, 2 * seed_rows / total) * (1 << 30))
+    near = rows.select(F.xxhash64(vector).alias("h"), vector).where(F.pmod("h", F.lit(1 << 30)) < share).orderBy("h").limit(seed_rows).toPandas()
+    x = blocks.matrix(near[vector] if len(near) else rows.select(vector).limit(1).toPandas()[vector])
+    models = [k for k in ks for _ in range(restarts)]
+    centres = np.concatenate([seeded_centres(x, k, np.random.default_rng(seed + i)) for i, k in enumerate(models)])
+    cut = np.concatenate([[0], np.cumsum(models)])
+    owner, live = np.repeat(np.arange(len(models)), models), np.ones(len(models), bool)
+    costs = np.full(len(models), np.inf)
+
+    def nearest(x: np.ndarray, c: np.ndarray, which: np.ndarray):
+        d = (c * c).sum(axis=1)[None, :] - 2 * x @ c.T
+        for m in which:
+            part = d[:, cut[m] : cut[m + 1]]
+            label = part.argmin(axis=1)
+            yield m, label, part[np.arange(len(x)), label]
+
+    for _ in range(max_iter):
+        shared = spark.sparkContext.broadcast((centres, np.flatnonzero(live)))
+
+        def step(batches, shared=shared):
+            c, which = shared.value
+            n, sums, cost = np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))
+            for batch in batches:
+                x = blocks.matrix(batch[vector])
+                for part in np.array_split(x, -(-len(x) // 1024)) if len(x) else ():
+                    sq = (part * part).sum(axis=1)
+                    for m, label, d in nearest(part, c, which):
+                        one = np.eye(cut[m + 1] - cut[m])[label]
+                        n[cut[m] : cut[m + 1]] += one.sum(axis=0)
+                        sums[cut[m] : cut[m + 1]] += one.T @ part
+                        cost[cut[m]] += (sq + d).sum()
+            yield pd.DataFrame({"centre": np.arange(len(c)), "n": n, "cost": cost, "s": list(sums)})
+
+        done = vec.vector_sums(rows.select(vector).mapInPandas(step, "centre int, n double, cost double, s array<double>"), ["centre"], "s", x.shape[1], "t", extra=[F.sum("n").alias("n"), F.sum("cost").alias("cost")])
+        state = done.orderBy("centre").toPandas()
+        n, sums = state["n"].to_numpy(), blocks.matrix(state["t"])
+        costs[live] = np.add.reduceat(state["cost"].to_numpy(), cut[:-1])[live]
+        new = np.where((n > 0)[:, None], sums / np.maximum(n, 1)[:, None], centres)
+        moved = np.maximum.reduceat(((new - centres) ** 2).sum(axis=1), cut[:-1]) > tol * tol
+        live &= moved
+        centres = np.where(live[owner][:, None], new, centres)
+        if not live.any():
+            break
+    best = np.array([i * restarts + costs[i * restarts : (i + 1) * restarts].argmin() for i in range(len(ks))])
+    shared = spark.sparkContext.broadcast((centres, best))
+
+    def name(batches):
+        c, which = shared.value
+        for batch in batches:
+            found = np.stack([label for _, label, _ in nearest(blocks.matrix(batch[vector]), c, which)], axis=1) if len(batch) else np.zeros((0, len(ks)))
+            yield batch.assign(**{out: list(found.astype(np.int64))})
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(name, f"{shape}, `{out}` array<bigint>")
+
+
 def average_linkage(counts: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
     """Exact average linkage under cosine distance on (n, sum of unit rows) of a bounded set of groups.
 
@@ -229,9 +307,7 @@ def auto_k(df: DataFrame, id_col: str, vector: str, dim: int, method: str = "aut
         last = fits.agg(*[F.max(F.get("labels", F.lit(i))) for i in range(len(ks))]).first()  # 0: one cluster, which has no silhouette
         scored = [(k, cosine_silhouette(fits.withColumn("__k", F.get("labels", F.lit(i))), vector, "__k") if last[i] else float("nan")) for i, k in enumerate(ks)]
     else:
-        for k in ks:
-            fits = kmeans(fits, vector, k, restarts, out=f"__k{k}")
-        fits = cut_lineage(fits.withColumn("labels", F.array(*[f"__k{k}" for k in ks])).drop(*[f"__k{k}" for k in ks]))
+        fits = cut_lineage(kmeans_many(fits, vector, list(ks), restarts))
         found = {r["setting"]: r["silhouette"] for r in silhouettes(fits, id_col, vector, "labels").collect()}  # one row per k
         scored = [(k, found[i]) for i, k in enumerate(ks)]
     best = max(range(len(scored)), key=lambda i: (scored[i][1] if scored[i][1] == scored[i][1] else -2.0, -i))
@@ -239,7 +315,7 @@ def auto_k(df: DataFrame, id_col: str, vector: str, dim: int, method: str = "aut
     return kept, df.sparkSession.createDataFrame(scored, "k int, silhouette double")
 
 
-def choose_k(df: DataFrame, vector: str, dim: int, min_k: int, max_k: int, target_k: int, method: str = "kmeans", restarts: int = 3) -> tuple[DataFrame, DataFrame]:
+def choose_k(df: DataFrame, vector: str, dim: int, min_k: int, max_k: int, target_k: int, method: str = "kmeans", restarts: int = 30) -> tuple[DataFrame, DataFrame]:
     """Best k by ``max(0, silhouette) * balance * gaussian prior`` -> (labelled rows, scores)."""
     df = cut_lineage(df)
     n = df.count()
@@ -247,11 +323,10 @@ def choose_k(df: DataFrame, vector: str, dim: int, min_k: int, max_k: int, targe
     min_k = min(min_k, max_k)
     sigma = max(2.0, target_k / 3)
     ks = list(range(min_k, max_k + 1))
-    fits = cut_lineage(agglomerate(df, vector, dim, ks)) if method != "kmeans" else None
+    fits = cut_lineage(kmeans_many(df, vector, ks, restarts) if method == "kmeans" else agglomerate(df, vector, dim, ks))
     scores, kept, top = [], None, -1.0
     for i, k in enumerate(ks):
-        labelled = kmeans(df, vector, k, restarts) if fits is None else fits.withColumn("cluster_id", F.get("labels", F.lit(i))).drop("labels")
-        labelled = cut_lineage(labelled)
+        labelled = fits.withColumn("cluster_id", F.get("labels", F.lit(i))).drop("labels")
         sil = cosine_silhouette(labelled, vector, "cluster_id")
         largest = labelled.groupBy("cluster_id").count().agg(F.max("count")).first()[0]
         balance = min(1.0, 2.5 * (n / k) / largest)
