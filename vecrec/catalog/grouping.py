@@ -61,18 +61,18 @@ def _(spark, sf):
 # ---- fingerprints ----------------------------------------------------------------------------
 FP_SQL = """CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END)) AS BIGINT)"""
 ITEMS_SQL = f"""items AS (
-  SELECT concat('g', label) AS entity_id, vec_id AS id, vec_id AS ord, {FP_SQL} AS fp FROM embeddings
+  SELECT concat('g', label) AS entity_id, 2 * vec_id AS id, 2 * vec_id AS ord, {FP_SQL} AS fp FROM embeddings
   UNION ALL
-  SELECT concat('g', CASE WHEN vec_id % 10 = 0 THEN (label + 1) % 10 ELSE label END), vec_id + 1000000, vec_id + 1000000, {FP_SQL}
+  SELECT concat('g', CASE WHEN vec_id % 10 = 0 THEN (label + 1) % 10 ELSE label END), 2 * (vec_id + 50) + 1, 2 * (vec_id + 50) + 1, {FP_SQL}
   FROM embeddings WHERE vec_id % 5 = 0)"""
 
 
 def items(spark, sf):
-    """Samples plus re-posts of every fifth one (half of them under the next entity)."""
+    """Samples plus re-posts of every fifth one (half of them under the next entity), a little later: samples have even ids, re-posts odd ones."""
     e = views.table(spark, sf, "embeddings").withColumn("fp", pairs.sign_fingerprint("embedding", 63))
-    first = e.selectExpr("concat('g', label) AS entity_id", "vec_id AS id", "vec_id AS ord", "fp")
+    first = e.selectExpr("concat('g', label) AS entity_id", "2 * vec_id AS id", "2 * vec_id AS ord", "fp")
     again = e.where("vec_id % 5 = 0").selectExpr(
-        "concat('g', CASE WHEN vec_id % 10 = 0 THEN (label + 1) % 10 ELSE label END) AS entity_id", "vec_id + 1000000 AS id", "vec_id + 1000000 AS ord", "fp"
+        "concat('g', CASE WHEN vec_id % 10 = 0 THEN (label + 1) % 10 ELSE label END) AS entity_id", "2 * (vec_id + 50) + 1 AS id", "2 * (vec_id + 50) + 1 AS ord", "fp"
     )
     return first.unionByName(again)
 

@@ -618,16 +618,24 @@ def _(spark, sf):
 
 
 # ---- streams ---------------------------------------------------------------------------------------------
-def event_stream(spark, sf):
-    return streams.file_stream(spark, sf, t(spark, sf, "events").schema, "events.parquet")
+SLICES = 4
 
 
-@query("t1_skip_processed", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def event_stream(spark, sf, path):
+    """The events in slices that arrive one after the other, each in files of its own, read in about ``SLICES`` micro-batches."""
+    events = t(spark, sf, "events")
+    for k in range(SLICES):
+        events.where(F.col("event_id") % SLICES == k).write.mode("append").parquet(f"{path}/in")
+    files = len(spark.read.parquet(f"{path}/in").inputFiles())
+    return streams.file_stream(spark, f"{path}/in", events.schema, files_per_batch=max(1, -(-files // SLICES)))
+
+
+@query("t1_skip_processed", f"SELECT user_id, event_type, min(event_id % {SLICES}) AS slice FROM events GROUP BY 1, 2")
 def _(spark, sf):
     path = scratch(spark, "stream")
-    rows = event_stream(spark, sf).select("event_id", "user_id", "event_type")
-    streams.skip_processed(rows, ["user_id", "event_type"], "event_id", f"{path}/rows", f"{path}/checkpoint")
-    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/epoch=*").select("user_id", "event_type", "event_id")
+    rows = event_stream(spark, sf, path).select((F.col("event_id") % SLICES).alias("slice"), "user_id", "event_type")
+    streams.skip_processed(rows, ["user_id", "event_type"], "slice", f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/epoch=*").select("user_id", "event_type", "slice")
 
 
 EVENT_VEC = "array(value, double(get_json_object(props, '$.k')), double(event_id % 7), 1D)"
@@ -640,7 +648,7 @@ u AS (SELECT user_id, {unit('v')} AS u FROM e), {mean_cte('c', 'u', 'user_id', '
 )
 def _(spark, sf):
     path = scratch(spark, "stream")
-    rows = event_stream(spark, sf).select("user_id", F.expr(EVENT_VEC).alias("v"))
+    rows = event_stream(spark, sf, path).select("user_id", F.expr(EVENT_VEC).alias("v"))
     streams.accumulate_moments(rows, "user_id", "v", 4, f"{path}/state", f"{path}/checkpoint")
     return long_vector(streams.current_vectors(spark, f"{path}/state", "user_id", 4), "user_id", "n")
 
@@ -648,7 +656,7 @@ def _(spark, sf):
 @query("t3_progress", "WITH " + PROGRESS_SQL.format(before="false", m=60))
 def _(spark, sf):
     path = scratch(spark, "stream")
-    rows = event_stream(spark, sf).select(F.concat(F.lit("u"), "user_id").alias("entity_id"))
+    rows = event_stream(spark, sf, path).select(F.concat(F.lit("u"), "user_id").alias("entity_id"))
     streams.count_progress(rows, "entity_id", f"{path}/counts", f"{path}/checkpoint")
     ids = t(spark, sf, "customer").selectExpr("concat('u', c_custkey) AS entity_id")
-    return streams.progress_between(spark, f"{path}/counts", ids, 60, -1, 0)
+    return streams.progress_between(spark, f"{path}/counts", ids, 60, -1, streams.LAST_EPOCH)

@@ -318,7 +318,7 @@ def search_queries(hint: Column, group: Column, name: Column, include: Column, e
 
 def replace_first(c: Column, old: Column, new: Column) -> Column:
     """Replace the first occurrence; unchanged when either side is empty."""
-    at = F.locate_column(old, c) if hasattr(F, "locate_column") else F.instr(c, old)
+    at = F.instr(c, old)
     return F.when((old != "") & (new != "") & (at > 0), F.overlay(c, new, at, F.length(old))).otherwise(c)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -17,6 +18,9 @@ from vecrec.operators.aggregate import consistency, merge_moments, moments
 from vecrec.operators.rank import first_per_key
 from vecrec.operators.registry import round_progress
 
+#: Stands for all epochs written so far.
+LAST_EPOCH = 2**31 - 1
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
@@ -37,6 +41,17 @@ def epoch_path(path: str, epoch: int) -> str:
     return f"{path}/epoch={epoch}"
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether files match ``path``."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def read_epochs(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """All batch partitions with their ``epoch`` number."""
     reader = spark.read.option("basePath", path)
@@ -54,9 +69,13 @@ def within_watermark(stream: DataFrame, keys: list[str], event_time: str, delay:
 def skip_processed(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> None:
     """Append only rows whose key was never written; the first row in ``order`` of a key wins in its batch.
 
-    The written table itself is the memory, so repeats are skipped however late they come.
+    The written table itself is the memory, so repeats are skipped however late they come. A table goes with
+    one checkpoint: epochs of a new one would replace those that are there, so that is an error.
     """
     schema = stream.schema
+    spark = stream.sparkSession
+    if written(spark, f"{path}/epoch=*") and not written(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{path} was written under another checkpoint")
 
     def handle(batch: DataFrame, epoch: int) -> None:
         fresh = first_per_key(batch, keys, [F.col(order)])
