@@ -345,6 +345,18 @@ def _(spark, sf):
     return cluster.vote_entities(rows).withColumn("consensus", F.round("consensus", 6))
 
 
+@query(
+    "a17_consensus",
+    f"""WITH {CLUSTERED_SQL}, c AS (SELECT entity_id, count(*) AS n, max(k) AS k FROM (SELECT entity_id, count(*) FILTER (cluster_id >= 0) OVER (PARTITION BY entity_id, cluster_id) AS k FROM clustered) GROUP BY 1)
+SELECT round(min(k / n) FILTER (k > 0), 6) AS min_consensus, round(avg(k / n) FILTER (k > 0), 6) AS mean_consensus, round(max(k / n) FILTER (k > 0), 6) AS max_consensus,
+       count(*) AS n_entities, count(*) FILTER (k = 0) AS n_noise FROM c""",
+)
+def _(spark, sf):
+    rows = views.samples(spark, sf).withColumn("cluster_id", F.expr("CASE WHEN sample_id % 11 = 0 THEN -1 ELSE (sample_id * 7) % 4 END"))
+    found = cluster.consensus_report(cluster.vote_entities(rows))
+    return found.select(*[F.round(c, 6).alias(c) if c.endswith("consensus") else c for c in found.columns])
+
+
 TYPED_SQL = f"{BUILT_SQL}, typed AS (SELECT *, CAST(substr(entity_id, 2) AS BIGINT) % 4 AS cluster_id FROM ev WHERE segment <> '')"
 
 

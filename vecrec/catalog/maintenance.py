@@ -14,7 +14,7 @@ from vecrec.catalog.vectors import (
 )
 from vecrec.catalog.views import D1, D2, MAPS_SQL, SAMPLES_SQL
 from vecrec.functions import text, vec
-from vecrec.operators import dedupe, registry as reg, rerank, score
+from vecrec.operators import curate, dedupe, registry as reg, rerank, score
 from vecrec.operators.rank import first_per_key, seeded_sample
 from vecrec.plans.registry_flows import anchor_log
 from vecrec.session import cut_lineage, shared_dir
@@ -398,6 +398,11 @@ def _(spark, sf):
     return intake(spark, sf).select("group_name", "status", F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("page_id"), F.col("debut").cast("string").alias("debut"))
 
 
+@query("a17_status_counts", f"WITH {INTAKE_SQL} SELECT status, count(*) AS n FROM st GROUP BY 1")
+def _(spark, sf):
+    return curate.count_by(intake(spark, sf), "status")
+
+
 def _slug_sql(c):
     return f"coalesce(nullif(trim(regexp_replace(lower(trim({c})), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown')"
 

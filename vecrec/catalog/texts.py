@@ -232,6 +232,17 @@ def _(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.array_join(text.slug_candidates(name), "|").alias("slugs"))
 
 
+@query(
+    "p11_page_paths",
+    """WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(trim(p_brand)), '[^a-z0-9]+', '-', 'g'), '-') AS raw FROM part),
+b AS (SELECT p_partkey, CASE raw WHEN 'brand-1' THEN 'brand-one' WHEN 'brand-12' THEN 'brand-twelve' ELSE raw END AS base FROM s)
+SELECT p_partkey, CASE base WHEN 'brand-one' THEN 'brand-one-profile' WHEN 'brand-3' THEN 'brand-3-profile' ELSE base || '-members-profile' END AS path FROM b""",
+)
+def _(spark, sf):
+    aliases, paths = {"brand-1": "brand-one", "brand-12": "brand-twelve"}, {"brand-one": "brand-one-profile", "brand-3": "brand-3-profile"}
+    return t(spark, sf, "part").select("p_partkey", text.page_path(F.col("p_brand"), aliases, paths).alias("path"))
+
+
 @query(
     "p12_name_forms",
     f"""WITH n AS (SELECT p_partkey, {PART_NAME} AS name FROM part) SELECT p_partkey, lower(regexp_replace(name, '[\\s\\-.]', '', 'g')) AS name_form,
@@ -258,13 +269,19 @@ def _(spark, sf):
     return t(spark, sf, "pages").select("page_id", text.strip_html(F.expr(MARKED_HTML)).alias("txt"))
 
 
+ENTITY_HTML = "concat(html, '&#x', hex(44032 + page_id % 900), ';&#38;lt;&eacute;&apos;&amp;gt;&bogus;&#xD800;&#;& ')"
+
+
 @query(
     "p13_tags_to_text",
-    """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&hellip;', '…'), '&mdash;', '—'), '&ndash;', '–'), '&amp;', '&') AS txt FROM pages""".replace("' ', 'g'),\n'&nbsp;', ' ')", "' ', 'g'),\n'&nbsp;', chr(160))"),
+    f"""WITH s AS (SELECT page_id, string_split(regexp_replace({ENTITY_HTML}, '<[^>]+>', ' ', 'g'), '&') AS p FROM pages),
+e AS (SELECT page_id, i, p[i] AS part, regexp_extract(p[i], '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);', 1) AS body FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM s)),
+named AS (SELECT unnest({[n for n in text.NAMED_ENTITIES]}) AS body, unnest({[ord(c) for c in text.NAMED_ENTITIES.values()]}) AS code),
+n AS (SELECT e.*, CASE WHEN lower(body[2]) = 'x' AND body[1] = '#' THEN TRY_CAST('0x' || substr(body, 3) AS INTEGER) WHEN body[1] = '#' THEN TRY_CAST(substr(body, 2) AS INTEGER) ELSE code END AS code FROM e LEFT JOIN named USING (body))
+SELECT page_id, string_agg(CASE WHEN i = 1 THEN part WHEN code BETWEEN 1 AND 1114111 AND code NOT BETWEEN 55296 AND 57343 THEN concat(chr(code), substr(part, length(body) + 2)) ELSE '&' || part END, '' ORDER BY i) AS txt FROM n GROUP BY 1""",
 )
 def _(spark, sf):
-    return t(spark, sf, "pages").select("page_id", text.tags_to_text(F.col("html")).alias("txt"))
+    return t(spark, sf, "pages").select("page_id", text.tags_to_text(F.expr(ENTITY_HTML)).alias("txt"))
 
 
 @query(

@@ -6,6 +6,7 @@ All are native column expressions; patterns are parameters with the fixed defaul
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,10 @@ STOP_MARKERS = ("해체", "계약종료", "사실상해체", "프로젝트종료
 SKIP_NAMES = (r"&", r"\s+[Xx×]\s+", r"/", r"워너비$", r"^음율$|^재쓰비$|^싹쓰리$", r"\d+기$")
 DATE_FIELD = r"Debut\s*Date\s*:\s*"
 DATE_VERB = r"debuted\s+on\s+"
+DATE_FORMS = (r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})", r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})")
+STAGE_PAIR = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*\(\s*([가-힣][가-힣 \-]*)\s*\)"
+STAGE_ONLY = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*[(<]"
+GROUP_LOCAL = r"(?i)([A-Z][A-Za-z0-9!:'.\s]{1,40})\s*\(\s*([가-힣][가-힣 \-]*)\s*\)\s*is\s+a"
 QUERY_TEMPLATES = (
     "{hint}",
     "{hint} 고화질",
@@ -50,7 +55,7 @@ QUERY_TEMPLATES = (
     "{group_en} {member_en} photoshoot",
     "{group_en} {member_en} fancam",
 )
-NAMED_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "amp": "&"}
+NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 # ---------------------------------------------------------------------------------------------
 
 
@@ -111,6 +116,20 @@ def entity_id(group: Column, name: Column) -> Column:
     return F.concat(id_slug(group), F.lit("__"), id_slug(name))
 
 
+def _looked_up(c: Column, table: dict[str, str]) -> Column:
+    if not table:
+        return c
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), c)
+
+
+def page_path(name: Column, aliases: dict[str, str] | None = None, paths: dict[str, str] | None = None, suffix: str = "-members-profile") -> Column:
+    """Path of a name's page: its slug, or the slug it has in ``aliases``, with ``suffix``; ``paths`` holds those that differ."""
+    base = _looked_up(slug(name), aliases or {})
+    usual = F.concat(base, F.lit(suffix))
+    special = F.create_map(*[F.lit(x) for pair in paths.items() for x in pair]) if paths else None
+    return usual if special is None else F.coalesce(F.try_element_at(special, base), usual)
+
+
 def slug_candidates(name: Column) -> Column:
     """Page slugs to try, in order of preference; empty when nothing is left of the name."""
     low = F.lower(name)
@@ -146,11 +165,24 @@ def decode_numeric_entities(c: Column) -> Column:
     return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
 
 
-def decode_named_entities(c: Column) -> Column:
-    """Common named entities; ``&amp;`` comes last so nothing is decoded twice."""
-    for name, char in NAMED_ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return c
+def decode_entities(c: Column) -> Column:
+    """``&#NNN;``, ``&#xHHH;`` and the named entities of HTML 4 (and ``&apos;``) -> character, in one pass.
+
+    What names nothing stays as text, and nothing is decoded twice: ``&amp;lt;`` gives ``&lt;``.
+    """
+    named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+
+    def piece(p: Column) -> Column:
+        body = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = F.lower(F.substring(body, 2, 1)) == "x"
+        n = F.when(hexed, F.conv(F.substring(body, 3, 6), 16, 10).cast("bigint")).when(body.startswith("#"), F.substring(body, 2, 7).cast("bigint"))
+        ok = n.between(1, 1114111) & ~n.between(55296, 57343)
+        char = F.when(body == "", F.lit(None)).when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.try_element_at(named, body))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(p, F.length(body) + 2))).otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(c, "&")
+    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), piece)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
 
 
 def strip_html(html: Column) -> Column:
@@ -163,7 +195,7 @@ def strip_html(html: Column) -> Column:
 
 
 def tags_to_text(html: Column) -> Column:
-    return decode_named_entities(decode_numeric_entities(F.regexp_replace(html, r"<[^>]+>", " ")))
+    return decode_entities(F.regexp_replace(html, r"<[^>]+>", " "))
 
 
 def page_text(html: Column) -> Column:
@@ -240,10 +272,6 @@ def field_pairs(html: Column, pair_pattern: str, only_pattern: str, max_len: int
     return F.when(F.size(both) > 0, both).otherwise(only)
 
 
-STAGE_PAIR = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*\(\s*([가-힣][가-힣 \-]*)\s*\)"
-STAGE_ONLY = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*[(<]"
-GROUP_LOCAL = r"(?i)([A-Z][A-Za-z0-9!:'.\s]{1,40})\s*\(\s*([가-힣][가-힣 \-]*)\s*\)\s*is\s+a"
-
 
 def before_stop(c: Column, stop: str) -> Column:
     """Text before the first match of ``stop`` (all of it when there is none)."""
@@ -262,9 +290,7 @@ def script_segment(raw: Column, run: str = HANGUL_RUN, drop: str = KANA) -> Colu
 def parse_day(s: Column) -> Column:
     """``2024.1.31``, ``2024/01/31``, ``January 31, 2024`` or ``31 Jan 2024`` -> date, else null."""
     s = F.trim(s)
-    ymd = r"^(\d{4})[./](\d{1,2})[./](\d{1,2})"
-    mdy = r"^([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})"
-    dmy = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
+    ymd, mdy, dmy = DATE_FORMS
     months = "january february march april may june july august september october november december".split()
     short = {m[:3]: i + 1 for i, m in enumerate(months)} | {"sept": 9} | {m: i + 1 for i, m in enumerate(months)}
     table = F.create_map(*[x for k, v in short.items() for x in (F.lit(k), F.lit(v))])

@@ -99,12 +99,6 @@ def confidence_scaled(score: Column, confidence: Column) -> Column:
     return score * (F.lit(0.5) + F.lit(0.5) * confidence)
 
 
-def vector_dim(df: DataFrame, vec: str) -> int:
-    """Dimension from one row (a single-row job); ``check_dimension`` verifies the rest."""
-    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).head(1)
-    return int(row[0]["d"]) if row else 0
-
-
 def dimension_report(df: DataFrame, vec: str, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or [])).agg(
         F.min(F.size(vec)).cast("bigint").alias("min_dim"),

@@ -367,6 +367,15 @@ def vote_entities(samples: DataFrame, cluster: str = "cluster_id", order: str =
     ).withColumn("consensus", F.col("majority_count") / F.col("total_samples"))
 
 
+def consensus_report(votes: DataFrame) -> DataFrame:
+    """One row: least, mean and greatest consensus of the entities with a cluster, and how many have none."""
+    real = F.col("cluster_id") >= 0
+    share = F.when(real, F.col("consensus"))
+    return votes.agg(
+        F.min(share).alias("min_consensus"), F.avg(share).alias("mean_consensus"), F.max(share).alias("max_consensus"), F.count(F.lit(1)).alias("n_entities"), F.count_if(~real).alias("n_noise")
+    )
+
+
 def cluster_profile(rows: DataFrame, keys: list[str], top_groups: int = 5) -> DataFrame:
     """Per cluster: size, average sample count and confidence, and the largest groups as ``name:n`` text."""
     base = rows.groupBy(*keys).agg(
