@@ -111,6 +111,8 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     stream = lambda: streams.file_stream(spark, src, events.schema, files_per_batch=1)
     out = str(tmp_path / "rows")
     streams.skip_processed(stream(), ["event_id"], "ts", out, str(tmp_path / "c1"))
+    with pytest.raises(ValueError):  # its epochs would replace those written under the first checkpoint
+        streams.skip_processed(stream(), ["event_id"], "ts", out, str(tmp_path / "other"))
     rows = spark.read.option("basePath", out).parquet(f"{out}/epoch=*")
     assert rows.count() == events.count() and rows.select("epoch").distinct().count() == 3
     clean = streams.file_stream(spark, out, rows.drop("epoch").schema, files_per_batch=1)
@@ -158,3 +160,15 @@ def test_queries_match_duckdb(spark, sf, name):
 
     got = entry.queries()[name](spark, sf).toPandas()
     assert check.compare(got, check.duck(sf).execute(entry.oracle_sql()[name]).df()) == ""
+
+
+def test_entities_are_decoded_once(spark):
+    cases = {"a &amp;lt; b": "a &lt; b", "&#xAC00;&#44033;": "\uac00\uac01", "&eacute;&apos;": "\u00e9'", "&none; & &#; &#xD800; &#0;": "&none; & &#; &#xD800; &#0;", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "html string").select("html", text.tags_to_text(F.col("html")).alias("txt")).collect()
+    assert {r.html: r.txt for r in rows} == cases | {None: None}
+
+
+def test_page_paths_follow_overrides(spark):
+    rows = spark.createDataFrame([("Red Fox",), ("Blue-Owl!",), ("Owls",)], "name string")
+    got = rows.select(text.page_path(F.col("name"), {"owls": "blue-owl"}, {"blue-owl": "blue-owl-profile"}).alias("p")).collect()
+    assert [r.p for r in got] == ["red-fox-members-profile", "blue-owl-profile", "blue-owl-profile"]
