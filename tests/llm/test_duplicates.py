@@ -88,6 +88,32 @@ def test_near_duplicates_leave_one_of_each_group(spark, odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def shingle_set(text):
+    found = text.lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+def test_near_duplicates_are_judged_by_exact_similarity(spark):
+    """Pairs just above and below 0.8, and a line repeated unequally often, against brute force."""
+    rows, want = [], set()
+    for k in range(160):
+        found = words(7000 + k, 300)
+        one = [*found]
+        for p in range(5, 5 + 10 * (6 + k % 3 - (k % 2)), 10):  # every changed word breaks 5 shingles of 296
+            one[p] = "zzz"
+        a, b = " ".join(found), " ".join(one)
+        if k >= 150:
+            line = " ".join(words(9000 + k, 12))
+            a, b = f"{a} {' '.join([line] * 2)}", f"{a} {' '.join([line] * 20)}"
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        s, t = shingle_set(a), shingle_set(b)
+        want |= {2 * k} if len(s & t) / len(s | t) >= 0.8 else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert 160 < len(want) < 300
+    for hot in (20_000, 1):
+        assert {r.doc_id for r in simhash.drop_near_duplicates(docs, hot_rows=hot).collect()} == want
+
+
 def brute_repeats(texts):
     count, data = defaultdict(int), [(t or "").encode() for t in texts]
     for d in data:

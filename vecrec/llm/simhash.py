@@ -161,11 +161,8 @@ def forest(pairs: list[np.ndarray], size: int) -> np.ndarray:
     return np.stack([moved, label[moved]], axis=1)
 
 
-def search(x: np.ndarray, home: np.ndarray, reach: int, similar=None, seed: int = 11) -> np.ndarray:
-    """Spanning links among ``x``, as positions: residents with each other and with guests.
-
-    ``similar(i, j)`` may hold candidates at ``reach`` bits or fewer to a further test.
-    """
+def search(x: np.ndarray, home: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
+    """Spanning links among ``x``, as positions: residents with each other and with guests."""
     rng, held, kept = np.random.default_rng(seed), 0, []
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
@@ -190,8 +187,6 @@ def search(x: np.ndarray, home: np.ndarray, reach: int, similar=None, seed: int
                 i, j = np.nonzero(np.bitwise_count(x[rows][:, None] ^ x[cols][None, :]) <= reach)
                 pair = np.stack([rows[i], cols[j]], axis=1)
                 pair = pair[pair[:, 0] != pair[:, 1]]
-                if similar is not None and len(pair):
-                    pair = pair[similar(pair[:, 0], pair[:, 1])]
                 if len(pair):
                     kept.append(pair)
                     held += len(pair)
@@ -243,15 +238,16 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     return marked.join(named, "fp").select(key, "fp", "component")
 
 
-# --- near duplicates by similarity: the radius is too wide for triangle bounds alone
+# --- near duplicates by similarity: the radius is too wide for triangle bounds, and sketches only propose
 
-#: Bits that two texts of similarity 0.8 stay within (0.99 of pairs), and the bytes of a similarity sketch.
-WIDE_REACH, SKETCH = 16, 192
+#: Bytes of a similarity sketch, and how far below the asked similarity it proposes (five standard errors at 0.8).
+SKETCH, MARGIN = 192, 0.15
 #: Minimum hashes that name the blocks a text is searched in: of pairs at 0.8, all but 0.2 ** 6 share one.
 BLOCKS = 6
-#: A block with more rows is searched in pairs of parts of this size.
-HOT_ROWS = 20_000
+#: A block or cluster with more rows, or a cluster with more bytes of shingle hashes, is searched in pairs of parts of this size.
+HOT_ROWS, HOT_BYTES = 20_000, 64_000_000
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -268,9 +264,9 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, row, ident, fp, blocks, sketch): row and ident are hashes of the text and of its word sequence."""
+    """(key, row, ident, size, blocks, sketch): row and ident are hashes of the text and of its word sequence."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    arrow = pa.schema([("key", _arrow(kind)), ("row", pa.int64()), ("ident", pa.int64()), ("fp", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    arrow = pa.schema([("key", _arrow(kind)), ("row", pa.int64()), ("ident", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def measure(t: str | None) -> tuple:
         words = ascii_words(t)
@@ -278,74 +274,153 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
         low = _mixed(min_hashes(hashes))
         ident = xxhash.xxh64_intdigest(b" ".join(words), SEED)
         blocks = _mixed(low[:BLOCKS] + np.arange(BLOCKS, dtype=np.uint64)).view(np.int64).tolist() if words else []
-        return np.uint64(ident).view(np.int64).item(), fingerprint(hashes), blocks, (low & np.uint64(255)).astype(np.uint8).tobytes()
+        return np.uint64(ident).view(np.int64).item(), len(hashes), blocks, (low & np.uint64(255)).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(((k, r, *measure(t)) for k, r, t in rows_of(batches, "key", "row", "text")), arrow, 2048)
 
     asked = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("row"), docs[text].alias("text"))
-    return asked.mapInArrow(run, f"key {kind}, row bigint, ident bigint, fp bigint, blocks array<bigint>, sketch binary")
+    return asked.mapInArrow(run, f"key {kind}, row bigint, ident bigint, size bigint, blocks array<bigint>, sketch binary")
 
 
-def similar_links(classes: DataFrame, reach: int, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Spanning links (a, b) of the classes (ident, fp, blocks, sketch) alike in both fingerprint and sketch.
-
-    Classes that share a minimum hash meet in its block, which is searched like a leaf of the tree. Blocks
-    that one class alone names never reach Python; hot ones are cut into parts, and every pair of parts is
-    a block of its own, so that no task holds more than two parts and no pair is lost.
-    """
-    asked = classes.select(F.explode("blocks").alias("block"), "ident", "fp", "sketch")
-    sizes = cut_lineage(asked.groupBy("block").count().where("count > 1"))
-    parts = F.ceil(F.col("count") / hot_rows).cast("int")
-    met = asked.join(sizes.select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("ident"), F.col("parts")).cast("int"))
-    cells = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "ident", "fp", "sketch")
-    least = int(np.ceil((similarity * 255 / 256 + 1 / 256) * SKETCH))
-
-    def solve(group: list[tuple]) -> list[tuple]:
-        fp = np.array([g[1] for g in group], np.int64).view(np.uint64)
-        sketch = np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(len(group), SKETCH)
+def agreeing(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many bytes each row of ``sketch`` agrees with ``one``."""
+    lanes = (sketch == one).view(np.uint64).sum(axis=1)  # at most 24 in each byte
+    return (lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
-        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            out = np.empty(len(i), bool)
-            for k in range(0, len(i), 50_000):
-                out[k : k + 50_000] = (sketch[i[k : k + 50_000]] == sketch[j[k : k + 50_000]]).sum(axis=1) >= least
-            return out
 
-        return [(group[a][0], group[b][0]) for a, b in search(fp, np.ones(len(fp), bool), reach, alike).tolist()]
+def linked(sketch: np.ndarray, least: int, alike=None) -> list[tuple[int, int]]:
+    """Spanning links, as positions, of the rows whose sketches agree in ``least`` bytes or more.
 
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    ``alike(p, rows)`` may hold such rows to a further test. A row that was reached is not compared again
+    with others that were, so a dense ball costs little more than its rows.
+    """
+    own, left, queue, links = sketch, np.arange(len(sketch)), [], []
+    while len(left):
+        if queue:
+            p = queue.pop()
+        else:
+            p, left, own = int(left[0]), left[1:], own[1:]
+        near = np.flatnonzero(agreeing(own, sketch[p]) >= least)
+        if alike is not None and len(near):
+            near = near[alike(p, left[near])]
+        if len(near):
+            found = left[near].tolist()
+            links += [(p, q) for q in found]
+            queue += found
+            left, own = np.delete(left, near), np.delete(own, near, axis=0)
+    return links
+
+
+def exact_test(sets: list[np.ndarray], similarity: float):
+    """A function (p, rows) that tells which rows of distinct shingle hashes have a Jaccard similarity of ``similarity`` or more with row p."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mask = np.zeros(int(flat.max()) + 1, bool)
+
+    def alike(p: int, rows: np.ndarray) -> np.ndarray:
+        own, out = flat[starts[p] : starts[p] + sizes[p]], np.zeros(len(rows), bool)
+        fit = np.flatnonzero(np.minimum(sizes[rows], sizes[p]) / np.maximum(sizes[rows], sizes[p]) >= similarity)
+        mask[own] = True
+        step = max(1, 2_000_000 // max(1, int(sizes[rows[fit]].max(initial=1))))
+        for k in range(0, len(fit), step):
+            some = rows[fit[k : k + step]]
+            first = np.cumsum(sizes[some]) - sizes[some]
+            at = np.arange(int(sizes[some].sum())) + np.repeat(starts[some] - first, sizes[some])
+            both = np.add.reduceat(mask[flat[at]], first, dtype=np.int64)
+            out[fit[k : k + step]] = both / (sizes[some] + sizes[p] - both) >= similarity
+        mask[own] = False
+        return out
+
+    return alike
+
+
+def _in_cells(rows: DataFrame, field: str, carried: list[str], solve) -> DataFrame:
+    """Links (a, b) that ``solve`` finds in each cell: the rows of one ``field`` in a pair of its ``parts``.
+
+    Every pair of parts is a cell of its own, so that no task holds more than two parts and no pair is lost.
+    """
+    cells = rows.withColumn("part", F.pmod(F.xxhash64("ident"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = cells.select(F.col(field).alias("name"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[tuple]:
-            name, group = None, []
-            for block, i, j, ident, fp, sketch in rows_of(batches, "block", "i", "j", "ident", "fp", "sketch"):
-                if (block, i, j) != name:
+            at, group = None, []
+            for name, i, j, *row in rows_of(batches, "name", "i", "j", *carried):
+                if (name, i, j) != at:
                     if len(group) > 1:
                         yield from solve(group)
-                    name, group = (block, i, j), []
-                group.append((ident, fp, sketch))
+                    at, group = (name, i, j), []
+                group.append(row)
             if len(group) > 1:
                 yield from solve(group)
 
-        yield from batched(links(), arrow)
+        yield from batched(links(), _LINKS)
+
+    return placed.repartition("name", "i", "j").sortWithinPartitions("name", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
+def _table_of(group: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(g[1] for g in group), np.uint8).reshape(len(group), SKETCH)
+
+
+def proposed_links(classes: DataFrame, similarity: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Spanning links (a, b) of the classes (ident, blocks, sketch) whose sketches do not rule ``similarity`` out.
+
+    Classes that share a minimum hash meet in its block. Blocks that one class alone names never reach Python.
+    """
+    asked = classes.select(F.explode("blocks").alias("block"), "ident", "sketch")
+    sizes = cut_lineage(asked.groupBy("block").count().where("count > 1"))
+    met = asked.join(sizes.select("block", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts")), "block")
+    least = sketch_bound(similarity)
+    return _in_cells(met, "block", ["ident", "sketch"], lambda group: [(group[p][0], group[q][0]) for p, q in linked(_table_of(group), least)])
+
+
+def sketch_bound(similarity: float) -> int:
+    """The bytes in which the sketches of texts at ``similarity`` agree, all but about one pair in a million."""
+    return int(np.ceil(((similarity - MARGIN) * 255 / 256 + 1 / 256) * SKETCH))
+
+
+def exact_links(docs: DataFrame, members: DataFrame, key: str, text: str, shingle: int, similarity: float, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Spanning links (a, b) of the members (ident, cluster, first, size, sketch) of a cluster at ``similarity`` or more.
+
+    The similarity is the exact Jaccard index of the sets of word shingles, each named by its 64-bit hash.
+    """
+    held = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
+    parts = F.greatest(F.ceil(F.col("n") / hot_rows), F.ceil(8 * F.col("hashes") / hot_bytes)).cast("int")
+    asked = members.join(held.select("cluster", parts.alias("parts")), "cluster").select("ident", "cluster", "parts", "sketch", F.col("first.key").alias("__key"), F.col("first.row").alias("__row"))
+    texts = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("row"), docs[text].alias("text"))
+    read = texts.join(asked, texts["key"].eqNullSafe(asked["__key"]) & (texts["row"] == asked["__row"])).select("ident", "cluster", "parts", "sketch", "text")
+    arrow = pa.schema([("ident", pa.int64()), ("cluster", pa.int64()), ("parts", pa.int32()), ("sketch", pa.binary()), ("hashes", pa.binary())])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(((*r, np.unique(shingle_hashes(ascii_words(t), shingle)).tobytes()) for *r, t in rows_of(batches, "ident", "cluster", "parts", "sketch", "text")), arrow, 512)
+
+    def solve(group: list[tuple]) -> list[tuple]:
+        group = list({g[0]: g for g in group}.values())  # repeated rows of a document
+        alike = exact_test([np.frombuffer(g[2], np.uint64) for g in group], similarity)
+        return [(group[p][0], group[q][0]) for p, q in linked(_table_of(group), least, alike)]
 
-    return placed.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    least = sketch_bound(similarity)
+    return _in_cells(read.mapInArrow(shingled, "ident bigint, cluster bigint, parts int, sketch binary, hashes binary"), "cluster", ["ident", "sketch", "hashes"], solve)
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, reach: int = WIDE_REACH, hot_rows: int = HOT_ROWS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but one of each group of near duplicates.
 
-    Texts with equal word sequences are one class. Two classes are linked if their fingerprints differ in
-    at most ``reach`` bits and ``SKETCH`` one-byte minimum hashes estimate their similarity (Jaccard, of
-    word shingles) at ``similarity`` or more (standard error 0.03); a group is what links connect. The row
-    with the smallest key stays, a null key being the largest, and of repeated rows one. Texts without a
-    word are copies of each other.
+    Texts with equal word sequences are one class. Two classes are linked if the Jaccard index of their
+    sets of word shingles is ``similarity`` or more; a group is what links connect. ``SKETCH`` one-byte
+    minimum hashes only propose: what they connect at ``similarity`` less ``MARGIN`` is a cluster, and
+    within a cluster the index is computed from the sets. The row with the smallest key stays, a null key
+    being the largest, and of repeated rows one. Texts without a word are copies of each other.
     """
     measured = cut_lineage(sketches(docs, key, text, shingle))
     first = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
-    classes = cut_lineage(measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")))
-    links = cut_lineage(similar_links(classes, reach, similarity, hot_rows))
+    classes = cut_lineage(measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")))
+    clusters = components(cut_lineage(proposed_links(classes, similarity, hot_rows)), "a", "b").select(F.col("node").alias("ident"), F.col("root").alias("cluster"))
+    members = cut_lineage(classes.drop("blocks").join(clusters, "ident"))
+    links = cut_lineage(exact_links(docs, members, key, text, shingle, similarity, hot_rows))
     found = components(links, "a", "b").withColumnRenamed("node", "ident")
     rooted = classes.select("ident", "first").join(found, "ident", "left").withColumn("root", F.coalesce("root", "ident"))
     kept = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"), F.col("first.row").alias("__row")))
