@@ -166,6 +166,20 @@ def test_leaks_are_found_under_edits(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def found_in(items, texts):
+    block = decontaminate.Items.of(items)
+    return {(t, block.ids[i], e) for t, i, e in decontaminate.search(block, [decontaminate.tokens(x) for x in texts])}
+
+
+def test_shortest_searched_items_are_found():
+    for low in (8, 9, 10):
+        items = [(k, " ".join(words(2000 + k, low + k % 3))) for k in range(45)]
+        whole = [f"{prose(2100 + k, 40)} {item} {prose(2200 + k, 40)}" for k, item in items]
+        assert found_in(items, whole) >= {(k, k, 0) for k, _ in items}
+        one_off = [x.replace(item, " ".join([*item.split()[:3], "zzz", *item.split()[4:]])) for x, (_, item) in zip(whole, items, strict=True)]
+        assert len(found_in(items, one_off) & {(k, k, 1) for k, _ in items}) >= 43
+
+
 def test_least_edits_equals_brute_force():
     def plain(item, text):
         row = [0] * (len(text) + 1)

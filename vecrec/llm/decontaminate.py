@@ -116,7 +116,7 @@ class Items:
             top = max(int(low * 1.15), low)
             members = np.flatnonzero((lengths >= low) & (lengths <= top))
             if len(members):
-                steps = max(4, 2 * (low // THIRDS))
+                steps = max(SAMPLED, 2 * (low // THIRDS))
                 sampled = [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]
                 flat = np.concatenate([block.words[m] for m in members])
                 stop = np.cumsum(lengths[members])
