@@ -180,6 +180,18 @@ def test_shortest_searched_items_are_found():
         assert len(found_in(items, one_off) & {(k, k, 1) for k, _ in items}) >= 43
 
 
+def test_long_items_are_found_under_edits():
+    for n in (100, 200, 400):
+        rng, items, texts = random.Random(n), [(k, " ".join(words(3000 + k, n))) for k in range(40)], []
+        for k, item in items:
+            found = item.split()
+            for _ in range(n // 5):
+                p, how = rng.randrange(len(found)), rng.random()
+                found[p : p + 1] = [] if how < 0.3 else ["zzz"] if how < 0.6 else [found[p], "yyy"]
+            texts.append(f"{prose(3100 + k, 60)} {' '.join(found)} {prose(3200 + k, 60)}")
+        assert len({(t, k) for t, k, _ in found_in(items, texts)} & {(k, k) for k, _ in items}) >= 39, n
+
+
 def test_least_edits_equals_brute_force():
     def plain(item, text):
         row = [0] * (len(text) + 1)

@@ -8,10 +8,10 @@ within ``edits`` word edits (a fifth of the item's words) of the whole item.
    over; this loses nothing.
 2. CGK embedding: a random walk reads a word, writes it, and moves on or stays by a random bit of (step,
    word). Two sequences few edits apart fall into step again after an edit, so edit distance becomes
-   Hamming distance of what was written. Items are embedded from the starts of their thirds, texts
-   from every start within the windows.
+   Hamming distance of what was written. Items are embedded from the starts of their thirds, or of more
+   parts if they are long (one for ``PART_WORDS`` words), texts from every start within the windows.
 3. Bit sampling: each of ``TABLES`` walks is hashed at ``SAMPLED`` random steps; equal hashes make a
-   candidate. With these numbers recall at the full edit allowance is above 0.97 (tests measure it).
+   candidate. With these numbers recall at the full edit allowance is above 0.97 (tests measure it to 400 words).
 4. Candidates are verified by the exact least edit distance of the item to any window around.
 
 Documents never leave their partition. Items are a stated query set: blocks of at most
@@ -35,7 +35,9 @@ from vecrec.llm.common import cut_lineage
 
 MIN_WORDS = 8
 EDIT_SHARE = 0.2
-TABLES, SAMPLED, THIRDS = 12, 5, 3
+TABLES, SAMPLED = 12, 5
+#: Parts an item is walked from, at least; long items have one for so many words, so that no walk meets too many edits.
+THIRDS, PART_WORDS = 3, 20
 BLOCK_CHARS = 16_000_000
 #: Words of documents that are looked at together.
 CHUNK_WORDS = 400_000
@@ -116,16 +118,17 @@ class Items:
             top = max(int(low * 1.15), low)
             members = np.flatnonzero((lengths >= low) & (lengths <= top))
             if len(members):
-                steps = max(SAMPLED, 2 * (low // THIRDS))
+                parts = max(THIRDS, int(low) // PART_WORDS)
+                steps = max(SAMPLED, 2 * (low // parts))
                 sampled = [np.sort(rng.choice(steps, SAMPLED, replace=False)) for _ in range(TABLES)]
                 flat = np.concatenate([block.words[m] for m in members])
                 stop = np.cumsum(lengths[members])
-                offsets = np.array([[k * lengths[m] // THIRDS for k in range(THIRDS)] for m in members])
+                offsets = np.array([[k * lengths[m] // parts for k in range(parts)] for m in members])
                 begin = (stop - lengths[members])[:, None] + offsets
-                runs = (walk(flat, begin.ravel(), np.repeat(stop, THIRDS), steps, t) for t in range(TABLES))
+                runs = (walk(flat, begin.ravel(), np.repeat(stop, parts), steps, t) for t in range(TABLES))
                 keys = np.stack([sample_key(w, c, t) for t, (w, c) in enumerate(zip(runs, sampled, strict=True))])
                 order = np.argsort(keys.ravel(), kind="stable")
-                owner = np.tile(np.repeat(members, THIRDS), TABLES)[order]
+                owner = np.tile(np.repeat(members, parts), TABLES)[order]
                 shift = np.tile(offsets.ravel(), TABLES)[order]
                 block.classes.append((int(low), int(top), steps, sampled, keys.ravel()[order], owner, shift))
             low = top + 1
