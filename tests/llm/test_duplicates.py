@@ -192,6 +192,15 @@ def test_long_items_are_found_under_edits():
         assert len({(t, k) for t, k, _ in found_in(items, texts)} & {(k, k) for k, _ in items}) >= 39, n
 
 
+def test_short_items_and_scripts_without_spaces_are_found():
+    items = [(1, "Forty-two!"), (2, "one two three four five six seven"), (3, "北京是中国的首都，也是全国的政治中心"), (4, "ประเทศไทย"), (5, "東京"), (6, "Paris"), (7, " ?! ")]
+    texts = ["It is FORTY two.", "one two three four five six", "Zero one, two three four five six seven", "他说北京是中国的首都，亦是全国的政治中心。", "อยู่ในประเทศไทยวันนี้", "昨日東京で", "forty and two", "", "paris", None]
+    assert found_in(items, texts) == {(0, 1, 0), (2, 2, 0), (3, 3, 1), (4, 4, 0), (5, 5, 0), (8, 6, 0)}
+    assert found_in(items[:2], texts) == {(0, 1, 0), (2, 2, 0)}
+    long = " ".join(words(4000, 30))
+    assert found_in([*items, (8, long)], [f"x {long} Paris"]) == {(0, 8, 0), (0, 6, 0)}
+
+
 def test_least_edits_equals_brute_force():
     def plain(item, text):
         row = [0] * (len(text) + 1)

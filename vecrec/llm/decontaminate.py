@@ -16,7 +16,8 @@ within ``edits`` word edits (a fifth of the item's words) of the whole item.
 
 Documents never leave their partition. Items are a stated query set: blocks of at most
 ``BLOCK_CHARS`` characters go to the tasks, one pass per block. Items of under ``MIN_WORDS`` words
-cannot be told from chance and match nothing.
+allow no edits: they are looked up among the word windows of their length. Letters of scripts
+without spaces are words of their own.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ THIRDS, PART_WORDS = 3, 20
 BLOCK_CHARS = 16_000_000
 #: Words of documents that are looked at together.
 CHUNK_WORDS = 400_000
-WORD = re.compile(r"\w+")
+#: Letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana and Han. Each is a word of its own.
+UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecd\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -99,21 +102,31 @@ class Items:
     vocab: dict[str, int] = field(default_factory=dict)
     pairs: np.ndarray | None = None
     classes: list[tuple] = field(default_factory=list)
+    short: list[tuple] = field(default_factory=list)
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
         block = Items()
         for key, text in rows:
             found = tokens(text)
-            if key is None or len(found) < MIN_WORDS:
+            if key is None or not found:
                 continue
             block.ids.append(key)
             block.words.append(np.array([block.vocab.setdefault(w, len(block.vocab) + 1) for w in found], np.int64))
         if not block.ids:
             return block
-        block.pairs = np.unique(np.concatenate([pair_keys(w) for w in block.words]))
         rng, lengths = np.random.default_rng(23), np.array([len(w) for w in block.words])
-        low = lengths.min()
+        for n in range(1, MIN_WORDS):
+            members = np.flatnonzero(lengths == n)
+            if len(members):
+                held = np.stack([block.words[m] for m in members])
+                keys = sample_key(held.T.astype(np.uint64), np.arange(n), n)
+                order = np.argsort(keys, kind="stable")
+                block.short.append((keys[order], held[order], members[order]))
+        if lengths.max() < MIN_WORDS:
+            return block
+        block.pairs = np.unique(np.concatenate([pair_keys(w) for w in block.words if len(w) >= MIN_WORDS]))
+        low = lengths[lengths >= MIN_WORDS].min()
         while low <= lengths.max():  # items of similar length are searched together
             top = max(int(low * 1.15), low)
             members = np.flatnonzero((lengths >= low) & (lengths <= top))
@@ -135,6 +148,28 @@ class Items:
         return block
 
 
+def equal_ranges(keys: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``drawn``, position in the sorted ``keys``) of all that are equal."""
+    first, last = np.searchsorted(keys, drawn, side="left"), np.searchsorted(keys, drawn, side="right")
+    met = np.flatnonzero(last > first)
+    count = (last - first)[met]
+    return np.repeat(met, count), np.repeat(first[met], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def exact_matches(items: Items, ids: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text number, item number, 0) of every text that holds a short item word for word."""
+    known = np.flatnonzero(ids > 0)
+    for keys, held, members in items.short:
+        n = held.shape[1]
+        begin = known[known + n <= len(ids)]
+        drawn = sample_key(np.stack([ids[begin + j] for j in range(n)]).astype(np.uint64), np.arange(n), n)
+        where, at = equal_ranges(keys, drawn)
+        same = np.all([ids[begin[where] + j] == held[at, j] for j in range(n)], axis=0)
+        own = np.searchsorted(stops, begin[where[same]], side="right")
+        for text, item in np.unique(np.stack([own, members[at[same]]], axis=1), axis=0).tolist():
+            yield text, item, 0
+
+
 def pair_keys(ids: np.ndarray) -> np.ndarray:
     return ids[:-1] * np.int64(1 << 31) + ids[1:]
 
@@ -149,6 +184,9 @@ def search(items: Items, texts: list[list[str]]) -> Iterator[tuple[int, int, int
         ids[stop - 1 - n : stop - 1] = np.fromiter(map(get, text, repeat(0)), np.int64, n)
     if len(ids) < 2:
         return
+    yield from exact_matches(items, ids, stops)
+    if not items.classes:
+        return
     both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
     known = pair_keys(ids)[both]
     found = items.pairs[np.minimum(np.searchsorted(items.pairs, known), len(items.pairs) - 1)] == known
@@ -175,11 +213,8 @@ def search(items: Items, texts: list[list[str]]) -> Iterator[tuple[int, int, int
             for (low, _, _, sampled, keys, owner, shift), mask in zip(items.classes, per_class, strict=True):
                 who = np.flatnonzero(mask[begin])
                 drawn = sample_key(written[:, who], sampled[t], t)
-                first, last = np.searchsorted(keys, drawn, side="left"), np.searchsorted(keys, drawn, side="right")
-                met = np.flatnonzero(last > first)
-                count = (last - first)[met]
-                at = np.repeat(first[met], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                where, grain = np.repeat(who[met], count), max(1, low // 4)
+                met, at = equal_ranges(keys, drawn)
+                where, grain = who[met], max(1, low // 4)
                 guess = np.unique(np.stack([own[where], owner[at], (begin[where] - shift[at]) // grain], axis=1), axis=0)
                 for text, item, place in guess.tolist():
                     wanted.setdefault((text, item), set()).add(place * grain)
@@ -226,7 +261,7 @@ def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iter
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (key, item key, edits, item_words) for each document row and item it holds.
 
-    Null, empty and short texts hold nothing; null item texts or keys match nothing; repeated document
+    Null and wordless texts hold nothing; null or wordless item texts and null keys match nothing; repeated document
     rows come out once each; an empty table on either side gives no rows. Document keys may be null.
     """
     kind, item_kind = (f.select(k).schema[0].dataType for f, k in ((docs, key), (items, item_key)))
