@@ -31,6 +31,23 @@ def test_rendering(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table>stray <b>in</b> table<tr><td>a</table>", "stray in table\na"),
+        ("<table><tbody>stray<tr> <td>a</td> <td>b</td> </tr></table>", "stray\na  b"),
+        ("<table><tr>no cell</tr><tr><td>a</td>after</tr></table>", "no cell\na  after"),
+        ("<table>" * 300 + "x", "x"),
+        ("<div>" * 197 + "<table><tr><td>deep <i>cell</i></td></tr></table>", "  deep cell"),
+        ("<div title='now hidden here'>a</div><p data-x=\"style='display:none'\">b</p><a href='?type=hidden' alt=\" type=hidden \">c</a>", "a\n\nb\n\nc"),
+        ("<p data-style='display:none'>a</p><p aria-hidden=true>b</p><button type=hidden>c</button>", "a\n\nb\n\nc"),
+        ("<p title=x hidden>no</p><p STYLE='color:red; Display : none !important'>no</p><p hidden=''>no</p><tt style=visibility:collapse>no</tt>yes", "yes"),
+    ],
+)
+def test_all_visible_text_comes_out(page, want):
+    assert render(page) == want
+
+
 @pytest.mark.parametrize("page", ["<" * 3000, "<div>" * 4000 + "deep", "<a href=\"x>y</a> z" * 200, "<!-- never", "<p", "</", "<script>a<b", "<table>" * 300 + "x", "<td>x</table>" * 300, "<textarea><p>kept", "\x00<b>�"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(render(page), str)

@@ -46,7 +46,8 @@ MAX_PAD = 48
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|(?:^|\s)type\s*=\s*[\"']?hidden", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
 _START, _SPAN = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I), re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
 
@@ -58,6 +59,22 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def hidden(node: Node) -> bool:
+    """Whether an attribute of the element hides it: hidden, a style, or the type of an input."""
+    if not node.attrs or not _MAY_HIDE.search(node.attrs):
+        return False
+    attrs: dict[str, str] = {}
+    for m in _ATTR.finditer(node.attrs):
+        attrs.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+    if "hidden" in attrs or node.tag == "input" and attrs.get("type", "").strip().lower() == "hidden":
+        return True
+    style: dict[str, str] = {}
+    for part in html.unescape(attrs.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        style[name.strip()] = value.split("!")[0].strip()
+    return style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse")
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings with entities decoded."""
     root = Node("#root")
@@ -173,7 +190,7 @@ def _walk(node: Node, out: Lines, depth: int) -> None:
             out.now.append(child)
             continue
         tag = child.tag
-        if tag in INVISIBLE or child.attrs and _HIDDEN.search(child.attrs):
+        if tag in INVISIBLE or hidden(child):
             continue
         if tag == "br":
             out.end() if "".join(out.now).strip() else out.put("") if out.lines and out.lines[-1] and not out.gap else None
@@ -213,7 +230,7 @@ def _raw(node: Node, body: list[str]) -> None:
             body.append(child)
         elif child.tag == "br":
             body.append("\n")
-        elif child.tag not in INVISIBLE and not (child.attrs and _HIDDEN.search(child.attrs)):
+        elif child.tag not in INVISIBLE and not hidden(child):
             _raw(child, body)
 
 
@@ -222,7 +239,7 @@ def _list(node: Node, out: Lines, depth: int) -> None:
     number = int(begin.group(1)) if begin else 1
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
-            if child.attrs and _HIDDEN.search(child.attrs):
+            if hidden(child):
                 continue
             kept = out.indent
             mark = f"{number}. " if node.tag == "ol" else "- "
@@ -237,14 +254,25 @@ def _list(node: Node, out: Lines, depth: int) -> None:
             out.end()
 
 
+def _gathered(node: Node) -> Iterator[Node]:
+    """The children of a table part; each run of stray text and inline elements is one '#part'."""
+    part = Node("#part")
+    for child in node.children:
+        if isinstance(child, str) or child.tag not in BLOCK and child.tag not in INVISIBLE:
+            part.children.append(child)
+            continue
+        if part.children:
+            yield part
+            part = Node("#part")
+        yield child
+    if part.children:
+        yield part
+
+
 def _rows(node: Node) -> Iterator[Node]:
     """Rows, captions and stray contents of a table, hidden ones left out."""
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                yield Node("#part")
-                continue
-        elif child.tag in INVISIBLE or child.attrs and _HIDDEN.search(child.attrs):
+    for child in _gathered(node):
+        if child.tag in INVISIBLE or hidden(child):
             continue
         elif child.tag in ("thead", "tbody", "tfoot"):
             yield from _rows(child)
@@ -257,9 +285,9 @@ def _table(node: Node, depth: int) -> list[str]:
     wide: set[int] = set()  # cells over several columns set no column's width
     for row in _rows(node):
         cells: list[list[str]] = []
-        parts = [c for c in row.children if isinstance(c, Node)] if row.tag == "tr" else [row]
+        parts = _gathered(row) if row.tag == "tr" else [row]
         for cell in parts:
-            if cell.tag in INVISIBLE or cell.attrs and _HIDDEN.search(cell.attrs):
+            if cell.tag in INVISIBLE or hidden(cell):
                 continue
             inner = Lines()
             holder = cell
@@ -268,6 +296,8 @@ def _table(node: Node, depth: int) -> list[str]:
                 holder.children = [cell]
             _walk(holder, inner, depth)
             inner.end()
+            if cell.tag == "#part" and not inner.lines:  # white space between cells
+                continue
             cells.append(inner.lines)
             span = int(m.group(1)) if (m := _SPAN.search(cell.attrs)) else 1
             if span > 1:
