@@ -166,6 +166,22 @@ def test_leaks_are_found_under_edits(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0 == decontaminate.contaminated(docs, bench.limit(0)).count()
 
 
+def test_windows_of_a_crowded_lead_are_counted(spark):
+    """Segments of one lead need no common task: windows of equal bytes are tied, in any segment and place."""
+    shared = prose(801, 100).encode()[:450]
+    parts = [prose(802 + k, 30).encode()[: 60 + k] + shared + prose(902 + k, 30).encode()[:70] for k in range(30)]
+    rows = [("lead", f"d{k}".encode(), k == 3, 5, 5 + len(p) - 400, p) for k, p in enumerate(parts)]
+    crowd = spark.createDataFrame([(r[0].encode(), *r[1:]) for r in [*rows, rows[0]]], "lead binary, digest binary, often boolean, low int, high int, part binary").repartition(7)
+    got = {bytes(r.digest): np.frombuffer(r.runs, "<i4").reshape(-1, 2).tolist() for r in suffix_dedup.counted(crowd).collect()}
+    count = defaultdict(int)
+    for p in parts:
+        for s in range(len(p) - 399):
+            count[p[s : s + 400]] += 1
+    ties = {k: [s + 5 for s in range(len(p) - 399) if count[p[s : s + 400]] > 1] for k, p in enumerate(parts)}
+    assert all(len(x) >= 51 for x in ties.values())
+    assert got == {f"d{k}".encode(): [[x[0], x[-1]]] for k, x in ties.items() if k != 3}
+
+
 def found_in(items, texts):
     block = decontaminate.Items.of(items)
     return {(t, block.ids[i], e) for t, i, e in decontaminate.search(block, [decontaminate.tokens(x) for x in texts])}

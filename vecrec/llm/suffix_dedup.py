@@ -9,7 +9,8 @@ segment, one per about 190 bytes, and only segments travel:
    its windows. A segment whose anchor token leads no other segment has no other repeats.
 2. The rest, one copy of each segment, are suffix-sorted: splitters sampled by the range partitioner cut
    them by the leading token at the anchor, so equal windows meet in one bucket. A token that leads very
-   many segments is lengthened by its context on either side, for the windows that hold it.
+   many segments is lengthened by its context on either side, for the windows that hold it. A
+   lengthened token that still leads so many is not sorted: its windows are counted by 128-bit hashes.
 3. A bucket sorts the suffixes of its windows by multikey quicksort: by the first 8 bytes, then, among
    ties only, by the next stretch, down to ``SPAN`` bytes. Suffixes that are still tied are repeats. A
    bucket cuts its work at changes of the leading token, and equal tokens never lie in two buckets, so
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from vecrec.llm.common import batched, cut_lineage, rows_of
 
 SPAN, TOKEN = 400, 16
-#: A leading token of more segments than this is lengthened to CONTEXT bytes on either side.
+#: A leading token of more segments than this is lengthened to CONTEXT bytes on either side, or counted.
 HOT_SEGMENTS, CONTEXT = 20_000, (SPAN - TOKEN) // 2
 #: Bytes of segments a bucket sorts at once, unless one leading token has more.
 SORT_BYTES = 8_000_000
@@ -112,6 +113,39 @@ def _texts(docs: DataFrame, text: str) -> Column:
     return F.xxhash64(F.coalesce(docs[text], F.lit("")))
 
 
+_FOUND = pa.schema([("digest", pa.binary()), ("runs", pa.binary())])
+
+
+def counted(crowd: DataFrame) -> DataFrame:
+    """(digest, runs of windows) of segments (lead, digest, often, low, high, part), by counts of window hashes.
+
+    Counts are partial sums per task, and no task holds a group, however many segments one lead has.
+    """
+    shape = pa.schema([("window", pa.binary()), ("digest", pa.binary()), ("often", pa.bool_()), ("at", pa.int32())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for name, often, low, high, part in rows_of(batches, "digest", "often", "low", "high", "part"):
+                view = memoryview(part)
+                yield from ((digest(view[s : s + SPAN]), name, often, low + s) for s in range(high - low + 1))
+
+        yield from batched(rows(), shape)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for name, at in rows_of(batches, "digest", "at"):
+                flags = np.zeros(max(at) + 1, bool)
+                flags[at] = True
+                yield name, runs_of(flags).astype("<i4").tobytes()
+
+        yield from batched(rows(), _FOUND)
+
+    windows = crowd.dropDuplicates(["lead", "digest", "low"]).mapInArrow(hashed, "window binary, digest binary, often boolean, at int")
+    tied = windows.groupBy("window").count().where("count > 1").select("window")
+    held = windows.where("NOT often").join(tied, "window").groupBy("digest").agg(F.collect_list("at").alias("at"))
+    return held.mapInArrow(joined, "digest binary, runs binary")
+
+
 def find_repeats(docs: DataFrame, text: str, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(row, found): for each text hash with repeats, its repeated segments as (digest, runs of windows; null: all)."""
     asked = docs.select(_texts(docs, text).alias("row"), docs[text].alias("text")).where(F.octet_length("text") >= SPAN)
@@ -159,9 +193,10 @@ def find_repeats(docs: DataFrame, text: str, hot_segments: int = HOT_SEGMENTS) -
 
     carried = asked.join(unclear, "row").mapInArrow(send, "lead binary, digest binary, often boolean, low int, high int, part binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = cut_lineage(carried).repartitionByRange(n, "lead").sortWithinPartitions("lead", "digest", "low")
-    found = pa.schema([("digest", pa.binary()), ("runs", pa.binary())])
-
+    carried = cut_lineage(carried)
+    # only a lengthened token can lead more segments than that
+    crowded = F.broadcast(cut_lineage(carried.where(F.octet_length("lead") > TOKEN).groupBy("lead").count().where(F.col("count") > hot_segments).select("lead")))
+    buckets = carried.join(crowded, "lead", "left_anti").repartitionByRange(n, "lead").sortWithinPartitions("lead", "digest", "low")
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def verdicts(held: list[tuple]) -> Iterator[tuple]:
             sizes = np.array([h - l + 1 for _, _, l, h, _ in held])
@@ -186,11 +221,11 @@ def find_repeats(docs: DataFrame, text: str, hot_segments: int = HOT_SEGMENTS) -
             if held:
                 yield from verdicts(held)
 
-        yield from batched(rows(), found, 2048)
+        yield from batched(rows(), _FOUND, 2048)
 
     partly = buckets.mapInArrow(sort_bucket, "digest binary, runs binary")
     whole = distinct.where("n > 1").select("digest", F.lit(None).cast("binary").alias("runs"))
-    verdict = cut_lineage(partly.unionByName(whole))
+    verdict = cut_lineage(partly.unionByName(counted(carried.join(crowded, "lead", "left_semi"))).unionByName(whole))
     mine = listed.select("row", "digest").distinct().join(verdict, "digest")
     return mine.groupBy("row").agg(F.collect_list(F.struct("digest", "runs")).alias("found"))
 
