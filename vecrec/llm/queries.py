@@ -15,6 +15,7 @@ from vecrec.llm.line_dedup import BREAKS, drop_boilerplate
 from vecrec.llm.mixing import mix
 from vecrec.llm.quality import quality_report
 from vecrec.llm.simhash import simhash_groups
+from vecrec.llm.spelling import spelling_variants
 from vecrec.llm.suffix_dedup import remove_repeats
 from vecrec.llm.token_file import token_digest
 from vecrec.llm.warc import page_derivatives
@@ -119,6 +120,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_derivatives(table(spark, sf_dir, "pages"), keep_records=False).drop("record")
 
 
+#: One run in so many of a document loses a code point before words are counted.
+TYPO_EVERY = 199
+
+
+@query()
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
