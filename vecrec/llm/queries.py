@@ -18,6 +18,7 @@ from vecrec.llm.simhash import simhash_groups
 from vecrec.llm.spelling import spelling_variants
 from vecrec.llm.suffix_dedup import remove_repeats
 from vecrec.llm.token_file import token_digest
+from vecrec.llm.toxicity import toxicity
 from vecrec.llm.warc import page_derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +130,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), typo_every=TYPO_EVERY)
 
 
+@query()
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("n_spans", F.size("spans").cast("bigint"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
