@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecrec.operators import blocks, cluster, dedupe, graph, pairs
+from vecrec.operators.cells import CellIndex
 
 GRID = dict(broadcast_bytes=1, block_rows=17)
 
@@ -45,9 +46,40 @@ def test_far_cells_never_meet(spark):
     nodes = spark.createDataFrame([(i, [float(v) for v in u[i]]) for i in range(150)], "id long, v array<double>")
     want = {(a, b) for a in range(150) for b in range(a + 1, 150) if u[a] @ u[b] >= 0.9985}
     assert {(r.src, r.dst) for r in pairs.similar_pairs(nodes, "v", 6, 0.9985, broadcast_bytes=1, block_rows=8).collect()} == want
-    placed, cells = pairs._cells(nodes.select("id", "v"), 0.9985, 8, 64)
-    met = placed.join(cells, "cell").select("id", F.explode("near").alias("c")).groupBy("id").agg(F.sum(F.expr("c.b - c.a + 1")).alias("n"))
-    assert met.agg(F.avg("n")).first()[0] < 0.6 * placed.select("block").distinct().count()
+    index = CellIndex(nodes, 6, 8)
+    met = index.send(index.rows.withColumn("reach", F.lit(np.arccos(0.9985))), onward=True).groupBy("id").count()
+    assert met.agg(F.avg("count")).first()[0] < 0.3 * index.blocks.sum()
+
+
+def test_nearest_sends_few_rows_on_clustered_data(spark):
+    """Exact neighbours of clustered rows with a dense ball, of which most cells are ruled out."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(24, 6))
+    x = centres[np.arange(900) % 24] + rng.normal(scale=0.12, size=(900, 6))
+    x[600:] = x[1] + rng.normal(scale=1e-4, size=(300, 6))  # a third of the rows, nearly one vector
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(v) for v in u[i]]) for i in range(900)], "id long, v array<double>")
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    got = {}
+    for r in pairs.nearest(nodes, "v", 6, 5, broadcast_bytes=1, right_rows=30, left_rows=100).collect():
+        got.setdefault(r.src, []).append((r["rank"], r.weight))
+    for i in range(900):
+        np.testing.assert_allclose([w for _, w in sorted(got[i])], np.sort(s[i])[::-1][:5], atol=1e-12)
+    index = CellIndex(nodes, 6, 30)
+    fifth = spark.createDataFrame([(i, float(np.sort(s[i])[-5])) for i in range(900)], "id long, bound double")
+    sent = index.send(index.rows.join(fifth, "id").withColumn("reach", F.acos(F.least(F.lit(1.0), "bound"))).drop("bound"), onward=False)
+    assert sent.count() < 0.2 * 900 * index.blocks.sum()
+    held = index.rows.groupBy("block").count().agg(F.max("count")).first()[0]
+    assert held <= 4 * 30
+
+
+def test_index_of_nothing_and_of_one_row(spark):
+    empty = spark.createDataFrame([], "id long, v array<double>")
+    assert pairs.nearest(empty, "v", 3, 2, index=CellIndex(empty, 3)).count() == 0
+    one = spark.createDataFrame([(7, [1.0, 0.0, 0.0])], "id long, v array<double>")
+    assert pairs.nearest(one, "v", 3, 2, index=CellIndex(one, 3)).count() == 0
+    assert pairs.similar_pairs(one, "v", 3, 0.5, index=CellIndex(one, 3)).count() == 0
 
 
 def test_nearest_broadcast_and_grid(cloud):
@@ -157,7 +189,10 @@ def test_label_propagation(spark):
 def test_density_clusters_with_copies(cloud):
     u, nodes, members = cloud
     eps, k = 0.12, 3
-    got = {r.id: r.label for r in graph.density_clusters(graph.density_labels(nodes, "v", 5, [eps], k), members, [4]).collect()}
+    got, grid = (
+        {r.id: r.label for r in graph.density_clusters(graph.density_labels(nodes, "v", 5, [eps], k, **sizes), members, [4]).collect()} for sizes in ({}, GRID)
+    )
+    assert got == grid
     d = 1 - u @ u.T
     np.fill_diagonal(d, np.inf)
     core = np.sort(np.maximum(d, 0), axis=1)[:, k - 1]
@@ -202,6 +237,22 @@ def test_linkage_rounds_equal_exact_linkage(spark):
             assert {n: x[k] for n, x in got.items()} == {n: label[i] for n, i in enumerate(copies)}
 
 
+def test_linkage_compares_only_groups_whose_nearest_merged(spark):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(12, 4))[np.arange(120) % 12] + rng.normal(size=(120, 4)) * 0.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = sorted(range(120), key=lambda i: list(u[i]))
+    df = spark.createDataFrame([(n, [float(v) for v in u[i]]) for n, i in enumerate(order)], "id long, v array<double>")
+    want = cluster.average_linkage(np.ones(120), u[order], 5)
+    got = {r.id: r.labels[0] for r in cluster.agglomerate(df, "v", 4, [5], 8, broadcast_bytes=1, left_rows=40, right_rows=30).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    groups = df.select("id", F.lit(1.0).alias("n"), F.col("v").alias("s"))
+    compared = []
+    left, _ = cluster.merged_groups(groups, 4, 5, 8, compared)
+    assert left.count() <= 8 and compared[0] == 120
+    assert all(n < 120 * 0.7 for n in compared[1:]) and sum(compared) < 120 * (1 + 0.45 * (len(compared) - 1))
+
+
 def test_silhouettes(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 20, axis=0)

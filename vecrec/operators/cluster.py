@@ -171,8 +171,8 @@ def average_linkage(counts: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
     return np.array([names[x] for x in label])
 
 
-def nearest_groups(groups: DataFrame, dim: int, **sizes: int) -> DataFrame:
-    """(lo, hi, d, id): for each group (id, n, s) the pair it forms with its nearest other group.
+def nearest_groups(asked: DataFrame, groups: DataFrame, dim: int, **sizes: int) -> DataFrame:
+    """(lo, hi, d, id): for each group (id, n, s) of ``asked`` the pair it forms with its nearest other one of ``groups``.
 
     Equal distances (12 decimals) go to the smaller pair of ids, so the closest pair of all is mutual.
     """
@@ -187,30 +187,44 @@ def nearest_groups(groups: DataFrame, dim: int, **sizes: int) -> DataFrame:
         found = pd.DataFrame({"id": a, "d": least, "lo": np.minimum(a, other), "hi": np.maximum(a, other)})
         return found[np.isfinite(least)]
 
-    met = blocks.block_apply(groups, groups, closest, "id long, d double, lo long, hi long", "id", "id", 8 * dim + 16, **sizes)
+    met = blocks.block_apply(asked, groups, closest, "id long, d double, lo long, hi long", "id", "id", 8 * dim + 16, **sizes)
     best = met.groupBy("id").agg(F.min(F.struct("d", "lo", "hi")).alias("b"))
     return best.select("id", "b.d", "b.lo", "b.hi")
 
 
-def merged_groups(groups: DataFrame, dim: int, most_k: int, micro: int, **sizes: int) -> tuple[DataFrame, DataFrame]:
+def merged_groups(groups: DataFrame, dim: int, most_k: int, micro: int, compared: list[int] | None = None, **sizes: int) -> tuple[DataFrame, DataFrame]:
     """Average linkage by rounds of mutual nearest groups, down to ``micro`` groups -> (groups, (id, group) moves).
 
     Average linkage is reducible: mutual nearest groups merge at some time in any order. A group whose
     nearest one is at distance h stays alone below h, so at a height that ``most_k`` groups reach there are
     ``most_k`` clusters or more, and merges below it belong to every cut asked for. The result is the same
-    as merging the closest pair each time. A round compares all groups block by block.
+    as merging the closest pair each time.
+
+    By the same property a merged group is no nearer to any other than its two parts were, so a group
+    whose nearest one did not merge keeps it: after the first round only merged groups, and those whose
+    nearest one merged, are compared with all. ``compared`` takes the numbers of groups compared per round.
     """
     moves = cut_lineage(groups.select("id", F.col("id").alias("group")))
-    while groups.count() > max(micro, most_k):
-        best = cut_lineage(nearest_groups(groups, dim, **sizes))
+    left, asked, kept = groups.count(), groups, None
+    while left > max(micro, most_k):
+        if compared is not None:
+            compared.append(asked.count())
+        best = nearest_groups(asked, groups, dim, **sizes)
+        best = cut_lineage(best if kept is None else best.unionByName(kept))
         height = best.select("d").orderBy(F.desc("d")).limit(most_k).agg(F.min("d")).first()[0]
         least = best.agg(F.min(F.struct("d", "lo", "hi")).alias("b")).first()["b"]
         mutual = best.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d")).where("c = 2")
         first = (F.col("lo") == least["lo"]) & (F.col("hi") == least["hi"])
         pairs = cut_lineage(mutual.where((F.col("d") < height) | first).select("lo", "hi"))
+        touched = pairs.select(F.explode(F.array("lo", "hi")).alias("id"))
+        # both of a pair: the group itself and its nearest one are as they were
+        still = best.join(touched, "id", "left_anti").withColumn("other", F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo")))
+        kept = cut_lineage(still.join(touched.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "d", "lo", "hi"))
         placed = groups.join(pairs, groups["id"] == pairs["hi"], "left").withColumn("id", F.coalesce("lo", "id")).drop("lo", "hi")
         groups = cut_lineage(vec.vector_sums(placed, ["id"], "s", dim, "t", extra=[F.sum("n").alias("m")]).select("id", F.col("m").alias("n"), F.col("t").alias("s")))
+        asked = cut_lineage(groups.join(kept.select("id"), "id", "left_anti"))
         moves = cut_lineage(moves.join(pairs, moves["group"] == pairs["hi"], "left").select("id", F.coalesce("lo", "group").alias("group")))
+        left = groups.count()
     return groups, moves
 
 
