@@ -64,9 +64,9 @@ def test_group_cap_against_brute_force(spark):
         assert ask(spark, rows, "p03", top_k=8, segment_mode="off", max_per_group=cap) == brute(rows, "p03", 8, cap=cap)
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_aliases_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(score, "LIKED_LIMIT", limit)  # 0 forces the entity-side ban list
+@pytest.mark.parametrize("block", [2048, 7])
+def test_aliases_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(score, "REQUEST_BLOCK", block)
     rows = population(31)
     alias = {f"p{i:02d}": f"person{i // 3}" for i in range(0, 30, 1) if i % 3 < 2}
     frame = spark.createDataFrame(list(alias.items()), "entity_id string, alias_id string")
@@ -103,6 +103,29 @@ def test_many_requests_take_the_block_grid(spark, monkeypatch):
     assert got == want and len(got) == 60
 
 
+def test_ten_thousand_requests_with_long_ban_lists(spark):
+    """All requests in one run, one of them liking half of all entities, against the scoring formula."""
+    rng = np.random.default_rng(17)
+    n, d, asked = 120, 6, 10_000
+    rows = [(f"e{i:03d}", f"g{i % 9}", rng.normal(size=d).tolist(), {"conf": float(rng.uniform(0.2, 1)), "seg": "FM"[i % 2]}) for i in range(n)]
+    likes = {f"r{k:05d}": sorted({int(x) for x in rng.integers(0, n, size=1 + k % 3)}) for k in range(asked)}
+    likes["r00000"] = list(range(0, n, 2))
+    req = spark.createDataFrame([(r, f"e{i:03d}") for r, ids in likes.items() for i in ids], "request_id string, entity_id string")
+    got = {}
+    for r in recommend(entities(spark, rows), req, [d], top_k=4, segment_mode="off", pool_size=4).collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.entity_id, r.score))
+    assert len(got) == asked
+    v = np.array([r[2] for r in rows])
+    u, conf = v / np.linalg.norm(v, axis=1, keepdims=True), np.array([r[3]["conf"] for r in rows])
+    for name in [f"r{k:05d}" for k in range(0, asked, 97)]:
+        q = u[likes[name]].mean(axis=0)
+        s = u @ (q / np.linalg.norm(q))
+        z = (s - s.mean()) / s.std() * (0.5 + 0.5 * conf)
+        best = sorted((i for i in range(n) if i not in likes[name]), key=lambda i: (-round(z[i], 9), i))[:4]
+        assert [e for _, e, _ in sorted(got[name])] == [f"e{i:03d}" for i in best]
+        np.testing.assert_allclose([x for *_, x in sorted(got[name])], z[best], atol=1e-9)
+
+
 def test_greedy_rerank_against_brute_force(spark):
     rng = np.random.default_rng(7)
     n, d, k, cap, lam = 40, 6, 12, 3, 0.4

@@ -13,6 +13,9 @@ from vecrec.operators.blocks import block_apply, matrix
 from vecrec.operators.rerank import SCORE_DIGITS
 from vecrec.session import cut_lineage
 
+#: Entities and requests that are scored together: a few matrices of that many squared numbers.
+REQUEST_BLOCK = 2048
+
 
 def query_vectors(requests: DataFrame, entities: DataFrame, vector: str, dim: int, out: str = "query", strict: bool = False) -> DataFrame:
     """Unit mean of the liked entities per request. ``requests(request_id, entity_id)`` is long form.
@@ -118,19 +121,17 @@ def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float
     return out.withColumn("score", total / F.lit(float(denominator)))
 
 
-LIKED_LIMIT = 1_000  # liked rows per request kept in its profile; beyond it the entities carry the bans
 NO_SEGMENT = ""
 
 
 def request_profiles(
     requests: DataFrame, entities: DataFrame, spaces: list[tuple[str, int]], aliases: DataFrame | None, segment_mode: str
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """One row per request: query vector, background mean and sigma per space, the allowed segment
-    (``auto`` = majority among the liked, ``off``, or a value) and the aliases it may not return.
+) -> tuple[DataFrame, DataFrame]:
+    """``(profiles, bans)``: one row per request with its query vector, background mean and sigma per space, the
+    allowed segment (``auto`` = majority among the liked, ``off``, or a value) and the number of aliases it
+    may not return; and those aliases as rows ``(request_id, alias_id)``.
 
-    If some request likes more than ``LIKED_LIMIT`` entities, those lists stay out of the profiles and come back
-    as ``(alias_id, banned request ids)`` for the entity side. Without aliases an entity is its own alias.
-    The third result is the largest number of list entries in a profile, for size checks.
+    Without aliases an entity is its own alias.
     """
     liked = requests.select("request_id", "entity_id").distinct()
     if aliases is not None:
@@ -139,13 +140,8 @@ def request_profiles(
         liked = liked.withColumn("alias_id", F.col("entity_id"))
     # only the liked rows: read once, then everything about the requests comes from this small copy
     liked = cut_lineage(liked.join(entities.select("entity_id", "ord", "segment", *[c for c, _ in spaces]), "entity_id", "left"))
-    bans, longest = None, liked.groupBy("request_id").count().agg(F.max("count")).first()[0] or 0
-    if longest > LIKED_LIMIT:
-        longest = 0
-        profile = liked.select("request_id").distinct().withColumn("liked_aliases", F.array().cast("array<string>"))
-        bans = cut_lineage(liked.groupBy("alias_id").agg(F.collect_set("request_id").alias("banned")))
-    else:
-        profile = liked.groupBy("request_id").agg(F.collect_set("alias_id").alias("liked_aliases"))
+    bans = liked.select("request_id", "alias_id").distinct()
+    profile = bans.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_banned"))
     if segment_mode == "auto":
         votes = (
             liked.where(F.col("segment") != NO_SEGMENT)
@@ -161,7 +157,44 @@ def request_profiles(
         rows = liked.where(F.col(column).isNotNull())
         profile = profile.join(mean_direction(rows, ["request_id"], column, dim, f"q{i}").drop("n"), "request_id", "left")
     profile = cut_lineage(profile.where(F.coalesce(*[F.col(f"q{i}") for i in range(len(spaces))]).isNotNull()))
-    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id")), bans, longest
+    return cut_lineage(profile.join(background_stats(entities, profile, spaces).drop("n_background"), "request_id")), bans
+
+
+def fused_zscores(left: pd.DataFrame, right: pd.DataFrame, weights: list[float], use_confidence: bool) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(requests x entities fused scores, z-scores per space, which spaces each request has).
+
+    A space in which a request likes nothing is left out of its sum and its denominator; an entity without
+    a vector in a space adds 0.
+    """
+    total, denominator, shown, asked = np.zeros((len(right), len(left))), np.zeros(len(right)), [], []
+    for i, weight in enumerate(weights):
+        have, wanted = left[f"u{i}"].notna().to_numpy(), right[f"q{i}"].notna().to_numpy()
+        z = np.full(total.shape, np.nan)
+        if have.any() and wanted.any():
+            mean, sigma = (right.loc[wanted, f"{c}{i}"].to_numpy(dtype=float)[:, None] for c in ("m", "s"))
+            x = matrix(right.loc[wanted, f"q{i}"]) @ matrix(left.loc[have, f"u{i}"]).T - mean
+            z[np.ix_(wanted, have)] = x / np.where(sigma < vec.FLAT_SIGMA, 1.0, sigma)
+        total += weight * np.nan_to_num(z)
+        denominator += abs(weight) * wanted
+        shown.append(z)
+        asked.append(wanted)
+    total /= np.where(denominator == 0, 1.0, denominator)[:, None]
+    if use_confidence:
+        total *= 0.5 + 0.5 * left["confidence"].to_numpy(dtype=float)
+    return total, shown, np.stack(asked)
+
+
+def best_per_alias(score: np.ndarray, alias: np.ndarray) -> None:
+    """Per request all but the best entity of an alias become -inf; of equal ones the first column stays."""
+    _, code, many = np.unique(alias, return_inverse=True, return_counts=True)
+    for c in np.flatnonzero(many > 1).tolist():
+        columns = np.flatnonzero(code == c)
+        part = score[:, columns]
+        keep = part.argmax(axis=1)
+        lost = np.ones(part.shape, bool)
+        lost[np.arange(len(part)), keep] = False
+        part[lost] = -np.inf
+        score[:, columns] = part
 
 
 def score_candidates(
@@ -172,76 +205,63 @@ def score_candidates(
     use_confidence: bool,
     pool: int,
     by_alias: bool,
-    bans: DataFrame | None = None,
-    longest: int = 0,
 ) -> DataFrame:
-    """Best ``pool`` candidates per request and map task: fused z-scores, request-specific filters.
+    """The best candidates per request and map task: fused z-scores, quality and segment filters.
 
-    The cut per task is exact: a row in the overall pool is in the pool of its own task, because
-    liked rows are out and each alias keeps its best row before the cut.
+    All requests of a block are scored by one matrix product per space. Bans are not looked at here: a task
+    hands on ``pool`` candidates more than the request has banned aliases, so that the rest of the pool is
+    whole once the bans are out. That cut is exact: a row of the overall pool is in the pool of its
+    own task, because each alias keeps its best row before the cut. Equal scores at the cut all stay.
     """
     n = len(spaces)
     weight = [float(weights[i]) if i < len(weights) else 1.0 for i in range(n)]
-    fields = ["request_id", "entity_id", "alias_id", "ord", "score", *[f"score_{i}" for i in range(n)]]
-    by_ban = bans is not None
+    shown_names = [f"score_{i}" for i in range(n)]
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         best = pdf.assign(__s=pdf["score"].round(SCORE_DIGITS)).sort_values(["request_id", "__s", "ord"], ascending=[True, False, True])
         best = best.drop(columns="__s")
         if by_alias:
             best = best.drop_duplicates(["request_id", "alias_id"])
-        return best.groupby("request_id", sort=False).head(pool)
+        return best[best.groupby("request_id", sort=False).cumcount() < best["wide"]]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        units = []
-        for i in range(n):
-            have = left[f"u{i}"].notna().to_numpy()
-            units.append((have, matrix(left.loc[have, f"u{i}"])))
-        outs = []
-        alias = left["alias_id"].to_numpy()
-        segment, confidence = left["segment"].to_numpy(), left["confidence"].to_numpy(dtype=float)
-        for _, req in right.iterrows():
-            total, denom, shown = np.zeros(len(left)), 0.0, []
-            for i in range(n):
-                if req[f"q{i}"] is None:
-                    continue  # no liked entity in this space: skipped, later ones move up
-                have, u = units[i]
-                z = np.full(len(left), np.nan)
-                if have.any():
-                    x = u @ np.asarray(req[f"q{i}"], dtype=float) - req[f"m{i}"]
-                    z[have] = x if req[f"s{i}"] < vec.FLAT_SIGMA else x / req[f"s{i}"]
-                total += weight[i] * np.nan_to_num(z)
-                denom += abs(weight[i])
-                shown.append(z)
-            fused = total / (denom or 1.0)
-            if use_confidence:
-                fused = fused * (0.5 + 0.5 * confidence)
-            ok = left["candidate"].to_numpy() & ~np.isin(alias, req["liked_aliases"])
-            if by_ban:
-                ok &= np.array([b is None or req["request_id"] not in b for b in left["banned"]])
-            if req["allowed"]:
-                ok &= (segment == "") | (segment == req["allowed"])
-            out = left.loc[ok, ["entity_id", "alias_id", "ord"]].copy()
-            out.insert(0, "request_id", req["request_id"])
-            out["score"] = fused[ok]
-            for i in range(n):
-                out[f"score_{i}"] = shown[i][ok] if i < len(shown) else np.nan
-            outs.append(cut(out))
-        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=fields)
-
-    rows = entities if bans is None else entities.join(bans, "alias_id", "left")
-    keep = ["entity_id", "alias_id", "ord", "segment", "confidence", "candidate", *(["banned"] if by_ban else [])]
+        left = left[left["candidate"].to_numpy(dtype=bool)].sort_values("ord")
+        fused, shown, asked = fused_zscores(left, right, weight, use_confidence)
+        segment = left["segment"].to_numpy()
+        by_segment = right["allowed"].fillna("").to_numpy()
+        fit = (by_segment[:, None] == "") | (segment == NO_SEGMENT)[None, :] | (by_segment[:, None] == segment[None, :])
+        order = np.where(fit, np.round(fused, SCORE_DIGITS), -np.inf)
+        if by_alias:
+            best_per_alias(order, left["alias_id"].to_numpy())
+        wide = pool + right["n_banned"].to_numpy()
+        # everything not below a request's last place
+        ends = np.full(len(right), -np.inf)
+        for w in np.unique(wide[wide < len(left)]).tolist():
+            mine = wide == w
+            ends[mine] = -np.partition(-order[mine], w - 1, axis=1)[:, w - 1]
+        r, c = np.nonzero((order >= ends[:, None]) & np.isfinite(order))
+        z = np.stack([x[r, c] for x in shown])
+        known = asked[:, r]
+        if not known.all():  # spaces in which a request likes nothing are passed over, later ones move up
+            first = np.argsort(~known, axis=0, kind="stable")
+            z = np.where(np.take_along_axis(known, first, axis=0), np.take_along_axis(z, first, axis=0), np.nan)
+        out = {"request_id": right["request_id"].to_numpy()[r], **{k: left[k].to_numpy()[c] for k in ("entity_id", "alias_id", "ord")}, "score": fused[r, c], "wide": wide[r]}
+        return pd.DataFrame(out | dict(zip(shown_names, z, strict=True)))
+
+    rows, keep = entities, ["entity_id", "alias_id", "ord", "segment", "confidence", "candidate"]
     for i, (column, dim) in enumerate(spaces):
         rows = vec.with_unit(rows, column, f"u{i}", dim)
         keep.append(f"u{i}")
-    scores = ", ".join(f"score_{i} double" for i in range(n))
-    return block_apply(
+    found = block_apply(
         rows.select(*keep),
         profiles,
         score,
-        f"request_id string, entity_id string, alias_id string, ord long, score double, {scores}",
+        f"request_id string, entity_id string, alias_id string, ord long, score double, wide long, {', '.join(f'{c} double' for c in shown_names)}",
         "entity_id",
         "request_id",
-        row_bytes=8 * sum(d for _, d in spaces) + 512 + 64 * longest,
+        row_bytes=8 * sum(d for _, d in spaces) + 512,
         combine=cut,
+        left_rows=REQUEST_BLOCK,
+        right_rows=REQUEST_BLOCK,
     )
+    return found.drop("wide")

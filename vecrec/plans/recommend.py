@@ -48,12 +48,13 @@ def recommend(
         wide = wide.withColumn("alias_id", F.coalesce("alias_id", "entity_id"))
     else:
         wide = wide.withColumn("alias_id", F.col("entity_id"))
-    profiles, bans, longest = request_profiles(requests, wide.drop("alias_id"), spaces, aliases, segment_mode)
+    profiles, bans = request_profiles(requests, wide.drop("alias_id"), spaces, aliases, segment_mode)
     wide = wide.withColumn(
         "candidate", (F.col("image_count") >= min_image_count) & (F.col("confidence") >= min_confidence)
     )
     pool_n = max(top_k, pool_size)
-    scored = score_candidates(wide, profiles, spaces, list(weights or [1.0]), use_confidence, pool_n, aliases is not None, bans, longest)
+    scored = score_candidates(wide, profiles, spaces, list(weights or [1.0]), use_confidence, pool_n, aliases is not None)
+    scored = rerank.drop_liked_aliases(scored, bans)
     if aliases is not None:
         scored = rerank.dedupe_aliases(scored)
     pool = rerank.top_k(scored, pool_n).drop("rank")
