@@ -114,3 +114,29 @@ def test_moments_merge(spark):
 def test_single_sample_confidence(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0])], "k string, v array<double>")
     assert aggregate.moments(df, ["k"], "v", 2).select(aggregate.consistency().alias("c")).first().c == 0.5
+
+
+def test_second_space_follows_the_first(spark):
+    """Validity, detections, quality, group and segment come from the first table, vectors and trim from the second."""
+    rng = np.random.default_rng(23)
+    n, d = 40, 4
+    v = rng.normal(size=(n, d)) + 2
+    first = [(f"e{i % 3}", i, i, f"g{i % 2}", i % 7 != 3, None if i % 5 == 0 else 2 if i % 11 == 4 else 1, float(i % 10) / 10, "F" if i % 4 else "") for i in range(n)]
+    primary = spark.createDataFrame(first, "entity_id string, sample_id long, ord long, group_name string, is_valid boolean, face_count int, quality double, segment string")
+    second = spark.createDataFrame([(f"e{i % 3}", i, i, [float(x) for x in v[i]]) for i in range(0, n) if i % 6 != 5] + [("e9", 1, 1, [1.0] * d)], "entity_id string, sample_id long, ord long, w array<double>")
+    for how in ("spherical", "mean"):
+        got = {r.entity_id: r for r in aggregate.build_second_space_vectors(second, primary, "w", d, 3, 0.3, 2, aggregator=how).collect()}
+        assert set(got) == {"e0", "e1", "e2"}
+        for e in range(3):
+            ids = [i for i in range(e, n, 3) if i % 6 != 5 and i % 7 != 3 and not (i % 5 and i % 11 == 4)]
+            u = v[ids] / np.linalg.norm(v[ids], axis=1, keepdims=True)
+            centre = u.mean(axis=0) / np.linalg.norm(u.mean(axis=0))
+            keep = np.argsort(-(u @ centre), kind="stable")[: max(2, round(len(ids) * 0.7))]
+            w = np.maximum([ids[k] % 10 / 10 for k in keep], 1e-6) if how == "mean" else np.ones(len(keep))
+            mean = (u[keep] * w[:, None]).sum(axis=0)
+            np.testing.assert_allclose(got[f"e{e}"].vector, mean / np.linalg.norm(mean), atol=1e-9)
+            s = u[keep] @ u[keep].T
+            assert got[f"e{e}"].confidence == pytest.approx(s[np.triu_indices(len(keep), 1)].mean(), abs=1e-9)
+            assert (got[f"e{e}"].image_count, got[f"e{e}"].kept_count, got[f"e{e}"].group_name) == (len(ids), len(keep), f"g{ids[-1] % 2}")
+    loose = aggregate.build_second_space_vectors(second, primary, "w", d, 3, single_detection=False).where("entity_id = 'e0'").first()
+    assert loose.image_count == len([i for i in range(0, n, 3) if i % 6 != 5 and i % 7 != 3])

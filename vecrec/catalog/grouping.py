@@ -114,6 +114,37 @@ def _(spark, sf):
     return dedupe.admit(rows, rows.select("url").limit(0), None, NEAR_BITS, True).select("id", "entity_id", "status")
 
 
+QUOTA = 30
+CLIPS_SQL = f"""{ITEMS_SQL},
+told AS (SELECT *, concat('u', id % 700) AS url, concat('clip ', id % 10) AS title, id % 13 = 5 AS bad FROM items),
+fits AS (SELECT * FROM told WHERE NOT (entity_id IN ('g3', 'g5') AND title = 'clip 7') AND (entity_id NOT IN ('g4', 'g5') OR title IN ('clip 1', 'clip 2', 'clip 7', 'clip 8'))),
+fresh AS (SELECT * FROM (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY entity_id, url ORDER BY ord) = 1) WHERE CAST(substr(url, 2) AS BIGINT) % 37 <> 0),
+good AS (SELECT * FROM fresh WHERE NOT bad)"""
+
+
+@query(
+    "l3_admission_branches",
+    "WITH RECURSIVE " + GREEDY_SQL.replace(ITEMS_SQL, CLIPS_SQL).replace("AS i FROM items)", "AS i FROM good)") + f""",
+judged AS (SELECT n.id, n.ord, n.entity_id, w.verdict AS status, 3 * CAST(substr(n.entity_id, 2) AS BIGINT) AS have FROM walk w JOIN numbered n ON n.i = w.i),
+placed AS (SELECT entity_id, max(ord) AS last, max(seq) AS seq FROM (
+  SELECT entity_id, ord, have + row_number() OVER (PARTITION BY entity_id ORDER BY ord) AS seq FROM judged WHERE status = 'downloaded') WHERE seq <= {QUOTA} GROUP BY 1)
+SELECT id, entity_id, status FROM judged LEFT JOIN placed USING (entity_id) WHERE have < {QUOTA} AND (coalesce(seq, 0) < {QUOTA} OR ord <= last)
+UNION ALL SELECT id, entity_id, 'failed' FROM fresh WHERE bad""",
+)
+def _(spark, sf):
+    """All branches: terms, repeated and seen addresses, failed candidates, entities near and over their quota."""
+    rows = items(spark, sf).selectExpr(
+        "entity_id", "id", "ord", "fp", "concat('u', id % 700) AS url", "md5(cast(fp AS string)) AS digest", "concat('clip ', id % 10) AS title",
+        "if(id % 13 = 5, 'too small', cast(null AS string)) AS error",
+    )
+    include = F.when(F.col("entity_id").isin("g4", "g5"), F.array(*map(F.lit, ("Clip 1", "clip 2", "clip 7", "clip 8")))).otherwise(F.array().cast("array<string>"))
+    exclude = F.when(F.col("entity_id").isin("g3", "g5"), F.array(F.lit("clip 7"))).otherwise(F.array().cast("array<string>"))
+    fits = rows.where(dedupe.term_match(F.col("title"), include, exclude)).drop("title")
+    seen = rows.select("url").distinct().where("cast(substr(url, 2) as bigint) % 37 = 0")
+    have = rows.select("entity_id").distinct().withColumn("n", 3 * F.substring("entity_id", 2, 20).cast("bigint"))
+    return dedupe.admit(fits, seen, have, NEAR_BITS, True, QUOTA).select("id", "entity_id", "status")
+
+
 @query(
     "w12_near_duplicates",
     f"""WITH RECURSIVE {ITEMS_SQL},

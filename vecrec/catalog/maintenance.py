@@ -355,6 +355,25 @@ def _(spark, sf):
     return reg.name_changes(reg.match_names(*people(spark, sf)).withColumn("search_hint", F.expr(HINT)))
 
 
+GROUP_HINT = "concat(group_name, ' ', entity_name, ' 얼굴')"
+
+
+@query(
+    "j13_group_swap",
+    f"""WITH {LISTED_SQL}, h AS (SELECT *, {GROUP_HINT} AS hint, list_last(regexp_split_to_array(trim(concat(group_name, ' ', entity_name)), '\\s+')) AS old,
+  CASE CAST(substr(group_name, 2) AS BIGINT) % 3 WHEN 0 THEN '한글 팀' WHEN 1 THEN '가-나' ELSE '' END AS gl FROM matched),
+n0 AS (SELECT *, CASE WHEN local <> '' AND old <> '' AND instr(hint, old) > 0 THEN concat(substr(hint, 1, instr(hint, old) - 1), local, substr(hint, instr(hint, old) + length(old))) ELSE hint END AS h0 FROM h),
+n AS (SELECT *, CASE WHEN gl <> '' THEN replace(h0, group_name, gl) ELSE h0 END AS new_hint FROM n0)
+SELECT entity_id, entity_name AS old_entity_name, CASE WHEN f <> tg THEN name ELSE entity_name END AS new_entity_name, hint AS old_search_hint, new_hint AS new_search_hint FROM n WHERE f <> tg OR new_hint <> hint""",
+)
+def _(spark, sf):
+    from vecrec.catalog.texts import GROUP_INTRO
+
+    groups = t(spark, sf, "pages").select(F.concat(F.lit("g"), "page_id").alias("group_name"), text.group_local(F.expr(GROUP_INTRO)).alias("group_local"))
+    matched = reg.match_names(*people(spark, sf)).join(groups, "group_name", "left")
+    return reg.name_changes(matched.withColumn("search_hint", F.expr(GROUP_HINT)))
+
+
 PAGE_KEY = "regexp_extract(url, '/([a-z]{2}/[0-9]+)', 1)"
 INTAKE_HTML = """concat('<p>', CASE page_id % 9 WHEN 0 THEN 'now disbanded' WHEN 1 THEN 'a virtual idol group' WHEN 2 THEN 'a project group' WHEN 3 THEN 'sub-unit of y' ELSE '' END,
  CASE page_id % 4 WHEN 0 THEN ' Debut Date: 2030.1.2 ' WHEN 1 THEN ' Debut Date: May 3, 2019 ' ELSE '' END, '</p>', CASE WHEN page_id % 5 = 0 THEN replace(html, 'href', 'ref') ELSE html END)"""
@@ -472,16 +491,16 @@ def _(spark, sf):
 
 @query(
     "j12_score_fusion",
-    f"""WITH {SCORED_SQL} SELECT ev.entity_id, round((z1.z + coalesce(0.5 * z2.z, 0)) / 1.5, 6) AS score, round(z1.z, 6) AS score_0, round(z2.z, 6) AS score_1
-FROM ev JOIN z1 ON z1.entity_id = ev.entity_id AND z1.request_id = 'r2' LEFT JOIN z2 ON z2.entity_id = ev.entity_id AND z2.request_id = 'r2'""",
+    f"""WITH {SCORED_SQL} SELECT z1.request_id, ev.entity_id, round((z1.z + coalesce(0.5 * z2.z, 0)) / 1.5, 6) AS score, round(z1.z, 6) AS score_0, round(z2.z, 6) AS score_1
+FROM ev JOIN z1 ON z1.entity_id = ev.entity_id LEFT JOIN z2 ON z2.entity_id = ev.entity_id AND z2.request_id = z1.request_id""",
 )
 def _(spark, sf):
     ev = stored_entity_vectors(spark, sf)
     second = cut_lineage(second_vectors(spark, sf).join(ev.select("entity_id"), "entity_id", "left_semi"))
-    wanted = views.requests(spark, sf).where("request_id = 'r2'")
-    spaces = [score.space_zscores(df, wanted, "vector", dim).drop("request_id") for df, dim in ((ev, D1), (second, D2))]
-    out = score.fuse_scores(ev.select("entity_id"), spaces, [1.0, 0.5])
-    return out.select("entity_id", *[F.round(c, 6).alias(c) for c in ("score", "score_0", "score_1")])
+    spaces = [score.space_zscores(df, views.requests(spark, sf), "vector", dim) for df, dim in ((ev, D1), (second, D2))]
+    asked = spaces[0].select("request_id", "entity_id")
+    out = score.fuse_scores(asked, spaces, [1.0, 0.5], ["request_id", "entity_id"])
+    return out.select("request_id", "entity_id", *[F.round(c, 6).alias(c) for c in ("score", "score_0", "score_1")])
 
 
 # ---- sets --------------------------------------------------------------------------------------------

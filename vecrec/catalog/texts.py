@@ -322,6 +322,35 @@ def _(spark, sf):
     return rows.select("page_id", "p.name", "p.local")
 
 
+PEOPLE_NAMES = f"transform(regexp_extract_all(html, '{LINK}', 2), x -> trim(regexp_replace(regexp_replace(x, '[^A-Za-z ]', ''), ' +', ' ')))"
+PEOPLE_HTML = f"""array_join(transform({PEOPLE_NAMES}, (n, i) -> concat(
+  CASE WHEN page_id % 3 = 0 AND i = page_id % 5 THEN '<h2>More</h2><p>Former Members</p>' WHEN page_id % 3 = 1 AND i = 0 THEN '<p>Stage Name rules: a hiatus of 2 years</p>' ELSE '' END,
+  CASE (page_id + i) % 5 WHEN 0 THEN concat('<p><b>Stage Name:</b> ', n, ' (가나 다)</p><p>Korean Name: 라마</p>') WHEN 1 THEN concat('<p>Stage Name: ', n, '</p><p>Age: 20</p><p>Korean Name: 나다</p>')
+    WHEN 2 THEN concat('<div>Stage / Birth Name: ', n, '</div><div>Birth Name: Kim 마바사 x</div>') WHEN 3 THEN concat('<p>Stage Name: ', n, '</p><p>Birth Name: Lee (아자)</p><p>Korean Name: 차카</p>')
+    ELSE concat('<p>stage name : ', n, ' (x)</p>') END)), '')"""
+
+
+@query(
+    "p14b_current_people",
+    f"""WITH n AS (SELECT page_id, list_transform(regexp_extract_all(html, '{LINK}', 2), lambda x: trim(regexp_replace(regexp_replace(x, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))) AS names FROM pages),
+e AS (SELECT page_id, unnest(range(0, len(names))) AS i, unnest(names) AS name FROM n)
+SELECT page_id, i - (SELECT count(*) FROM e b WHERE b.page_id = e.page_id AND b.i < e.i AND b.name = '') AS pos, name,
+  CASE (page_id + i) % 5 WHEN 0 THEN '가나 다' WHEN 1 THEN '나다' WHEN 2 THEN '마바사' WHEN 3 THEN '아자' ELSE '' END AS local
+FROM e WHERE name <> '' AND NOT (page_id % 3 = 0 AND i >= page_id % 5)""",
+)
+def _(spark, sf):
+    found = t(spark, sf, "pages").select("page_id", F.posexplode(text.current_fields(F.expr(PEOPLE_HTML))).alias("pos", "p"))
+    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "p.name", "p.local")
+
+
+GROUP_INTRO = "concat('<p>', CASE page_id % 3 WHEN 0 THEN concat('Team ', page_id, ' (한글 팀) is a group') WHEN 1 THEN concat('Team ', page_id, ' ( 가-나 ) is  an act') ELSE 'Team () is a band' END, '</p>', html)"
+
+
+@query("p14_group_local", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '한글 팀' WHEN 1 THEN '가-나' ELSE '' END AS group_local FROM pages")
+def _(spark, sf):
+    return t(spark, sf, "pages").select("page_id", text.group_local(F.expr(GROUP_INTRO)).alias("group_local"))
+
+
 SCRIPT_RAW = "CASE c_custkey % 4 WHEN 0 THEN concat('ケイ / 케이', c_custkey) WHEN 1 THEN concat(c_name, ' / 의주 나') WHEN 2 THEN concat('ウィ', c_name) ELSE '가/나 다/라' END"
 
 
@@ -453,6 +482,26 @@ def _(spark, sf):
     return rows.select("entity_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "query")
 
 
+CLIPS = " OR ".join(f"contains(lower(q), '{word}')" for word in text.CLIP_WORDS)
+
+
+@query(
+    "p19_keyword_queries",
+    f"""WITH {REGISTRY_SQL}, b AS (SELECT * FROM ({QUERIES_SQL}) WHERE o < 2 OR CAST(substr(entity_id, 2) AS BIGINT) % 4 <> 0),
+q AS (SELECT entity_id, o, trim(list_aggregate(list_concat(list_concat([base], list_transform(list_filter(include_terms, lambda t: NOT contains(lower(base), lower(t))), lambda t: {_Q})),
+  list_transform(exclude_terms, lambda t: concat('-', {_Q}))), 'string_agg', ' ')) AS q FROM b WHERE base <> ''),
+d AS (SELECT entity_id, q, min(o) AS o FROM q WHERE {CLIPS} GROUP BY 1, 2),
+a AS (SELECT entity_id, q, o FROM d UNION ALL SELECT entity_id, concat(search_hint, ' {text.CLIP_FORCED}'), 0 FROM reg WHERE entity_id NOT IN (SELECT entity_id FROM d))
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY o) AS pos, q AS query FROM a""",
+)
+def _(spark, sf):
+    q = text.search_queries(F.col("search_hint"), F.col("group_name"), F.col("entity_name"), F.col("include_terms"), F.col("exclude_terms"))
+    few = text.search_queries(F.col("search_hint"), F.col("group_name"), F.col("entity_name"), F.col("include_terms"), F.col("exclude_terms"), text.QUERY_TEMPLATES[:2])
+    asked = registry(spark, sf).withColumn("q", F.when(F.substring("entity_id", 2, 20).cast("bigint") % 4 == 0, few).otherwise(q))
+    rows = asked.select("entity_id", F.posexplode(text.keyword_queries(F.col("q"), F.col("search_hint"))).alias("pos", "query"))
+    return rows.select("entity_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "query")
+
+
 @query(
     "p20_hint_update",
     f"""WITH {REGISTRY_SQL}, h AS (SELECT entity_id, search_hint, list_last(regexp_split_to_array(CASE WHEN suffix(search_hint, '얼굴') THEN trim(search_hint[:-3]) ELSE search_hint END, '\\s+')) AS old FROM reg)

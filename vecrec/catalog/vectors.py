@@ -156,11 +156,34 @@ def _(spark, sf):
     return long_vector(ev, "entity_id", "group_name", "image_count", "kept_count", "segment", "confidence")
 
 
-@query("a07_secondary_vectors", f"WITH {BUILT_SQL} {long_sql('second', 'entity_id', 'n')}")
+@query("a01_secondary_mean", f"WITH {BUILT_SQL} {long_sql('second', 'entity_id', 'n')}")
 def _(spark, sf):
     return long_vector(second_vectors(spark, sf), "entity_id", "n")
 
 
+# the second space holds fewer samples, and only the first one knows which are valid
+SECOND_ELIGIBLE_SQL = f"""{SAMPLES_SQL},
+elig AS (SELECT s.entity_id, s.sample_id, s.ord, s.v2, p.group_name, p.quality, p.segment
+  FROM (SELECT entity_id, sample_id, ord, v2 FROM samples WHERE sample_id % 11 <> 5) s
+  JOIN samples p USING (entity_id, sample_id) WHERE p.is_valid AND coalesce(p.face_count, 1) = 1),
+units AS (SELECT *, {unit('v2')} AS u FROM elig)"""
+SECOND_BUILT_SQL = BUILT_SQL.replace(ELIGIBLE_SQL, SECOND_ELIGIBLE_SQL)
+
+
+@query(
+    "a07_secondary_vectors",
+    f"""WITH {SECOND_BUILT_SQL}, rounded AS (SELECT * REPLACE (round(confidence, 4) AS confidence) FROM ev)
+{long_sql('rounded', 'entity_id', 'group_name', 'image_count', 'kept_count', 'segment', 'confidence')}""",
+)
+def _(spark, sf):
+    samples = views.samples(spark, sf)
+    secondary = samples.where("sample_id % 11 <> 5").select("entity_id", "sample_id", "ord", "v2")
+    built = aggregate.build_second_space_vectors(
+        secondary, samples, "v2", D2, MIN_SAMPLES, TRIM, MIN_KEEP, group_map=views.group_map(spark, sf), entity_map=views.entity_map(spark, sf)
+    )
+    return long_vector(built.withColumn("confidence", F.round("confidence", 4)), "entity_id", "group_name", "image_count", "kept_count", "segment", "confidence")
+
+
 @query(
     "a15_plain_mean",
     f"""WITH {SAMPLES_SQL}, {mean_cte('c', '(SELECT * FROM samples WHERE is_valid)', 'entity_id', 'v2')}

@@ -46,6 +46,15 @@ DATE_FORMS = (r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", r"^([A-Za-z]+)\s+(\d{1,2}),
 STAGE_PAIR = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*\(\s*([가-힣][가-힣 \-]*)\s*\)"
 STAGE_ONLY = r"(?i)Stage\s*Name\s*:\s*(?:</span>\s*)*[\s\xa0]*([A-Za-z][A-Za-z0-9 _\-.']*?)\s*[(<]"
 GROUP_LOCAL = r"(?i)([A-Z][A-Za-z0-9!:'.\s]{1,40})\s*\(\s*([가-힣][가-힣 \-]*)\s*\)\s*is\s+a"
+PARAGRAPH = r"(?is)<(?:p|div)\b[^>]*>(.*?)(?=</?(?:p|div)\b|$)"
+STAGE_FIELD = r"(?i)Stage\s*(?:/\s*Birth)?\s*Name\s*:\s*(.+?)(?:\n|$|(?=(?:Birth|Korean)\s*Name\s*:))"
+LOCAL_FIELD = r"(?i)Korean\s*Name\s*:\s*([가-힣\s]+)"
+BIRTH_FIELD = r"(?i)Birth\s*Name\s*:\s*(.+?)(?:\n|$)"
+BRACKETS = r"[\(\（]([가-힣\s]+)[\)\）]"
+ANY_BRACKETS = r"[\(\（].*?[\)\）]"
+LOCAL_RUN = r"([가-힣]{2,})"
+CLIP_WORDS = ("fancam", "직캠", "perfcam", "focus")
+CLIP_FORCED = "fancam"
 QUERY_TEMPLATES = (
     "{hint}",
     "{hint} 고화질",
@@ -279,6 +288,53 @@ def before_stop(c: Column, stop: str) -> Column:
     return F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c)
 
 
+def group_local(page: Column, pattern: str = GROUP_LOCAL) -> Column:
+    """Local name of the group in the sentence that introduces it, "" where there is none."""
+    return F.trim(F.coalesce(F.regexp_extract(page, pattern, 2), F.lit("")))
+
+
+def current_fields(html: Column, former: tuple[str, ...] = FORMER_WORDS) -> Column:
+    """(name, local) of the people a page lists before its section on former ones, in page order.
+
+    A paragraph with a stage name begins a person. The section begins at the first paragraph that has one
+    of ``former`` and no stage name. The local name is that in brackets behind the stage name, else that of
+    the person's first paragraph with a local-name field, or with a birth name in brackets or in the local script.
+    """
+    paragraphs = F.filter(F.transform(F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1)), lambda p: strip_html(p)), lambda p: p != "")
+
+    def ends(p: Column) -> Column:
+        low = F.lower(p)
+        words = F.lit(False)
+        for word in former:
+            words = words | F.contains(low, F.lit(word))
+        return words & ~F.contains(low, F.lit("stage name"))
+
+    def until(ps: Column) -> Column:
+        stop = F.array_position(F.transform(ps, ends), F.lit(True))
+        return F.when(stop > 0, F.slice(ps, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(ps)
+
+    def some(c: Column) -> Column:
+        return F.nullif(F.trim(c), F.lit(""))
+
+    def local_of(p: Column) -> Column:
+        birth = F.regexp_extract(p, BIRTH_FIELD, 1)
+        return F.coalesce(some(F.regexp_extract(p, LOCAL_FIELD, 1)), some(F.regexp_extract(birth, BRACKETS, 1)), some(F.regexp_extract(birth, LOCAL_RUN, 1)))
+
+    def people(ps: Column) -> Column:
+        at = F.filter(F.transform(ps, lambda p, i: F.when(p.rlike(STAGE_FIELD), i)), lambda i: i.isNotNull())
+
+        def person(begin: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(ps))
+            line = F.regexp_extract(F.get(ps, begin), STAGE_FIELD, 1)
+            later = F.filter(F.transform(F.slice(ps, begin + 1, end - begin), local_of), lambda x: x.isNotNull())
+            name = F.trim(F.regexp_replace(line, ANY_BRACKETS, ""))
+            return F.struct(name.alias("name"), F.coalesce(some(F.regexp_extract(line, BRACKETS, 1)), F.get(later, F.lit(0)), F.lit("")).alias("local"))
+
+        return F.filter(F.transform(at, person), lambda x: x["name"] != "")
+
+    return bound(bound(paragraphs, until), people)
+
+
 def script_segment(raw: Column, run: str = HANGUL_RUN, drop: str = KANA) -> Column:
     """Of ``a / b`` keep the part with most runs of one script (first wins), then drop another script."""
     parts = F.transform(F.split(raw, "/"), lambda x: F.trim(x))
@@ -342,6 +398,19 @@ def search_queries(hint: Column, group: Column, name: Column, include: Column, e
     return F.filter(F.array_distinct(F.array_compact(F.array(*[fill(t) for t in templates]))), lambda q: q != "")
 
 
+def keyword_queries(queries: Column, hint: Column, keywords: tuple[str, ...] = CLIP_WORDS, forced: str = CLIP_FORCED) -> Column:
+    """The queries that hold one of ``keywords``; without any, the hint with the ``forced`` word."""
+    def fits(q: Column) -> Column:
+        low = F.lower(q)
+        found = F.lit(False)
+        for word in keywords:
+            found = found | F.contains(low, F.lit(word))
+        return found
+
+    kept = F.filter(queries, fits)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.concat(hint, F.lit(" " + forced))))
+
+
 def replace_first(c: Column, old: Column, new: Column) -> Column:
     """Replace the first occurrence; unchanged when either side is empty."""
     at = F.instr(c, old)

@@ -190,3 +190,23 @@ def build_entity_vectors(
             entity_map if entity_map is not None else built.sparkSession.createDataFrame([], "entity_id string, segment string"),
         )
     return built
+
+
+def build_second_space_vectors(
+    secondary: DataFrame, primary: DataFrame, vector: str, dim: int, min_samples: int = 5, trim_fraction: float = 0.15, min_keep: int = 3, single_detection: bool = True, **options
+) -> DataFrame:
+    """Entity vectors of a second space, led by the first: ``secondary(entity_id, sample_id, ord, <vector>)``
+    rows count only where ``primary(entity_id, sample_id, is_valid, face_count, quality, group_name, segment)``
+    holds the sample as valid (and, unless told otherwise, with one detection). Quality, group and segment
+    are the primary's; trim, consistency and segment votes run on the second space's rows.
+
+    Of several primary rows of a sample any valid one admits it, with the last one's values (by ``ord``).
+    """
+    known = primary.where(F.col("is_valid") & (F.trim(F.coalesce("entity_id", F.lit(""))) != ""))
+    if single_detection:
+        known = known.where(F.coalesce(F.col("face_count"), F.lit(1)) == 1)
+    last = F.max_by(F.struct("group_name", "quality", "segment"), "ord").alias("__p")
+    known = known.groupBy("entity_id", "sample_id").agg(last).select("entity_id", "sample_id", "__p.*")
+    rows = secondary.select("entity_id", "sample_id", "ord", vector).join(known, ["entity_id", "sample_id"])
+    rows = rows.withColumn("is_valid", F.lit(True)).withColumn("face_count", F.lit(1)).withColumn("quality", F.coalesce("quality", F.lit(0.0)))
+    return build_entity_vectors(rows, vector, dim, float("-inf"), min_samples, trim_fraction, min_keep, **options)

@@ -109,13 +109,13 @@ def space_zscores(entities: DataFrame, requests: DataFrame, vector: str, dim: in
     return rows.select("request_id", "entity_id", vec.zscore(F.col("s"), F.col("m0"), F.col("s0")).alias("z"))
 
 
-def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float], id_col: str = "entity_id") -> DataFrame:
-    """Left-join per-space ``(entity_id, z)`` tables to the primary; a missing space adds 0 while the
+def fuse_scores(primary: DataFrame, spaces: list[DataFrame], weights: list[float], id_col: str | list[str] = "entity_id") -> DataFrame:
+    """Left-join per-space ``(entity_id, z)`` tables (``id_col`` may add the request) to the primary; a missing space adds 0 while the
     denominator stays the sum of all absolute weights."""
     out = primary
     total: Column = F.lit(0.0)
     for i, space in enumerate(spaces):
-        out = out.join(space.select(id_col, F.col("z").alias(f"score_{i}")), id_col, "left")
+        out = out.join(space.select(*([id_col] if isinstance(id_col, str) else id_col), F.col("z").alias(f"score_{i}")), id_col, "left")
         total = total + F.lit(float(weights[i] if i < len(weights) else 1.0)) * F.coalesce(F.col(f"score_{i}"), F.lit(0.0))
     denominator = sum(abs(weights[i] if i < len(weights) else 1.0) for i in range(len(spaces))) or 1.0
     return out.withColumn("score", total / F.lit(float(denominator)))
