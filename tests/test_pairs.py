@@ -107,7 +107,7 @@ def dist(a, b):
     return bin(a ^ b).count("1")
 
 
-@pytest.mark.parametrize("t", [3, 6, 12])
+@pytest.mark.parametrize("t", [3, 6, 12, 20])
 def test_hamming_pairs_with_hot_buckets(spark, t):
     rows = prints(1, 150)
     df = spark.createDataFrame(rows, "k string, id long, ord long, fp long")
@@ -117,6 +117,31 @@ def test_hamming_pairs_with_hot_buckets(spark, t):
         assert len(found) == len(set(found)) and set(found) == want
 
 
+@pytest.mark.parametrize("t", [4, 20])
+def test_groups_of_a_hot_entity_stay_bounded(spark, monkeypatch, t):
+    """One entity holds nearly all rows, a ball of near fingerprints among them: no co-group exceeds the bound."""
+    rng = np.random.default_rng(31)
+    rows = [("hot", i, i, int(x)) for i, x in enumerate(rng.integers(0, 2**62, size=250))]
+    rows += [("hot", 300 + i, 300 + i, rows[5][3] ^ (1 << int(rng.integers(62)))) for i in range(150)] + [("cold", 900, 900, rows[5][3]), (None, 901, 901, 0), (None, 902, 902, 0)]
+    df = spark.createDataFrame(rows, "k string, id long, ord long, fp long")
+    largest = spark.sparkContext.accumulator(0)
+    original = pairs.self_block_apply
+
+    def watched(named, fn, schema, key, row_bytes, **sizes):
+        def counted(a, b, ordered):
+            if max(len(a), len(b)) > 40:
+                largest.add(1)
+            return fn(a, b, ordered)
+
+        return original(named, counted, schema, key, row_bytes, **sizes)
+
+    monkeypatch.setattr(pairs, "self_block_apply", watched)
+    found = [(r.src, r.dst, r.distance) for r in pairs.hamming_pairs(df, ["k"], t, hot_bucket=20).collect()]
+    want = {(a[1], b[1], dist(a[3], b[3])) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[2] < b[2] and dist(a[3], b[3]) <= t}
+    assert len(found) == len(set(found)) and set(found) == want
+    assert largest.value == 0
+
+
 def greedy(rows, t, across):
     taken, out = [], {}
     for k, i, _, fp in rows:
