@@ -271,13 +271,32 @@ def test_linkage_compares_only_groups_whose_nearest_merged(spark):
     want = cluster.average_linkage(np.ones(120), u[order], 5)
     got = {r.id: r.labels[0] for r in cluster.agglomerate(df, "v", 4, [5], 8, broadcast_bytes=1, left_rows=40, right_rows=30).collect()}
     assert got == dict(enumerate(want.tolist()))
-    groups = df.select("id", F.lit(1.0).alias("n"), F.col("v").alias("s"))
+    groups = df.select(F.lit(0).cast("long").alias("seg"), "id", F.lit(1.0).alias("n"), F.col("v").alias("s"))
     compared = []
     left, _ = cluster.merged_groups(groups, 4, 5, 8, compared)
     assert left.count() <= 8 and compared[0] == 120
     assert all(n < 120 * 0.7 for n in compared[1:]) and sum(compared) < 120 * (1 + 0.45 * (len(compared) - 1))
 
 
+def test_linkage_of_many_segments_at_once(spark):
+    """Each segment is cut as if it were alone; there may be hundreds, some smaller than the number of clusters."""
+    rng = np.random.default_rng(28)
+    sizes = [30, 17, 2, 1] + [3] * 230
+    rows, want, n = [], {}, 0
+    for k, size in enumerate(sizes):
+        x = rng.normal(size=(size, 3))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        order = sorted(range(size), key=lambda i: list(u[i]))
+        labels = cluster.average_linkage(np.ones(size), u[order], 2)
+        for at, i in enumerate(order):
+            rows.append((n, f"s{k}", [float(v) for v in u[i]]))
+            want[n] = int(labels[at])
+            n += 1
+    df = spark.createDataFrame(rows + [(-1, None, [1.0, 0.0, 0.0])], "id long, part string, v array<double>")
+    got = {r.id: r.labels[0] for r in cluster.agglomerate(df, "v", 3, [2], 6, within="part").collect()}
+    assert got == want
+
+
 def test_silhouettes(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 20, axis=0)

@@ -342,7 +342,7 @@ cut AS (SELECT * FROM link QUALIFY step = max(step) OVER (PARTITION BY segment))
 )
 def _(spark, sf):
     rows = stored_entity_vectors(spark, sf).select("entity_id", "segment", "vector")
-    done = cluster.per_segment(rows, "segment", lambda part: cluster.agglomerate(part, "vector", D1, [4]))
+    done = cluster.agglomerate(rows.where("segment <> ''"), "vector", D1, [4], within="segment")
     return done.select("entity_id", "segment", F.get("labels", F.lit(0)).alias("cluster_id"))
 
 

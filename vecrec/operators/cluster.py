@@ -16,11 +16,10 @@ from vecrec.operators import blocks
 from vecrec.operators.rank import top_n, zero_padded
 from vecrec.session import cut_lineage
 
-#: Groups of average linkage that the driver merges to the end; more merge in distributed rounds.
+#: Groups of average linkage that one task merges to the end; more merge in distributed rounds.
 MICRO_CLUSTERS = 512
 #: Rows that k-means seeds are drawn from.
 SEED_ROWS = 5_000
-MAX_SEGMENTS = 200
 
 
 def column_stats(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -172,11 +171,11 @@ def average_linkage(counts: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest_groups(asked: DataFrame, groups: DataFrame, dim: int, **sizes: int) -> DataFrame:
-    """(lo, hi, d, id): for each group (id, n, s) of ``asked`` the pair it forms with its nearest other one of ``groups``.
+    """(seg, lo, hi, d, id): for each group (seg, id, n, s) of ``asked`` the pair it forms with its nearest other one of its segment.
 
     Equal distances (12 decimals) go to the smaller pair of ids, so the closest pair of all is mutual.
     """
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def within(seg: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         d = np.round(1.0 - (blocks.matrix(left["s"]) @ blocks.matrix(right["s"]).T) / np.outer(left["n"], right["n"]), 12)
         d[a[:, None] == b[None, :]] = np.inf
@@ -184,16 +183,22 @@ def nearest_groups(asked: DataFrame, groups: DataFrame, dim: int, **sizes: int)
         tied = d == least[:, None]
         # for one group the order of its pairs is that of the partners
         other = np.where(tied, b[None, :], np.iinfo(np.int64).max).min(axis=1)
-        found = pd.DataFrame({"id": a, "d": least, "lo": np.minimum(a, other), "hi": np.maximum(a, other)})
+        found = pd.DataFrame({"seg": seg, "id": a, "d": least, "lo": np.minimum(a, other), "hi": np.maximum(a, other)})
         return found[np.isfinite(least)]
 
-    met = blocks.block_apply(asked, groups, closest, "id long, d double, lo long, hi long", "id", "id", 8 * dim + 16, **sizes)
-    best = met.groupBy("id").agg(F.min(F.struct("d", "lo", "hi")).alias("b"))
-    return best.select("id", "b.d", "b.lo", "b.hi")
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        others = dict(list(right.groupby("seg")))
+        met = [within(seg, part, others[seg]) for seg, part in left.groupby("seg") if seg in others]
+        return pd.concat(met) if met else pd.DataFrame({c: [] for c in ("seg", "id", "d", "lo", "hi")})
+
+    met = blocks.block_apply(asked, groups, closest, "seg long, id long, d double, lo long, hi long", "id", "id", 8 * dim + 24, **sizes)
+    best = met.groupBy("seg", "id").agg(F.min(F.struct("d", "lo", "hi")).alias("b"))
+    return best.select("seg", "id", "b.d", "b.lo", "b.hi")
 
 
 def merged_groups(groups: DataFrame, dim: int, most_k: int, micro: int, compared: list[int] | None = None, **sizes: int) -> tuple[DataFrame, DataFrame]:
-    """Average linkage by rounds of mutual nearest groups, down to ``micro`` groups -> (groups, (id, group) moves).
+    """Average linkage of (seg, id, n, s) within each segment, by rounds of mutual nearest groups, until no
+    segment has more than ``micro`` groups -> (groups, (id, group) moves). Ids are unique over all segments.
 
     Average linkage is reducible: mutual nearest groups merge at some time in any order. A group whose
     nearest one is at distance h stays alone below h, so at a height that ``most_k`` groups reach there are
@@ -203,50 +208,63 @@ def merged_groups(groups: DataFrame, dim: int, most_k: int, micro: int, compared
     By the same property a merged group is no nearer to any other than its two parts were, so a group
     whose nearest one did not merge keeps it: after the first round only merged groups, and those whose
     nearest one merged, are compared with all. ``compared`` takes the numbers of groups compared per round.
+    A round takes all segments that still have too many groups.
     """
+    most = max(micro, most_k)
     moves = cut_lineage(groups.select("id", F.col("id").alias("group")))
-    left, asked, kept = groups.count(), groups, None
-    while left > max(micro, most_k):
+    kept = None
+    while True:
+        sizes_of = groups.groupBy("seg").count().where(F.col("count") > most).select("seg")
+        open_ = cut_lineage(groups.join(sizes_of, "seg", "left_semi"))
+        if open_.isEmpty():
+            return groups, moves
+        asked = open_ if kept is None else open_.join(kept.select("id"), "id", "left_anti")
         if compared is not None:
             compared.append(asked.count())
-        best = nearest_groups(asked, groups, dim, **sizes)
-        best = cut_lineage(best if kept is None else best.unionByName(kept))
-        height = best.select("d").orderBy(F.desc("d")).limit(most_k).agg(F.min("d")).first()[0]
-        least = best.agg(F.min(F.struct("d", "lo", "hi")).alias("b")).first()["b"]
-        mutual = best.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d")).where("c = 2")
-        first = (F.col("lo") == least["lo"]) & (F.col("hi") == least["hi"])
-        pairs = cut_lineage(mutual.where((F.col("d") < height) | first).select("lo", "hi"))
+        best = nearest_groups(asked, open_, dim, **sizes)
+        if kept is not None:
+            best = best.unionByName(kept.join(open_.select("id"), "id", "left_semi"))
+        best = cut_lineage(best)
+        place = Window.partitionBy("seg").orderBy(F.desc("d"), "id")
+        height = best.select("seg", "d", F.row_number().over(place).alias("r")).where(F.col("r") <= most_k).groupBy("seg").agg(F.min("d").alias("height"))
+        least = best.groupBy("seg").agg(F.min(F.struct("d", "lo", "hi")).alias("b")).select("seg", F.col("b.lo").alias("first_lo"), F.col("b.hi").alias("first_hi"))
+        mutual = best.groupBy("seg", "lo", "hi").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d")).where("c = 2")
+        first = (F.col("lo") == F.col("first_lo")) & (F.col("hi") == F.col("first_hi"))
+        pairs = cut_lineage(mutual.join(height, "seg").join(least, "seg").where((F.col("d") < F.col("height")) | first).select("lo", "hi"))
         touched = pairs.select(F.explode(F.array("lo", "hi")).alias("id"))
         # both of a pair: the group itself and its nearest one are as they were
         still = best.join(touched, "id", "left_anti").withColumn("other", F.when(F.col("lo") == F.col("id"), F.col("hi")).otherwise(F.col("lo")))
-        kept = cut_lineage(still.join(touched.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "d", "lo", "hi"))
+        kept = cut_lineage(still.join(touched.withColumnRenamed("id", "other"), "other", "left_anti").select("seg", "id", "d", "lo", "hi"))
         placed = groups.join(pairs, groups["id"] == pairs["hi"], "left").withColumn("id", F.coalesce("lo", "id")).drop("lo", "hi")
-        groups = cut_lineage(vec.vector_sums(placed, ["id"], "s", dim, "t", extra=[F.sum("n").alias("m")]).select("id", F.col("m").alias("n"), F.col("t").alias("s")))
-        asked = cut_lineage(groups.join(kept.select("id"), "id", "left_anti"))
+        groups = cut_lineage(vec.vector_sums(placed, ["seg", "id"], "s", dim, "t", extra=[F.sum("n").alias("m")]).select("seg", "id", F.col("m").alias("n"), F.col("t").alias("s")))
         moves = cut_lineage(moves.join(pairs, moves["group"] == pairs["hi"], "left").select("id", F.coalesce("lo", "group").alias("group")))
-        left = groups.count()
-    return groups, moves
 
 
-def agglomerate(df: DataFrame, vector: str, dim: int, ks: list[int], micro: int = MICRO_CLUSTERS, **sizes: int) -> DataFrame:
+def agglomerate(df: DataFrame, vector: str, dim: int, ks: list[int], micro: int = MICRO_CLUSTERS, within: str | None = None, **sizes: int) -> DataFrame:
     """Average linkage under cosine distance, cut at several k: adds ``labels`` (one cluster id per k).
 
     Exact at every size: groups merge in distributed rounds until ``micro`` are left, whose (n, sum) state
-    the driver merges to the end. Clusters are numbered by their least vector.
+    one task merges to the end. Clusters are numbered by their least vector. ``within`` names a column
+    whose values are clustered apart, all in the same rounds; rows where it is null are left out.
     """
-    distinct = df.groupBy(vector).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy(vector).withColumn("id", F.monotonically_increasing_id())
+    segment = F.col(within).cast("string") if within else F.lit("")
+    rows = df.withColumn("__seg", segment).where(F.col("__seg").isNotNull())
+    distinct = rows.groupBy("__seg", vector).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy("__seg", vector).withColumn("id", F.monotonically_increasing_id())
     distinct = cut_lineage(vec.with_unit(distinct, vector, "__u", dim))
-    groups = distinct.select("id", "n", F.transform("__u", lambda x: x * F.col("n")).alias("s"))
+    numbers = distinct.groupBy("__seg").agg(F.min("id").alias("seg"))  # one row per segment
+    groups = cut_lineage(distinct.join(numbers, "__seg").select("seg", "id", "n", F.transform("__u", lambda x: x * F.col("n")).alias("s")))
     groups, moves = merged_groups(groups, dim, max(ks), micro, **sizes)
-    state = groups.orderBy("id").toPandas()
-    sums, counts = blocks.matrix(state["s"]), state["n"].to_numpy()
-    cuts = np.stack([average_linkage(counts, sums, k) for k in ks], axis=1)
-    table = df.sparkSession.createDataFrame(
-        [(int(m), [int(x) for x in cut]) for m, cut in zip(state["id"], cuts, strict=True)], "group long, labels array<bigint>"
-    )
-    named = distinct.select(F.col(vector).alias("__of"), "id").join(moves, "id").join(F.broadcast(table), "group")  # at most ``micro`` rows
-    return df.join(named.select("__of", "labels"), df[vector] == F.col("__of")).drop("__of")
 
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        sums, counts = blocks.matrix(pdf["s"]), pdf["n"].to_numpy()
+        cuts = np.stack([average_linkage(counts, sums, k) for k in ks], axis=1)
+        return pd.DataFrame({"group": pdf["id"], "labels": list(cuts.astype(np.int64))})
+
+    table = groups.groupBy("seg").applyInPandas(finish, "group long, labels array<bigint>")  # at most ``micro`` groups each
+    named = distinct.select("__seg", F.col(vector).alias("__of"), "id").join(moves, "id").join(table, "group")
+    named = named.select(F.col("__seg").alias("__in"), "__of", "labels")
+    return rows.join(named, (rows["__seg"] == named["__in"]) & (rows[vector] == named["__of"])).drop("__of", "__in", "__seg")
 
 def silhouettes(df: DataFrame, id_col: str, vector: str, labels: str, **sizes: int) -> DataFrame:
     """Exact euclidean silhouette over all rows, for several labellings at once -> (setting, silhouette).
@@ -351,18 +369,6 @@ def choose_k(df: DataFrame, vector: str, dim: int, min_k: int, max_k: int, targe
     return kept, df.sparkSession.createDataFrame(scores, "k int, silhouette double, max_size long, score double")
 
 
-def per_segment(df: DataFrame, segment: str, cluster) -> DataFrame:
-    """Run ``cluster(rows) -> rows`` independently for every known segment value (a few labels) and union."""
-    known = [r[0] for r in df.where(F.col(segment) != "").select(segment).distinct().orderBy(segment).limit(MAX_SEGMENTS + 1).collect()]
-    if len(known) > MAX_SEGMENTS:
-        raise ValueError(f"more than {MAX_SEGMENTS} segment values")
-    out = None
-    for value in known:
-        part = cluster(df.where(F.col(segment) == value)).withColumn(segment, F.lit(value))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def collapse_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Best entity per alias by (confidence, sample count, id), all descending."""
     named = entities.join(aliases, "entity_id", "left").withColumn("alias_id", F.coalesce("alias_id", "entity_id"))
