@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import time
+import zlib
 
 import pytest
 
@@ -54,6 +56,47 @@ def test_broken_pages_do_not_fail(page):
     assert "deep" in render(page) or "deep" not in page
 
 
+@pytest.mark.parametrize("page", ["<a b='" * 160_000, "<a b='" * 160_000 + ">", "<a b=\">\" " * 90_000 + "'", "<" + "a" * 1_000_000 + " b='>", "<" * 1_000_000, "<!" * 500_000, "<div>" * 200_000, "<p><button>" + "<div>" * 200_000, "<p>" * 300_000, "<a \">x" * 150_000])
+def test_a_megabyte_of_open_quotes_and_tags_takes_a_moment(page):
+    before = time.process_time()
+    assert isinstance(render(page), str)
+    assert time.process_time() - before < 10
+
+
+def test_nothing_hidden_comes_out_of_any_depth():
+    for depth in (10, 198, 199, 200, 201, 260, 5000):
+        page = "<div>" * depth + "<div hidden>secret<div>secret</div><p>secret</div>shown<svg><g>secret</g></svg><p style='display:none'>secret</p>" + "</div>" * depth + "<p>end"
+        assert render(page).split() == ["shown", "end"], depth
+
+
+def test_payloads_without_their_codings():
+    page = b"<p>caf\xc3\xa9 " + b"x" * 3000
+    chunked = b"".join(b"%x;q=1\r\n%s\r\n" % (len(page[k : k + 700]), page[k : k + 700]) for k in range(0, len(page), 700)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    for http, body in (
+        ({}, page), ({"transfer-encoding": "chunked"}, chunked), ({"content-encoding": "gzip"}, gzip.compress(page)), ({"content-encoding": "deflate"}, zlib.compress(page)),
+        ({"content-encoding": "deflate"}, raw.compress(page) + raw.flush()), ({"content-encoding": "gzip"}, page), ({"transfer-encoding": "chunked"}, page), ({"content-encoding": "br"}, page),
+        ({"transfer-encoding": "chunked", "content-encoding": "gzip"}, b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(page)), gzip.compress(page))),
+    ):
+        assert warc.payload(body, http) == page
+    assert page.startswith(warc.payload(gzip.compress(page)[:-20], {"content-encoding": "gzip"})) and warc.payload(b"", {"content-encoding": "gzip", "transfer-encoding": "chunked"}) == b""
+
+
+def test_whole_gzip_members_come_out_of_a_cut_file():
+    one, two = (warc.response(f"http://x/{k}", f"<p>{k}", k, "2020-01-01T00:00:00Z") for k in (1, 2))
+    whole = gzip.compress(one) + gzip.compress(two)
+    assert len(list(warc.records(whole))) == 2
+    for cut in (len(gzip.compress(one)), len(gzip.compress(one)) + 1, len(gzip.compress(one)) + 40, len(whole) - 9):
+        assert [h["WARC-Target-URI"] for h, _ in warc.records(whole[:cut])][:1] == ["http://x/1"]
+    assert len(list(warc.records(gzip.compress(one)[:30]))) == 0
+
+
+def test_the_text_of_a_page_is_returned(spark):
+    pages = spark.createDataFrame([(1, "http://x/1", "<p>é one<p>two")], "page_id bigint, url string, html string")
+    got = {r.kind: r.text for r in warc.page_derivatives(pages, keep_records=False).collect()}
+    assert got == {"metadata": None, "conversion": "é one\n\ntwo"}
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "<p>a", "k"), (1, "<p>a", "k"), (None, None, None), (2, "", "k")], "page_id bigint, html string, key string")
     assert sorted(map(tuple, extract_text(pages).collect()), key=repr) == sorted([(1, "a"), (1, "a"), (None, ""), (2, "")], key=repr)

@@ -49,6 +49,15 @@ def test_language_on_held_out_texts(spark, sf, odd_docs, no_docs):
     assert language.identify(no_docs).count() == 0
 
 
+def test_a_repeated_key_teaches_each_text_its_own_language_only(spark):
+    rows = [(1, "aaaa aaab aaba abaa", "aa"), (1, "zzzz zzzy zzyz zyzz", "zz"), (1, "mmmm mmmn mmnm", None)] + [(10 + k, "aaaa aaab" if k % 2 else "zzzz zzzy", "aa" if k % 2 else "zz") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, "doc_id", "text", "lang")
+    assert model.languages == ["aa", "zz"]
+    assert model.predict("aaba abaa")[0] == "aa" and model.predict("zzyz zyzz")[0] == "zz"
+    assert model.counts("aaba abaa")[0].tolist()[1] == 0 and model.counts("mmmm mmmn")[0].tolist() == [0, 0]
+
+
 def test_language_filters_hold_all_they_learned_and_few_others():
     known = {f"l{k}": language.grams(np.arange(k * 5000, k * 5000 + 3000, dtype=np.uint64)).view(np.int64).tolist() for k in range(70)}
     model = language.Model.of(known)

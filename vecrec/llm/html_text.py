@@ -39,13 +39,15 @@ CLOSES = {
 }
 #: Elements that an end tag or an implied end inside them does not reach out of.
 WALLS = frozenset("table td th caption html template button".split())
-#: Deeper elements are added beside each other, so that no page is too deep to walk.
+#: Elements below this depth give their contents to the last one above it, so that no page is too deep to
+#: walk; a hidden one among them still hides its own.
 MAX_DEPTH = 200
 #: Table columns are padded to at most so many characters.
 MAX_PAD = 48
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+# possessive throughout: a token is read once from left to right, or not at all
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _START, _SPAN = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I), re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
@@ -79,25 +81,38 @@ def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings with entities decoded."""
     root = Node("#root")
     stack, at, n = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # of the open elements of each tag, in the stack
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+
+    def last(tags: set[str] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def pop_to(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in walls:
-                return
+        k = last(tags)
+        if k and k >= last(walls):
+            cut(k)
 
     def text(a: int, b: int) -> None:
         body = page[a:b]
         if len(stack) > 1 and stack[-1].tag == "head" and not body.isspace():
-            stack.pop()
+            cut(len(stack) - 1)
         if body:
             stack[-1].children.append(html.unescape(body) if "&" in body else body)
 
     loose = -1  # from here on some quote never ends
+    closing = page.rfind(">")  # behind it there are no more tags, only an open comment
     while at < n:
         start = page.find("<", at)
+        if start > closing:
+            start = page.find("<!--", at)
         if start < 0:
             break
         m = _TOKEN.match(page, start) if loose < 0 or start < loose or page.startswith("<!--", start) else _LOOSE.match(page, start)
@@ -122,8 +137,8 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node("br"))
             continue
         if stack[-1].tag == "head" and tag not in HEAD_PARTS:
-            stack.pop()
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            cut(len(stack) - 1)
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in CLOSES:
             closed, walls = CLOSES[tag]
@@ -141,8 +156,11 @@ def parse(page: str) -> Node:
                 close = page.find(">", at)
                 at = close + 1 if close >= 0 else n
         elif tag not in VOID and not attrs.endswith("/") or tag in BLOCK and tag != "hr":
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+            if len(stack) >= MAX_DEPTH:
+                if tag not in INVISIBLE and not hidden(node):
+                    node.children = stack[-1].children
+                stack[-1].children[-1] = Node(tag)  # marks the place
+            push(node)
     if at < n:
         text(at, n)
     return root

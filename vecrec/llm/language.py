@@ -116,7 +116,10 @@ class Model:
 
 
 def train(docs: DataFrame, key: str, text: str, lang: str, texts: int = TRAIN_TEXTS, keep: int = TRAIN_GRAMS) -> Model:
-    """Learns from the rows of ``docs`` with a language; at most ``texts`` per language."""
+    """Learns from the rows of ``docs`` with a language; at most ``texts`` keys per language, each with its texts of that language.
+
+    More than ``MAX_LANGUAGES`` languages are an error.
+    """
     rows = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), F.xxhash64(F.lit("train"), docs[key]).alias("h")).where(F.col("lang").isNotNull())
     sizes = cut_lineage(rows.groupBy("lang").count())
     if sizes.count() > MAX_LANGUAGES:
@@ -127,7 +130,8 @@ def train(docs: DataFrame, key: str, text: str, lang: str, texts: int = TRAIN_TE
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= texts)
     names = [r[0] for r in sizes.select("lang").collect()]
     chosen = first.select("key", "lang").distinct()  # at most texts * MAX_LANGUAGES rows
-    sample = cut_lineage(docs.select(docs[key].alias("key"), docs[text].alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "key"))
+    texts_of = docs.select(docs[key].alias("key"), docs[lang].alias("lang"), docs[text].alias("text")).where(F.col("text").isNotNull())
+    sample = cut_lineage(texts_of.join(F.broadcast(chosen), ["key", "lang"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, body in rows_of(batches, "lang", "text"):

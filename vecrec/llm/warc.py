@@ -17,6 +17,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,18 +65,69 @@ def _fields(data: bytes) -> list[tuple[str, str]]:
     return found
 
 
+def block_of(record: bytes) -> str:
+    """Text of a record that :func:`build` made."""
+    return record.partition(b"\r\n\r\n")[2][:-4].decode("utf-8", "replace")
+
+
+def _members(data: bytes) -> Iterator[bytes]:
+    """What the gzip members hold, as far as they are whole; of a cut or broken one, what comes before the break."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            yield member.decompress(data)
+        except zlib.error:
+            return
+        if not member.eof:
+            return
+        data = member.unused_data.lstrip(b"\0")
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The chunks of a chunked body put together; from what is no chunk on, the body as it is."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return b"".join(parts) + body[at:]
+        if not int(size, 16):
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 2 + int(size, 16)
+        if body[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(body):
+            return b"".join(parts)
+
+
+def payload(body: bytes, http: dict[str, str]) -> bytes:
+    """The body without its transfer and content codings (chunked, gzip, deflate), as far as it can be read;
+    a coding it does not have, or another one, leaves it as it is."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = _dechunked(body)
+    for coding in reversed(http.get("content-encoding", "").lower().split(",")):
+        if coding.strip() in ("gzip", "x-gzip"):
+            body = b"".join(_members(body)) or body
+        elif coding.strip() == "deflate":
+            for window in (15, -15):
+                try:
+                    body = zlib.decompressobj(window).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+    return body
+
+
 def records(data: bytes | None) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record in plain or gzipped bytes; what is cut off or no record ends the list.
+    """(headers, block) of each record in plain bytes or gzip members; what is cut off or no record ends the list.
 
     Header names are given in the writing of ``CARRIED`` where they are among them, else as written.
     """
     if not data:
         return
     if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError):
-            return
+        data = b"".join(_members(data))
     usual, at = {n.lower(): n for n in CARRIED}, 0
     while data.startswith(b"WARC/", at):
         end = data.find(b"\r\n\r\n", at)
@@ -107,6 +159,7 @@ def derive(headers: dict[str, str], block: bytes) -> Iterator[tuple[str, str, st
     head, _, body = block.partition(b"\r\n\r\n")
     status, _, rest = head.partition(b"\r\n")
     http = {k.lower(): v for k, v in _fields(rest)}
+    stored, body = body, payload(body, http)
     kind = http.get("content-type", "text/html" if body.lstrip()[:1] == b"<" else "")
     shared = [("WARC-Date", headers.get("WARC-Date")), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", headers.get("WARC-Target-URI")), ("WARC-Refers-To-Date", headers.get("WARC-Date")), ("WARC-Target-URI", headers.get("WARC-Target-URI"))]
     shared += [(f"WARC-Source-{k.removeprefix('WARC-')}", headers.get(k)) for k in CARRIED if k not in ("WARC-Record-ID", "WARC-Date", "WARC-Target-URI")]
@@ -119,7 +172,7 @@ def derive(headers: dict[str, str], block: bytes) -> Iterator[tuple[str, str, st
     markup = "html" in kind or "xml" in kind
     text = (render(page) if markup else page if kind.startswith("text/") else "").encode("utf-8", "replace")
     title = _TITLE.search(page) if markup else None
-    facts = [("http-status", status.decode("latin-1")), ("http-content-type", kind or None), ("charset", charset), ("title", html.unescape(title.group(1)) if title else None), ("payload-length", len(body)), ("payload-digest", sha1(body)), ("text-length", len(text)), *((f"http-{k}", v) for k, v in http.items() if k != "content-type")]
+    facts = [("http-status", status.decode("latin-1")), ("http-content-type", kind or None), ("charset", charset), ("title", html.unescape(title.group(1)) if title else None), ("payload-length", len(stored)), ("payload-digest", sha1(stored)), ("text-length", len(text)), *((f"http-{k}", v) for k, v in http.items() if k != "content-type")]
     fields = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in facts if v is not None).encode("utf-8", "replace")
     ids = {t: record_id(t, source) for t in ("metadata", "conversion")}
     for name, content, data in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", text)):
@@ -128,14 +181,15 @@ def derive(headers: dict[str, str], block: bytes) -> Iterator[tuple[str, str, st
         yield name, ids[name], digest, build([("WARC-Type", name), ("WARC-Record-ID", ids[name]), *shared, ("WARC-Concurrent-To", other), ("WARC-Block-Digest", digest), ("Content-Type", content)], data)
 
 
-SHAPE = "kind string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, n_bytes bigint, record binary"
+SHAPE = "kind string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, n_bytes bigint, text string, record binary"
 
 
 def derivatives(sources: DataFrame, key: str, record: str = "record", keep_records: bool = True) -> DataFrame:
     """Two rows for each response record in the binary column ``record`` (one or several records, plain or gzipped).
 
     Null, empty and broken records, and those of other types, give none; repeated rows give theirs again;
-    ``keep_records`` false leaves the column ``record`` null.
+    payloads are read without their transfer and content codings. ``text`` is the conversion's text (null
+    in metadata rows); ``keep_records`` false leaves the column ``record`` null.
     """
     asked = sources.select(sources[key].alias("key"), sources[record].alias("record"))
     return _derived(asked, key, lambda batch: zip(batch.column("key").to_pylist(), batch.column("record").to_pylist(), strict=True), keep_records)
@@ -149,7 +203,7 @@ def page_derivatives(pages: DataFrame, key: str = "page_id", url: str = "url", p
 
 def _derived(asked: DataFrame, key: str, of, keep: bool) -> DataFrame:
     kind = asked.select("key").schema[0].dataType.simpleString()
-    arrow = pa.schema([("key", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), *((n, pa.string()) for n in ("kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest")), ("n_bytes", pa.int64()), ("record", pa.binary())])
+    arrow = pa.schema([("key", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), *((n, pa.string()) for n in ("kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest")), ("n_bytes", pa.int64()), ("text", pa.string()), ("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -157,7 +211,7 @@ def _derived(asked: DataFrame, key: str, of, keep: bool) -> DataFrame:
                 for k, data in of(batch):
                     for headers, block in records(data):
                         for name, rid, digest, made in derive(headers, block):
-                            yield k, name, rid, headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Payload-Digest"), digest, len(made), made if keep else None
+                            yield k, name, rid, headers["WARC-Record-ID"], headers.get("WARC-Target-URI"), headers.get("WARC-Payload-Digest"), digest, len(made), block_of(made) if name == "conversion" else None, made if keep else None
 
         yield from batched(rows(), arrow, 1024)
 
