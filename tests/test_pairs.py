@@ -167,6 +167,33 @@ def test_greedy_suppression(spark, across):
     assert got == {i: s == "downloaded" for i, s in want.items()}
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_covering_rounds_decide_like_the_walk(spark, across):
+    rows = prints(12, 260, noise=3)
+    df = spark.createDataFrame(rows, "k string, id long, ord long, fp long").repartition(5)
+    want = {i for i, s in greedy(rows, 3, across).items() if s == "downloaded"}
+    for head, crowd in ((1, 3), (7, 20), (50, 60)):
+        got = dedupe.suppress_near_duplicates(df, "k", 3, across, head_rows=head, crowd=crowd)
+        assert {r.id for r in got.where("accepted").collect()} == want
+
+
+def test_a_dense_ball_makes_no_pairs(spark, monkeypatch):
+    """20,000 near fingerprints of one entity: rows handed on stay in proportion to them."""
+    rng = np.random.default_rng(41)
+    centre = int(rng.integers(2**62))
+    bits = rng.integers(0, 62, size=(20_000, 3))
+    fps = np.unique(np.bitwise_xor.reduce(np.int64(1) << bits, axis=1) ^ centre)
+    rng.shuffle(fps)
+    rows = [("hot", int(i), int(i), int(f)) for i, f in enumerate(fps)] + [("cold", 10**6 + i, 10**6 + i, int(x)) for i, x in enumerate(rng.integers(0, 2**62, size=50))]
+    df = spark.createDataFrame(rows, "k string, id long, ord long, fp long")
+    seen = []
+    original = dedupe.hamming_pairs
+    monkeypatch.setattr(dedupe, "hamming_pairs", lambda *a, **k: (seen.append(original(*a, **k)), seen[-1])[1])
+    got = [r for r in dedupe.suppress_near_duplicates(df, "k", 6).where("accepted").collect()]
+    assert {r.id for r in got if r.k == "hot"} == {0} and sum(r.k == "cold" for r in got) == 50
+    assert sum(e.count() for e in seen) < 100
+
+
 def test_admission_statuses_and_quota(spark):
     rows = prints(4, 140, noise=3)
     df = spark.createDataFrame(rows, "entity_id string, id long, ord long, fp long").selectExpr(

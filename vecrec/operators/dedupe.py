@@ -2,27 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecrec.functions import text
+from vecrec.operators.blocks import LEFT_ROWS
 from vecrec.operators.pairs import greedy_independent, hamming_pairs
-from vecrec.operators.rank import HOT_GROUP_ROWS, first_per_key, ranked, zero_padded
+from vecrec.operators.rank import HOT_GROUP_ROWS, first_per_key, has_hot_group, ranked, zero_padded
+from vecrec.session import cut_lineage
 
 NEAR_DUPLICATE_BITS = 6
+#: Rows of a key that one task decides in order, keys that are worth it, and the share a round must throw out to go on.
+HEAD_ROWS, CROWD_ROWS, LEAST_GAIN = 2_048, 5_000, 0.2
 
 
-def suppress_near_duplicates(items: DataFrame, key: str, threshold: int = NEAR_DUPLICATE_BITS, across: bool = False) -> DataFrame:
+def cover(firsts: DataFrame, key: str, threshold: int, across: bool, head_rows: int = HEAD_ROWS, crowd: int = CROWD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(accepted ids, undecided rows)`` of greedy suppression in arrival order, without pairs.
+
+    While some key has more than ``crowd`` undecided rows, each round decides the first ``head_rows`` of every
+    key (with ``across``, of all keys together) in order, and the rows near to what it accepted are out:
+    a dense ball costs its rows once, whatever its number of pairs. Rounds end when one throws out less
+    than ``LEAST_GAIN`` of the rest; what is left then is sparse enough for its pairs.
+    """
+    spark = firsts.sparkSession
+    undecided = cut_lineage(firsts.select(key, "id", "ord", "fp"))
+    kind = undecided.schema["id"].dataType.simpleString()
+    accepted = spark.createDataFrame([], f"id {kind}")
+    group = [] if across else [key]
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[object, list[int]] = {}
+        seen, picks = set(), []
+        for k, (own, fp) in enumerate(zip(pdf[key], pdf["fp"].to_numpy(), strict=True)):
+            near = taken.setdefault(own, [])
+            if across and fp in seen or near and (np.bitwise_count(np.array(near, np.int64) ^ fp) <= threshold).any():
+                continue
+            near.append(fp)
+            seen.add(fp)
+            picks.append(k)
+        return pdf.iloc[picks][["id"]]
+
+    def out(rest: pd.DataFrame, reps: pd.DataFrame) -> pd.DataFrame:
+        if rest.empty or reps.empty:
+            return pd.DataFrame({"id": []})
+        x, y = (f["fp"].to_numpy() for f in (rest, reps))
+        return rest.loc[(np.bitwise_count(x[:, None] ^ y[None, :]) <= threshold).any(axis=1), ["id"]]
+
+    while has_hot_group(undecided, [key], crowd):
+        w = Window.partitionBy(*group).orderBy("ord", "id")
+        head = cut_lineage(undecided.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= head_rows))
+        # one task takes ``head_rows`` rows of a key (across: in all)
+        picked = head.withColumn("__g", F.lit(0)).groupBy("__g", *group).applyInPandas(lambda pdf: walk(pdf.sort_values("__r")), f"id {kind}")
+        reps = cut_lineage(head.join(picked, "id").select(key, "id", "fp"))
+        accepted = cut_lineage(accepted.unionByName(reps.select("id")))
+        rest = cut_lineage(undecided.join(head.select("id"), "id", "left_anti"))
+        chunks = cut_lineage(rest.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LEFT_ROWS).alias("__n")))
+        left = rest.join(chunks, key).withColumn("__c", F.pmod(F.xxhash64("id"), F.col("__n")))
+        right = reps.join(chunks, key).withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1)))
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])  # fresh column identities
+        near = left.groupBy(key, "__c").cogroup(right.groupBy(key, "__c")).applyInPandas(out, f"id {kind}")
+        if across:
+            near = near.unionByName(rest.join(reps.select("fp"), "fp", "left_semi").select("id"))
+        left_over = cut_lineage(rest.join(near.distinct(), "id", "left_anti"))
+        before, after = rest.count(), left_over.count()
+        undecided = left_over.select(key, "id", "ord", "fp")
+        if after > (1 - LEAST_GAIN) * before:
+            break
+    return accepted, undecided
+
+
+def suppress_near_duplicates(items: DataFrame, key: str, threshold: int = NEAR_DUPLICATE_BITS, across: bool = False, **sizes: int) -> DataFrame:
     """``items(key, id, ord, fp)`` -> the same rows with ``accepted``.
 
     In arrival order a row is dropped when an *accepted* row of its key is within ``threshold`` bits, or
     (``across``) when an accepted row of any key has the same fingerprint. Copies inside a key can never
-    be accepted after their first, so only first copies take part in the pair search.
+    be accepted after their first, so only first copies take part. Dense places are decided by
+    :func:`cover`, the sparse rest by its pairs.
     """
     firsts = first_per_key(items.select(key, "fp", "ord", "id"), [key, "fp"], [F.col("ord")])
-    edges = hamming_pairs(firsts, [key], threshold)
-    lost = greedy_independent(firsts, edges, "fp" if across else None)
-    kept = firsts.join(lost, "id", "left_anti").select("id", F.lit(True).alias("accepted"))
+    accepted, undecided = cover(firsts, key, threshold, across, **sizes)
+    edges = hamming_pairs(undecided, [key], threshold)
+    lost = greedy_independent(undecided, edges, "fp" if across else None)
+    kept = undecided.join(lost, "id", "left_anti").select("id").unionByName(accepted).select("id", F.lit(True).alias("accepted"))
     return items.join(kept, "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
@@ -118,7 +181,7 @@ def hamming_near(rejected: DataFrame, accepted: DataFrame, threshold: int) -> Da
     )
     # accepted rows and first copies of rejected values only: later copies share the verdict of the value
     firsts = first_per_key(both, ["entity_id", "fp", "is_accepted"], [F.col("ord")])
-    pairs = hamming_pairs(firsts.select("entity_id", "id", "ord", "fp"), ["entity_id"], threshold)
+    pairs = hamming_pairs(firsts.select("entity_id", "id", "ord", "fp", "is_accepted"), ["entity_id"], threshold, first="is_accepted")
     ok = firsts.where("is_accepted").select(F.col("id").alias("src"), "entity_id")
     near_values = (
         pairs.join(ok, ["entity_id", "src"], "left_semi").select(F.col("dst").alias("id")).distinct()
