@@ -18,6 +18,8 @@ from vecrec.operators.aggregate import consistency, merge_moments, moments
 from vecrec.operators.rank import first_per_key
 from vecrec.operators.registry import round_progress
 
+#: Parts by key hash that a table of processed rows is written in.
+KEY_BUCKETS = 64
 #: Stands for all epochs written so far.
 LAST_EPOCH = 2**31 - 1
 
@@ -44,7 +46,7 @@ def epoch_path(path: str, epoch: int) -> str:
 def written(spark: SparkSession, path: str) -> bool:
     """Whether files match ``path``."""
     try:
-        spark.read.text(path)
+        spark.read.option("recursiveFileLookup", "true").text(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -69,22 +71,26 @@ def within_watermark(stream: DataFrame, keys: list[str], event_time: str, delay:
 def skip_processed(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str) -> None:
     """Append only rows whose key was never written; the first row in ``order`` of a key wins in its batch.
 
-    The written table itself is the memory, so repeats are skipped however late they come. A table goes with
-    one checkpoint: epochs of a new one would replace those that are there, so that is an error.
+    The written table itself is the memory, so repeats are skipped however late they come. It is written in
+    ``KEY_BUCKETS`` parts by the hash of the key (column ``bucket``), and a batch reads the keys of its own
+    parts only. A table goes with one checkpoint: epochs of a new one would replace those that are there, so
+    that is an error.
     """
-    schema = stream.schema
+    schema = StructType([*stream.schema.fields, StructField("bucket", IntegerType())])
     spark = stream.sparkSession
     if written(spark, f"{path}/epoch=*") and not written(spark, f"{checkpoint}/offsets"):
         raise ValueError(f"{path} was written under another checkpoint")
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        fresh = first_per_key(batch, keys, [F.col(order)])
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("bucket")
+        fresh = first_per_key(batch, keys, [F.col(order)]).select("*", bucket)
         if epoch > 0:
+            parts = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most KEY_BUCKETS
             done = read_epochs(batch.sparkSession, path, schema)
-            # the batch is the small side: the written table is only scanned for its keys, not shuffled
-            known = done.where(F.col("epoch") < epoch).select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
+            # the batch is the small side: its parts of the written table are only scanned for keys, not shuffled
+            known = done.where((F.col("epoch") < epoch) & F.col("bucket").isin(parts)).select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
             fresh = fresh.join(known, keys, "left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(epoch_path(path, epoch))
+        fresh.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(epoch_path(path, epoch))
 
     run_available(stream, handle, checkpoint)
 
