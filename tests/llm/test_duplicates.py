@@ -245,3 +245,20 @@ def test_boilerplate_lines_by_site(spark):
     assert got[0].kept_text == "own 0\nrare" and got[20].kept_text == "Menu\nown 0" and got[20].host == "two.org"
     assert got[30].n_dropped == 0 and got[31].n_lines == 0 == got[32].n_lines and got[None].kept_text == ""
     assert line_dedup.drop_boilerplate(pages.limit(0)).count() == 0
+
+
+def test_planted_passages_go_exactly_where_400_bytes_repeat(spark):
+    """Passages of 52 to 200 words in many documents, some under 400 bytes: only repeated strings of 400 bytes count."""
+    passages = [prose(700 + k, n) for k, n in enumerate((52, 60, 70, 80, 100, 120, 160, 200))]
+    rows = [(100 * k + m, f"{prose(3000 + 100 * k + m, 20 + 9 * (m % 7))} {p} {prose(9000 + 100 * k + m, 15 + 8 * (m % 5))}") for k, p in enumerate(passages) for m in range(12 if k % 2 else 5)]
+    rows += [(5000 + k, prose(20_000 + k, 90)) for k in range(25)]
+    want = sorted((k, *x) for (k, _), x in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    sizes = [len(p.encode()) for p in passages]
+    assert min(sizes) < 380 and max(sizes) > 900
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (suffix_dedup.HOT_SEGMENTS, 4):
+        got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs, hot_segments=hot).collect())
+        assert got == want
+    for key, _, removed, _, _ in want:
+        # a space on either side repeats with its passage
+        assert (removed > 0) == (key < 5000 and sizes[key // 100] + 2 >= suffix_dedup.SPAN)
