@@ -56,6 +56,25 @@ def test_tree_finds_all_links(spark):
     assert (reach_all(own) == reach_all(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)).all()
 
 
+def test_leaves_grow_with_the_fingerprints(spark, monkeypatch):
+    """A sample smaller than the wanted leaves need does not bound their number, and all links are found at 2 bits."""
+    rng = np.random.default_rng(12)
+    fps = np.unique(np.concatenate([base := rng.integers(-(1 << 62), 1 << 62, 1500), base[:300] ^ (1 << rng.integers(0, 60, 300)), base[:200] ^ 5]))
+    frame = spark.createDataFrame([(int(x),) for x in fps], "fp bigint").repartition(3)
+    built = []
+    original = simhash.build_tree
+    monkeypatch.setattr(simhash, "build_tree", lambda sample, leaves: (built.append((len(sample), leaves)), original(sample, leaves))[1])
+    links = {tuple(sorted(r)) for r in simhash.linked_fingerprints(frame, 2, sample_rows=10, leaf_rows=20).collect()}
+    assert built[0][0] > 800 and built[0][1] >= 50
+    x = fps.view(np.uint64)
+    root = reach_all(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)
+    place = {int(f): k for k, f in enumerate(fps)}
+    near = np.eye(len(fps), dtype=bool)
+    for a, b in links:  # spanning links: ends of one component, not always near each other
+        near[place[a], place[b]] = near[place[b], place[a]] = True
+    assert (reach_all(near) == root).all()
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7), (None, 3), (500, 499), (499, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}

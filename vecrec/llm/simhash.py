@@ -30,8 +30,9 @@ from vecrec.llm.common import ascii_words, batched, cut_lineage, rows_of
 from vecrec.llm.components import components
 
 SEED = 42
-#: Rows of the sample the shared top of the tree is built from, fingerprints wanted in a leaf shard.
-SAMPLE_ROWS, LEAF_ROWS = 50_000, 4_000
+#: Least rows of the sample the shared top of the tree is built from, fingerprints wanted in a leaf shard, and rows of
+#: the sample for each leaf wanted: the sample grows with the input, 32 KB for a million fingerprints.
+SAMPLE_ROWS, LEAF_ROWS, LEAF_SAMPLE = 50_000, 4_000, 16
 #: Below this many residents a node is compared whole.
 BLOCK = 384
 
@@ -199,10 +200,11 @@ def search(x: np.ndarray, home: np.ndarray, reach: int, seed: int = 11) -> np.nd
 def linked_fingerprints(fps: DataFrame, reach: int, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Spanning links (a, b) of the distinct fingerprints in column ``fp`` that differ in at most ``reach`` bits."""
     total = fps.count()
+    sample_rows = max(sample_rows, LEAF_SAMPLE * (total // leaf_rows))
     share = min(1.0, sample_rows / max(1, total))
     drawn = fps.where(F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample_rows).toPandas()["fp"]
     sample = np.sort(drawn.to_numpy(np.int64)).view(np.uint64)
-    tree, leaves = build_tree(sample, min(max(1, total // leaf_rows), max(1, len(sample) // 16)))
+    tree, leaves = build_tree(sample, min(max(1, total // leaf_rows), max(1, len(sample) // LEAF_SAMPLE)))
     # the parts must lie in as many partitions as there are leaves, not in the few a small table is read in
     spread = fps.repartition(max(1, min(leaves, 4 * fps.sparkSession.sparkContext.defaultParallelism)))
 
