@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,20 @@ def test_name_tiers(spark):
     assert got == {"3": (2, "u2")}
 
 
+def test_containment_by_grams(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("ab한"), n))
+    wholes = [("G" if i % 2 else "H", i, word(int(rng.integers(1, 14)))) for i in range(60)] + [("G", 60, word(10_000)), ("H", 61, "c" * 10_000)]
+    parts = [("G" if i % 3 else "H", i, word(int(rng.integers(1, 7)))) for i in range(60)] + [("H", 60, "c" * 9_000), ("G", 61, wholes[60][2][4_000:5_000]), ("G", 62, "abz")]
+    shape = "group_name string, id long, text string"
+    frames = [spark.createDataFrame(rows, shape) for rows in (wholes, parts)]
+    got = sorted((r.whole, r.part) for r in registry.containing(*frames).collect())
+    assert got == sorted((w, p) for g, w, t in wholes for h, p, u in parts if g == h and u in t)
+    listed = frames[0].where("id = 60").select(F.explode(registry.grams("text", range(1, 4))))
+    assert listed.count() <= 3 + 9 + 27
+    assert registry.containing(frames[0].limit(0), frames[1]).count() == 0
+
+
 def test_preceding_link(spark):
     html = '<img src="u1"><h1>A</h1><img src="logo.png"><h1>B</h1><img src="u2"><h1>A</h1><h1>C</h1>'
     got = one(spark, html, lambda c: registry.preceding_links(c, "<h1>([^<]*)</h1>", 'src="([^"]*)"'))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from vecrec.functions import text
 from vecrec.session import cut_lineage
 
+#: Characters of the grams under which texts are listed for containment.
+GRAM = 3
+
 
 def preceding_links(html: Column, item_pattern: str, link_pattern: str, blocked: tuple[str, ...] = text.BLOCKED_SUBSTRINGS) -> Column:
     """``array<struct<item, url>>``: each first-seen item with the nearest earlier link that is not blocked.
@@ -65,29 +68,53 @@ def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
     offered = offered.where(F.col("key") != "").groupBy("group_name", "side", "key").agg(F.min("hit").alias("hit"))
     exact = asked.join(offered, ["group_name", "side", "key"]).groupBy("entity_id").agg(F.min(F.struct("tier", "hit")).alias("m"))
     exact = cut_lineage(exact)
-    # Substring tier as equi-joins: x contains y exactly when y is among the substrings of x. Names are
-    # short, so their substrings are few; groups of any size stay spread over their forms.
-    forms = names.where(F.col("form") != "").groupBy("group_name", "form").agg(F.min("hit").alias("hit"))
-    open_rows = rows.join(exact.select("entity_id"), "entity_id", "left_anti").where(F.col("target") != "").select("entity_id", "group_name", "target")
-    in_target = open_rows.select("entity_id", "group_name", F.explode(substrings("target")).alias("form")).join(forms, ["group_name", "form"])
-    targets = open_rows.select("group_name", "target").distinct()
-    in_form = (
-        forms.select("group_name", "hit", F.explode(substrings("form")).alias("target"))
-        .join(targets, ["group_name", "target"], "left_semi")
-        .groupBy("group_name", "target").agg(F.min("hit").alias("hit"))
-        .join(open_rows, ["group_name", "target"])
+    # Substring tier: both directions through the gram index. The ids are stored with their texts.
+    forms = cut_lineage(
+        names.where(F.col("form") != "").groupBy("group_name", "form").agg(F.min("hit").alias("hit")).withColumn("form_id", F.monotonically_increasing_id())
     )
-    loose = in_target.select("entity_id", "hit").unionByName(in_form.select("entity_id", "hit")).groupBy("entity_id").agg(F.min("hit").alias("hit"))
+    open_rows = cut_lineage(rows.join(exact.select("entity_id"), "entity_id", "left_anti").where(F.col("target") != "").select("entity_id", "group_name", "target"))
+    targets = cut_lineage(open_rows.select("group_name", "target").distinct().withColumn("target_id", F.monotonically_increasing_id()))
+    hits = forms.select("form_id", "hit")
+    t, f = targets.select("group_name", F.col("target_id").alias("id"), F.col("target").alias("text")), forms.select("group_name", F.col("form_id").alias("id"), F.col("form").alias("text"))
+    within = containing(t, f).select(F.col("whole").alias("target_id"), F.col("part").alias("form_id"))
+    around = containing(f, t).select(F.col("part").alias("target_id"), F.col("whole").alias("form_id"))
+    best = within.unionByName(around).join(hits, "form_id").groupBy("target_id").agg(F.min("hit").alias("hit"))
+    loose = open_rows.join(targets.join(best, "target_id").select("group_name", "target", "hit"), ["group_name", "target"]).select("entity_id", "hit")
     both = exact.unionByName(loose.select("entity_id", F.struct(F.lit(4).alias("tier"), "hit").alias("m")))
     return rows.join(both, "entity_id").select(
         *registry.columns, F.col("m.tier").alias("tier"), F.col("m.hit.name").alias("new_name"), F.col("m.hit.local").alias("new_local")
     )
 
 
-def substrings(column: str) -> Column:
-    return F.expr(
-        f"array_distinct(flatten(transform(sequence(1, length({column})), i -> transform(sequence(1, length({column}) - i + 1), n -> substring({column}, i, n)))))"
+def grams(column: str, sizes: range) -> Column:
+    """The distinct substrings of the given lengths, each length in one pass over the text."""
+    of = ", ".join(
+        f"if(length({column}) >= {q}, transform(sequence(1, length({column}) - {q - 1}), i -> substring({column}, i, {q})), cast(array() AS array<string>))" for q in sizes
+    )
+    return F.expr(f"array_distinct(concat({of}))")
+
+
+def containing(wholes: DataFrame, parts: DataFrame, key: str = "group_name", size: int = GRAM) -> DataFrame:
+    """``(whole, part)``: ids of all pairs of a key where the text of a whole contains that of a part.
+
+    Both inputs are ``(key, id, text)`` with texts that are not empty. Every whole is listed under its distinct
+    grams of up to ``size`` characters, so a text of L characters makes at most ``size`` x L rows. A part asks under
+    one gram only: the rarest of its own, or itself if it is shorter; a part with a gram that no whole has
+    is dropped before the join. What meets is verified on the texts.
+    """
+    listed = wholes.select(key, F.col("id").alias("whole"), F.explode(grams("text", range(1, size + 1))).alias("gram"))
+    own = F.when(F.length("text") < size, F.array("text")).otherwise(grams("text", range(size, size + 1)))
+    asked = parts.select(key, F.col("id").alias("part"), own.alias("own")).select(key, "part", F.size("own").alias("n"), F.explode("own").alias("gram"))
+    counts = listed.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("wholes"))
+    rare = (
+        asked.join(counts, [key, "gram"])
+        .groupBy(key, "part").agg(F.min(F.struct("wholes", "gram")).alias("rare"), F.count(F.lit(1)).alias("found"), F.max("n").alias("n"))
+        .where("found = n")
+        .select(key, "part", F.col("rare.gram").alias("gram"))
     )
+    met = rare.join(listed, [key, "gram"]).select("whole", "part")
+    text_of = lambda t, name: t.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    return met.join(text_of(wholes, "whole"), "whole").join(text_of(parts, "part"), "part").where(F.contains("whole_text", "part_text")).select("whole", "part")
 
 
 def prefixes(column: str) -> Column:
