@@ -1,5 +1,7 @@
 """Pair joins, greedy suppression, admission and graph clustering against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +240,44 @@ def test_label_propagation(spark):
     assert sorted(set(ids.values())) == [0, 1, 2]
 
 
+def walked_labels(nodes, edges, rounds):
+    """Label propagation by hand: every node of a half reads all its neighbours in every round."""
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {i: i for i, _ in nodes}
+    copies = dict(nodes)
+    for step in range(2 * rounds):
+        new = dict(label)
+        for i in label:
+            if ord(hashlib.md5(f"{i}:{step // 2}".encode()).hexdigest()[0]) % 2 != step % 2:
+                continue
+            votes = {}
+            for j, w in near.get(i, []):
+                votes[label[j]] = votes.get(label[j], 0.0) + w * copies[j]
+            if copies[i] > 1:
+                votes[label[i]] = votes.get(label[i], 0.0) + copies[i] - 1.0
+            if votes:
+                new[i] = min(votes, key=lambda v: (-round(votes[v], 9), v))
+        label = new
+    return label
+
+
+@pytest.mark.parametrize("sizes", [{}, {"frontier_links": 0}, {"frontier_links": 0, "broadcast_nodes": 60}])
+def test_label_propagation_by_frontier(spark, sizes):
+    rng = np.random.default_rng(5)
+    nodes = [(i, 3 if i % 11 == 0 else 1) for i in range(150)]
+    pairs_of = {tuple(sorted(p)) for p in rng.integers(0, 140, (420, 2)).tolist() if p[0] != p[1]}
+    edges = [(a, b, float(rng.integers(1, 4)) / 4) for a, b in sorted(pairs_of)]
+    cuts = [0.25, 0.5]
+    table = spark.createDataFrame([(c, *n) for c in cuts for n in nodes], "cut double, id long, copies long")
+    links = spark.createDataFrame([(c, *e) for c in cuts for e in edges if e[2] >= c], "cut double, src long, dst long, weight double")
+    got = {(r.cut, r.id): r.label for r in graph.propagate_labels(table, links, ["cut"], 4, **sizes).collect()}
+    want = {(c, i): v for c in cuts for i, v in walked_labels(nodes, [e for e in edges if e[2] >= c], 4).items()}
+    assert got == want
+
+
 def test_density_clusters_with_copies(cloud):
     u, nodes, members = cloud
     eps, k = 0.12, 3

@@ -59,7 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def cut_and_count(df: DataFrame, changed: Column) -> tuple[DataFrame, int]:
     """``cut_lineage`` that also counts rows where ``changed`` holds, in the same job."""
+    stored, (n,) = cut_and_sum(df, [changed])
+    return stored, n
+
+
+def cut_and_sum(df: DataFrame, sums: list[Column]) -> tuple[DataFrame, list[int]]:
+    """``cut_lineage`` that also sums integer (or boolean) columns, in the same job."""
     seen = Observation()
-    counted = df.observe(seen, F.coalesce(F.sum(changed.cast("long")), F.lit(0)).alias("n"))
+    counted = df.observe(seen, *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(sums)])
     stored = cut_lineage(counted)
-    return stored, int(seen.get["n"])
+    return stored, [int(seen.get[f"n{i}"]) for i in range(len(sums))]
