@@ -230,12 +230,31 @@ def test_long_items_are_found_under_edits():
 def test_short_items_and_scripts_without_spaces_are_found():
     items = [(1, "Forty-two!"), (2, "one two three four five six seven"), (3, "北京是中国的首都，也是全国的政治中心"), (4, "ประเทศไทย"), (5, "東京"), (6, "Paris"), (7, " ?! ")]
     texts = ["It is FORTY two.", "one two three four five six", "Zero one, two three four five six seven", "他说北京是中国的首都，亦是全国的政治中心。", "อยู่ในประเทศไทยวันนี้", "昨日東京で", "forty and two", "", "paris", None]
-    assert found_in(items, texts) == {(0, 1, 0), (2, 2, 0), (3, 3, 1), (4, 4, 0), (5, 5, 0), (8, 6, 0)}
-    assert found_in(items[:2], texts) == {(0, 1, 0), (2, 2, 0)}
+    assert found_in(items, texts) == {(0, 1, 0), (1, 2, 1), (2, 2, 0), (3, 3, 1), (4, 4, 0), (5, 5, 0), (8, 6, 0)}
+    assert found_in(items[:2], texts) == {(0, 1, 0), (1, 2, 1), (2, 2, 0)}
     long = " ".join(words(4000, 30))
     assert found_in([*items, (8, long)], [f"x {long} Paris"]) == {(0, 8, 0), (0, 6, 0)}
 
 
+def test_items_of_every_short_length_equal_brute_force():
+    """All pairs of texts and items by the least edits of any window: 5 to 7 words allow one edit like 8 do."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(rng.choice(list("abcdef"), n))
+    items = [(k, draw(1 + k % 7)) for k in range(70)] + [(70, "a a a a a"), (71, "b b b b b b"), (72, "a a a a a")]
+    texts = [draw(int(rng.integers(0, 30))) for _ in range(150)] + ["a a zz a a", "zz a a a a zz", "b b b b b", "a a a", "a a", "", "a a zz zz a a a", "x"]
+    want = set()
+    for t, text in enumerate(texts):
+        for key, item in items:
+            codes = {w: i for i, w in enumerate(sorted(set(item.split() + text.split())))}
+            at = lambda s, codes=codes: np.array([codes[w] for w in s.split()], np.int64)
+            edits = decontaminate.least_edits(at(item), at(text))[0]
+            if edits <= len(item.split()) // 5:
+                want.add((t, key, edits))
+    assert found_in(items, texts) == want and {e for *_, e in want} == {0, 1}
+    block = decontaminate.Items.of(items, least_words=5)
+    assert min(len(w) for w in block.words) == 5 and len(block.ids) == sum(len(i.split()) >= 5 for _, i in items)
+
+
 def test_least_edits_equals_brute_force():
     def plain(item, text):
         row = [0] * (len(text) + 1)

@@ -15,9 +15,13 @@ within ``edits`` word edits (a fifth of the item's words) of the whole item.
 4. Candidates are verified by the exact least edit distance of the item to any window around.
 
 Documents never leave their partition. Items are a stated query set: blocks of at most
-``BLOCK_CHARS`` characters go to the tasks, one pass per block. Items of under ``MIN_WORDS`` words
-allow no edits: they are looked up among the word windows of their length. Letters of scripts
-without spaces are words of their own.
+``BLOCK_CHARS`` characters go to the tasks, one pass per block. Letters of scripts without spaces are
+words of their own.
+
+Items of under ``MIN_WORDS`` words are too short for walks; their allowance is none below 5 words and
+one edit from there. They are looked up exactly: whole windows, windows without one inner word (a
+word replaced or put in) and windows a word short (a word left out) meet the item, or the
+item without that word, by hash, and are compared word by word.
 """
 
 from __future__ import annotations
@@ -105,11 +109,11 @@ class Items:
     short: list[tuple] = field(default_factory=list)
 
     @staticmethod
-    def of(rows: list[tuple]) -> Items:
+    def of(rows: list[tuple], least_words: int = 1) -> Items:
         block = Items()
         for key, text in rows:
             found = tokens(text)
-            if key is None or not found:
+            if key is None or len(found) < max(1, least_words):
                 continue
             block.ids.append(key)
             block.words.append(np.array([block.vocab.setdefault(w, len(block.vocab) + 1) for w in found], np.int64))
@@ -118,11 +122,17 @@ class Items:
         rng, lengths = np.random.default_rng(23), np.array([len(w) for w in block.words])
         for n in range(1, MIN_WORDS):
             members = np.flatnonzero(lengths == n)
-            if len(members):
-                held = np.stack([block.words[m] for m in members])
-                keys = sample_key(held.T.astype(np.uint64), np.arange(n), n)
+            if not len(members):
+                continue
+            whole = np.stack([block.words[m] for m in members])
+            pairs = np.unique(whole[:, :-1] * np.int64(1 << 31) + whole[:, 1:])
+            patterns = []
+            for width, places, kept, edits in short_patterns(n):
+                held = whole[:, kept]
+                keys = sample_key(held.T.astype(np.uint64), np.arange(len(kept)), n)
                 order = np.argsort(keys, kind="stable")
-                block.short.append((keys[order], held[order], members[order]))
+                patterns.append((width, places, keys[order], held[order], members[order], edits))
+            block.short.append((n, pairs, patterns))
         if lengths.max() < MIN_WORDS:
             return block
         block.pairs = np.unique(np.concatenate([pair_keys(w) for w in block.words if len(w) >= MIN_WORDS]))
@@ -156,18 +166,46 @@ def equal_ranges(keys: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.repeat(met, count), np.repeat(first[met], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def exact_matches(items: Items, ids: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text number, item number, 0) of every text that holds a short item word for word."""
-    known = np.flatnonzero(ids > 0)
-    for keys, held, members in items.short:
-        n = held.shape[1]
-        begin = known[known + n <= len(ids)]
-        drawn = sample_key(np.stack([ids[begin + j] for j in range(n)]).astype(np.uint64), np.arange(n), n)
-        where, at = equal_ranges(keys, drawn)
-        same = np.all([ids[begin[where] + j] == held[at, j] for j in range(n)], axis=0)
-        own = np.searchsorted(stops, begin[where[same]], side="right")
-        for text, item in np.unique(np.stack([own, members[at[same]]], axis=1), axis=0).tolist():
-            yield text, item, 0
+def short_patterns(n: int) -> list[tuple[int, list[int], list[int], int]]:
+    """(width of the window, its words that count, the item's words they equal, edits) for items of ``n`` words.
+
+    A word replaced or put in at either end needs no pattern of its own: the window without it has one.
+    """
+    every = list(range(n))
+    out = [(n, every, every, 0)]
+    if allowed(n) >= 1:
+        without = lambda k, size: [j for j in range(size) if j != k]
+        out += [(n, without(k, n), without(k, n), 1) for k in range(1, n - 1)]
+        out += [(n + 1, without(k, n + 1), every, 1) for k in range(1, n)]
+        out += [(n - 1, every[:-1], without(k, n), 1) for k in range(n)]
+    return out
+
+
+def short_matches(items: Items, ids: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text number, item number, edits) of every text that holds an item of under ``MIN_WORDS`` words."""
+    for n, pairs, patterns in items.short:
+        begins = np.flatnonzero(ids > 0)
+        if n > 1 + 2 * allowed(n):  # a window within the allowance keeps so many word pairs of the item
+            known = pair_keys(ids)
+            hits = np.zeros(len(ids) + 1, np.int64)
+            hits[1:-1] = np.cumsum(pairs[np.minimum(np.searchsorted(pairs, known), len(pairs) - 1)] == known)
+            hits[-1] = hits[-2]
+            last = np.minimum(begins + n + allowed(n) - 1, len(ids))
+            begins = begins[hits[last] - hits[begins] >= n - 1 - 2 * allowed(n)]
+        best: dict[tuple[int, int], int] = {}
+        for width, places, keys, held, members, edits in patterns:  # those without edits come first
+            begin = begins[begins + width <= len(ids)]
+            begin = begin[np.all([ids[begin + j] > 0 for j in places], axis=0)]
+            drawn = sample_key(np.stack([ids[begin + j] for j in places]).astype(np.uint64), np.arange(len(places)), n)
+            where, at = equal_ranges(keys, drawn)
+            same = np.all([ids[begin[where] + j] == held[at, i] for i, j in enumerate(places)], axis=0)
+            first, at = begin[where[same]], at[same]
+            own = np.searchsorted(stops, first, side="right")
+            inside = first + width < stops[own]  # a window does not reach into the next text
+            for text, item in np.unique(np.stack([own[inside], members[at[inside]]], axis=1), axis=0).tolist():
+                best.setdefault((text, item), edits)
+        for (text, item), edits in best.items():
+            yield text, item, edits
 
 
 def pair_keys(ids: np.ndarray) -> np.ndarray:
@@ -184,7 +222,7 @@ def search(items: Items, texts: list[list[str]]) -> Iterator[tuple[int, int, int
         ids[stop - 1 - n : stop - 1] = np.fromiter(map(get, text, repeat(0)), np.int64, n)
     if len(ids) < 2:
         return
-    yield from exact_matches(items, ids, stops)
+    yield from short_matches(items, ids, stops)
     if not items.classes:
         return
     both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -248,27 +286,29 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
         yield begin, held
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[Items]:
+def item_blocks(items: DataFrame, key: str, text: str, block_chars: int, least_words: int = 1) -> Iterator[Items]:
     """The items in blocks of about ``block_chars`` characters; one block at a time is on the driver."""
     rows = items.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == b) if n > 1 else rows
-        yield Items.of([tuple(r) for r in part.orderBy("key", "text").collect()])
+        yield Items.of([tuple(r) for r in part.orderBy("key", "text").collect()], least_words)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, least_words: int = 1) -> DataFrame:
     """One row (key, item key, edits, item_words) for each document row and item it holds.
 
     Null and wordless texts hold nothing; null or wordless item texts and null keys match nothing; repeated document
-    rows come out once each; an empty table on either side gives no rows. Document keys may be null.
+    rows come out once each; an empty table on either side gives no rows. Document keys may be null. Texts of any
+    length are searched whole. Of an item's windows the least edits count; items that tie all come out. Other columns,
+    whatever their names, are not read. Items of fewer than ``least_words`` words are not asked for.
     """
     kind, item_kind = (f.select(k).schema[0].dataType for f, k in ((docs, key), (items, item_key)))
     shape = f"{key} {kind.simpleString()}, {item_key} {item_kind.simpleString()}, edits bigint, item_words bigint"
     asked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     out = None
-    for block in item_blocks(items, item_key, item_text, block_chars):
+    for block in item_blocks(items, item_key, item_text, block_chars, least_words):
         found = asked.mapInArrow(lambda batches, block=block: _report(batches, block, key, item_key), shape)
         out = found if out is None else out.unionByName(found)
     return out
@@ -284,10 +324,10 @@ def _report(batches: Iterator[pa.RecordBatch], block: Items, key: str, item_key:
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(items), pa.array(edits, pa.int64()), pa.array(sizes, pa.int64())], names=[key, item_key, "edits", "item_words"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no item."""
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, least_words: int = 1) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold no item of ``least_words`` words or more."""
     position = docs.columns.index(text)
-    for k, block in enumerate(item_blocks(items, item_key, item_text, block_chars)):
+    for k, block in enumerate(item_blocks(items, item_key, item_text, block_chars, least_words)):
         if k:
             docs = cut_lineage(docs)
         docs = docs.mapInArrow(lambda batches, block=block: _clean(batches, block, position), docs.schema)
