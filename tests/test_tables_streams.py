@@ -105,6 +105,18 @@ def test_containment_by_grams(spark):
     assert registry.containing(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_name_tables_are_not_broadcast(spark):
+    """Stored name tables compress well: by file size Spark would take any of them for small and collect it on the driver."""
+    reg = spark.createDataFrame([(f"e{i}", f"g{i % 7}", f"name {i // 7}") for i in range(500)], "entity_id string, group_name string, entity_name string")
+    listed = spark.createDataFrame([(f"g{i % 7}", i, f"a name {i // 7}x", "") for i in range(500)], "group_name string, pos int, name string, local string")
+    matched = registry.match_names(reg, listed)
+    assert matched.where("tier = 4").count() > 300
+    texts = reg.selectExpr("group_name", "xxhash64(entity_id) AS id", "entity_name AS text")
+    for found in (matched, registry.containing(texts, texts)):
+        plan = found._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_preceding_link(spark):
     html = '<img src="u1"><h1>A</h1><img src="logo.png"><h1>B</h1><img src="u2"><h1>A</h1><h1>C</h1>'
     got = one(spark, html, lambda c: registry.preceding_links(c, "<h1>([^<]*)</h1>", 'src="([^"]*)"'))

@@ -48,7 +48,8 @@ def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
     ``registry(entity_id, group_name, entity_name)``, ``listed(group_name, pos, name, local)``.
 
     Tiers 1-3 are one equi-join on the form. Only rows they leave open reach the substring tier. Both inputs
-    are stored first, so pages behind the list are parsed once.
+    are stored first, so pages behind the list are parsed once. Joins are shuffled by hint: the stored tables are as long as the
+    pages' lists but compress well, and their file size would have Spark broadcast them through the driver.
     """
     last = lambda c: F.try_element_at(F.split(F.trim(c), r"\s+"), F.lit(-1))
     rows = cut_lineage(
@@ -66,26 +67,32 @@ def match_names(registry: DataFrame, listed: DataFrame) -> DataFrame:
     )
     offered = names.select("group_name", "hit", F.inline(F.expr("array(struct('whole' AS side, form AS key), struct('last' AS side, form_last AS key))")))
     offered = offered.where(F.col("key") != "").groupBy("group_name", "side", "key").agg(F.min("hit").alias("hit"))
-    exact = asked.join(offered, ["group_name", "side", "key"]).groupBy("entity_id").agg(F.min(F.struct("tier", "hit")).alias("m"))
+    exact = asked.join(_shuffled(offered), ["group_name", "side", "key"]).groupBy("entity_id").agg(F.min(F.struct("tier", "hit")).alias("m"))
     exact = cut_lineage(exact)
     # Substring tier: both directions through the gram index. The ids are stored with their texts.
     forms = cut_lineage(
         names.where(F.col("form") != "").groupBy("group_name", "form").agg(F.min("hit").alias("hit")).withColumn("form_id", F.monotonically_increasing_id())
     )
-    open_rows = cut_lineage(rows.join(exact.select("entity_id"), "entity_id", "left_anti").where(F.col("target") != "").select("entity_id", "group_name", "target"))
+    open_rows = cut_lineage(rows.join(_shuffled(exact.select("entity_id")), "entity_id", "left_anti").where(F.col("target") != "").select("entity_id", "group_name", "target"))
     targets = cut_lineage(open_rows.select("group_name", "target").distinct().withColumn("target_id", F.monotonically_increasing_id()))
     hits = forms.select("form_id", "hit")
     t, f = targets.select("group_name", F.col("target_id").alias("id"), F.col("target").alias("text")), forms.select("group_name", F.col("form_id").alias("id"), F.col("form").alias("text"))
     within = containing(t, f).select(F.col("whole").alias("target_id"), F.col("part").alias("form_id"))
     around = containing(f, t).select(F.col("part").alias("target_id"), F.col("whole").alias("form_id"))
-    best = within.unionByName(around).join(hits, "form_id").groupBy("target_id").agg(F.min("hit").alias("hit"))
-    loose = open_rows.join(targets.join(best, "target_id").select("group_name", "target", "hit"), ["group_name", "target"]).select("entity_id", "hit")
+    best = within.unionByName(around).join(_shuffled(hits), "form_id").groupBy("target_id").agg(F.min("hit").alias("hit"))
+    told = targets.join(_shuffled(best), "target_id").select("group_name", "target", "hit")
+    loose = open_rows.join(_shuffled(told), ["group_name", "target"]).select("entity_id", "hit")
     both = exact.unionByName(loose.select("entity_id", F.struct(F.lit(4).alias("tier"), "hit").alias("m")))
-    return rows.join(both, "entity_id").select(
+    return rows.join(_shuffled(both), "entity_id").select(
         *registry.columns, F.col("m.tier").alias("tier"), F.col("m.hit.name").alias("new_name"), F.col("m.hit.local").alias("new_local")
     )
 
 
+def _shuffled(table: DataFrame) -> DataFrame:
+    """``table`` for a join that is not to broadcast it, whatever its size is taken for."""
+    return table.hint("merge")
+
+
 def grams(column: str, sizes: range) -> Column:
     """The distinct substrings of the given lengths, each length in one pass over the text."""
     of = ", ".join(
@@ -107,14 +114,14 @@ def containing(wholes: DataFrame, parts: DataFrame, key: str = "group_name", siz
     asked = parts.select(key, F.col("id").alias("part"), own.alias("own")).select(key, "part", F.size("own").alias("n"), F.explode("own").alias("gram"))
     counts = listed.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("wholes"))
     rare = (
-        asked.join(counts, [key, "gram"])
+        asked.join(_shuffled(counts), [key, "gram"])
         .groupBy(key, "part").agg(F.min(F.struct("wholes", "gram")).alias("rare"), F.count(F.lit(1)).alias("found"), F.max("n").alias("n"))
         .where("found = n")
         .select(key, "part", F.col("rare.gram").alias("gram"))
     )
-    met = rare.join(listed, [key, "gram"]).select("whole", "part")
+    met = rare.join(_shuffled(listed), [key, "gram"]).select("whole", "part")
     text_of = lambda t, name: t.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
-    return met.join(text_of(wholes, "whole"), "whole").join(text_of(parts, "part"), "part").where(F.contains("whole_text", "part_text")).select("whole", "part")
+    return met.join(_shuffled(text_of(wholes, "whole")), "whole").join(_shuffled(text_of(parts, "part")), "part").where(F.contains("whole_text", "part_text")).select("whole", "part")
 
 
 def prefixes(column: str) -> Column:
