@@ -133,6 +133,27 @@ def test_near_duplicates_are_judged_by_exact_similarity(spark):
         assert {r.doc_id for r in simhash.drop_near_duplicates(docs, hot_rows=hot).collect()} == want
 
 
+def test_near_duplicates_are_proposed_by_fingerprints(spark, monkeypatch):
+    """Without the minimum hashes, what SimHash links is still found; the similarity decides about it."""
+    rows, want, similar = [(1000, " ".join(words(40_000, 100)))], {1000}, 0
+    for k in range(40):
+        a = " ".join(words(30_000 + k, 400))
+        b = edited(a, 0.004, k)
+        line = " ".join(words(31_000 + k, 13)) + " "
+        for j, pair in ((0, (a, b)), (2, tuple(line * 40 + " ".join(words(32_000 + 2 * k + i, 20)) for i in (0, 1)))):
+            s, t = map(shingle_set, pair)
+            if a == b or (plain_fingerprint(pair[0], 3) ^ plain_fingerprint(pair[1], 3)).bit_count() > 2:
+                continue
+            rows += [(4 * k + j, pair[0]), (4 * k + j + 1, pair[1])]
+            near = len(s & t) / len(s | t) >= 0.8
+            want |= {4 * k + j} if near else {4 * k + j, 4 * k + j + 1}
+            similar += near
+    assert similar >= 5 and len(want) > similar + 20
+    monkeypatch.setattr(simhash, "proposed_links", lambda classes, *_: classes.selectExpr("ident AS a", "ident AS b").limit(0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == want
+
+
 def brute_repeats(texts):
     count, data = defaultdict(int), [(t or "").encode() for t in texts]
     for d in data:

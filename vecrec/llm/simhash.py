@@ -223,6 +223,13 @@ def linked_fingerprints(fps: DataFrame, reach: int, sample_rows: int = SAMPLE_RO
     return placed.groupBy("leaf").applyInPandas(solve, "a bigint, b bigint")
 
 
+def fingerprint_roots(fps: DataFrame, reach: int) -> DataFrame:
+    """(fp, root): the component of every distinct fingerprint in ``fps`` under links at ``reach`` or fewer bits."""
+    links = cut_lineage(linked_fingerprints(fps, reach))
+    found = components(links, "a", "b").withColumnRenamed("node", "fp")
+    return fps.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, reach: int = 2) -> DataFrame:
     """One row per document: key, fp (signed 64-bit), component (the smallest key reachable by links, its own included).
 
@@ -232,20 +239,20 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     """
     marked = cut_lineage(fingerprints(docs, key, text, shingle))
     classes = cut_lineage(marked.groupBy("fp").agg(F.min(key).alias("low")))
-    links = cut_lineage(linked_fingerprints(classes.select("fp"), reach))
-    found = components(links, "a", "b")
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = classes.join(fingerprint_roots(classes.select("fp"), reach), "fp")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
     named = rooted.select("fp", "root").join(lows, "root").select("fp", "component")
     return marked.join(named, "fp").select(key, "fp", "component")
 
 
-# --- near duplicates by similarity: the radius is too wide for triangle bounds, and sketches only propose
+# --- near duplicates by similarity: fingerprints and sketches propose (the radius is too wide for triangle bounds alone)
 
 #: Bytes of a similarity sketch, and how far below the asked similarity it proposes (five standard errors at 0.8).
 SKETCH, MARGIN = 192, 0.15
 #: Minimum hashes that name the blocks a text is searched in: of pairs at 0.8, all but 0.2 ** 6 share one.
 BLOCKS = 6
+#: Words of a shingle of the pipeline's SimHash fingerprints, as of ``op5``.
+FP_SHINGLE = 3
 #: A block or cluster with more rows, or a cluster with more bytes of shingle hashes, is searched in pairs of parts of this size.
 HOT_ROWS, HOT_BYTES = 20_000, 64_000_000
 _MULTIPLIERS = np.random.default_rng(3).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -266,9 +273,10 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, row, ident, size, blocks, sketch): row and ident are hashes of the text and of its word sequence."""
+    """(key, row, ident, fp, size, blocks, sketch): row and ident are hashes of the text and of its word sequence, fp
+    is its SimHash fingerprint of ``FP_SHINGLE``-word shingles."""
     kind = docs.select(key).schema[0].dataType.simpleString()
-    arrow = pa.schema([("key", _arrow(kind)), ("row", pa.int64()), ("ident", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    arrow = pa.schema([("key", _arrow(kind)), ("row", pa.int64()), ("ident", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("blocks", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def measure(t: str | None) -> tuple:
         words = ascii_words(t)
@@ -276,13 +284,14 @@ def sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
         low = _mixed(min_hashes(hashes))
         ident = xxhash.xxh64_intdigest(b" ".join(words), SEED)
         blocks = _mixed(low[:BLOCKS] + np.arange(BLOCKS, dtype=np.uint64)).view(np.int64).tolist() if words else []
-        return np.uint64(ident).view(np.int64).item(), len(hashes), blocks, (low & np.uint64(255)).astype(np.uint8).tobytes()
+        fp = fingerprint(shingle_hashes(words, FP_SHINGLE))
+        return np.uint64(ident).view(np.int64).item(), fp, len(hashes), blocks, (low & np.uint64(255)).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(((k, r, *measure(t)) for k, r, t in rows_of(batches, "key", "row", "text")), arrow, 2048)
 
     asked = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("row"), docs[text].alias("text"))
-    return asked.mapInArrow(run, f"key {kind}, row bigint, ident bigint, size bigint, blocks array<bigint>, sketch binary")
+    return asked.mapInArrow(run, f"key {kind}, row bigint, ident bigint, fp bigint, size bigint, blocks array<bigint>, sketch binary")
 
 
 def agreeing(sketch: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -408,20 +417,30 @@ def exact_links(docs: DataFrame, members: DataFrame, key: str, text: str, shingl
     return _in_cells(read.mapInArrow(shingled, "ident bigint, cluster bigint, parts int, sketch binary, hashes binary"), "cluster", ["ident", "sketch", "hashes"], solve)
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fingerprint_links(classes: DataFrame, reach: int) -> DataFrame:
+    """Spanning links (a, b) of the classes (ident, fp) whose fingerprints are connected at ``reach`` or fewer bits."""
+    roots = cut_lineage(fingerprint_roots(cut_lineage(classes.select("fp").distinct()), reach))
+    rooted = classes.select("ident", "fp").join(roots, "fp")
+    lows = rooted.groupBy("root").agg(F.min("ident").alias("b"))
+    return rooted.join(lows, "root").where("ident <> b").select(F.col("ident").alias("a"), "b")
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot_rows: int = HOT_ROWS, reach: int = 2) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but one of each group of near duplicates.
 
     Texts with equal word sequences are one class. Two classes are linked if the Jaccard index of their
-    sets of word shingles is ``similarity`` or more; a group is what links connect. ``SKETCH`` one-byte
-    minimum hashes only propose: what they connect at ``similarity`` less ``MARGIN`` is a cluster, and
+    sets of word shingles is ``similarity`` or more; a group is what links connect. SimHash fingerprints that
+    :func:`simhash_groups` would link propose, and so do ``SKETCH`` one-byte minimum hashes, as such texts may
+    differ in more bits: what both connect (the latter at ``similarity`` less ``MARGIN``) is a cluster, and
     within a cluster the index is computed from the sets. The row with the smallest key stays, a null key
     being the largest, and of repeated rows one. Texts without a word are copies of each other.
     """
     measured = cut_lineage(sketches(docs, key, text, shingle))
     first = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
-    classes = cut_lineage(measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")))
-    clusters = components(cut_lineage(proposed_links(classes, similarity, hot_rows)), "a", "b").select(F.col("node").alias("ident"), F.col("root").alias("cluster"))
-    members = cut_lineage(classes.drop("blocks").join(clusters, "ident"))
+    classes = cut_lineage(measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")))
+    proposed = fingerprint_links(classes, reach).unionByName(proposed_links(classes, similarity, hot_rows))
+    clusters = components(cut_lineage(proposed), "a", "b").select(F.col("node").alias("ident"), F.col("root").alias("cluster"))
+    members = cut_lineage(classes.drop("blocks", "fp").join(clusters, "ident"))
     links = cut_lineage(exact_links(docs, members, key, text, shingle, similarity, hot_rows))
     found = components(links, "a", "b").withColumnRenamed("node", "ident")
     rooted = classes.select("ident", "first").join(found, "ident", "left").withColumn("root", F.coalesce("root", "ident"))
