@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,24 @@ def test_nearest_sends_few_rows_on_clustered_data(spark):
     assert held <= 4 * 30
 
 
+def test_a_dense_block_gives_its_pairs_in_slices(spark, monkeypatch):
+    """Every pair of a block is near: no frame holds more than a slice of them, on either path."""
+    x = np.array([1.0, 0.0, 0.0]) + np.random.default_rng(2).normal(scale=0.05, size=(600, 3))
+    frame = pd.DataFrame({"id": np.arange(600), "v": list(x / np.linalg.norm(x, axis=1, keepdims=True)), "home": 0, "block": 0})
+    nodes = spark.createDataFrame([(i, [float(v) for v in frame["v"][i]]) for i in range(30)], "id long, v array<double>")
+    seen = []
+    index = CellIndex(nodes, 3, 8)
+    monkeypatch.setattr(pairs, "SLICE", 10_000)
+    monkeypatch.setattr(pairs, "self_block_apply", lambda rows, fn, *_, **__: seen.append(lambda a, b: fn(a, b, True)))
+    monkeypatch.setattr(CellIndex, "meet", lambda self, sent, fn, *_, **__: seen.append(fn))
+    pairs.similar_pairs(nodes, "v", 3, 0.5)
+    pairs.similar_pairs(nodes, "v", 3, 0.5, index=index)
+    for fn in seen:
+        sizes = [len(f) for f in fn(frame, frame)]
+        assert sum(sizes) == 600 * 599 // 2 and max(sizes) <= 10_000
+    assert len(seen) == 2
+
+
 def test_index_of_nothing_and_of_one_row(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert pairs.nearest(empty, "v", 3, 2, index=CellIndex(empty, 3)).count() == 0
