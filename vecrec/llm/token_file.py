@@ -48,7 +48,8 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """One block of 1 to 65,535 ids below 2 ** 32."""
     low = int(ids.min())
     rest = ids.astype(np.uint64) - np.uint64(low)
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+    at = -(-percentile * (len(rest) - 1) // 100)
+    width = int(np.partition(rest, at)[at]).bit_length()
     odd = np.flatnonzero(rest >> np.uint64(width)) if width < 32 else np.zeros(0, np.int64)
     head = np.array([width, len(ids), len(odd)], "<u2").tobytes()
     octets = rest.astype("<u4").view(np.uint8).reshape(-1, 4)
