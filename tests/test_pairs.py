@@ -383,6 +383,34 @@ def test_linkage_of_many_segments_at_once(spark):
     assert got == want
 
 
+def test_nearest_groups_within_single_precision(spark):
+    """Products of near copies differ by less than single precision holds; several tiles, and few pairs to a task."""
+    rng = np.random.default_rng(38)
+    x = rng.normal(size=(130, 4))[np.arange(2600) % 130] + rng.normal(size=(2600, 4)) * 1e-4
+    x[7] = x[2599]
+    n = 1.0 + np.arange(2600) % 3
+    s = x / np.linalg.norm(x, axis=1, keepdims=True) * n[:, None]
+    groups = spark.createDataFrame([(0, i, float(n[i]), [float(v) for v in s[i]]) for i in range(2600)], "seg long, id long, n double, s array<double>").coalesce(1)
+    d = np.round(1.0 - (s @ s.T) / np.outer(n, n), 12)
+    np.fill_diagonal(d, np.inf)
+    for sizes in ({"task_pairs": 1_000_000}, {"broadcast_bytes": 1, "left_rows": 1300, "right_rows": 1300}):
+        got = {r.id: r for r in cluster.nearest_groups(groups, groups, 4, **sizes).collect()}
+        for i in range(2600):
+            near = {min(i, j) + max(i, j) - i for j in np.flatnonzero(d[i] <= d[i].min() + 2e-12)}
+            r = got[i]
+            assert abs(r.d - d[i].min()) <= 2e-12 and i in (r.lo, r.hi) and r.lo + r.hi - i in near
+        assert (got[7].lo, got[7].hi) == (got[2599].lo, got[2599].hi) == (7, 2599)
+
+
+def test_block_pairs_are_dealt_out(spark):
+    """One file of rows, or few shuffle partitions, do not make one long task of all pairs."""
+    df = spark.range(2000).coalesce(1)
+    count = lambda a, b: pd.DataFrame({"n": [len(a) * len(b)]})
+    for sizes, tasks in (({}, 40), ({"broadcast_bytes": 1, "left_rows": 400, "right_rows": 500}, 20)):
+        met = blocks.block_apply(df, df, count, "n long", "id", "id", 8, task_pairs=100_000, **sizes)
+        assert met.rdd.getNumPartitions() == tasks and met.agg(F.sum("n")).first()[0] == 2000 * 2000
+
+
 def test_silhouettes(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 20, axis=0)
