@@ -117,6 +117,19 @@ def test_name_tables_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_name_changes_broadcast_nothing(spark, tmp_path):
+    """Neither the registry diff nor its group-name swap sends a table of pages or names through the driver."""
+    from vecrec.catalog import registered
+
+    html = "".join(f'<a href="/u{i}">Name {i}</a>' for i in range(3))
+    spark.createDataFrame([(i, f"http://h/en/{i}", html) for i in range(30)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("j13_registry_diff", "j13_group_swap"):
+        found = registered()[0][name](spark, str(tmp_path))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
 def test_preceding_link(spark):
     html = '<img src="u1"><h1>A</h1><img src="logo.png"><h1>B</h1><img src="u2"><h1>A</h1><h1>C</h1>'
     got = one(spark, html, lambda c: registry.preceding_links(c, "<h1>([^<]*)</h1>", 'src="([^"]*)"'))

@@ -370,7 +370,7 @@ def _(spark, sf):
     from vecrec.catalog.texts import GROUP_INTRO
 
     groups = t(spark, sf, "pages").select(F.concat(F.lit("g"), "page_id").alias("group_name"), text.group_local(F.expr(GROUP_INTRO)).alias("group_local"))
-    matched = reg.match_names(*people(spark, sf)).join(groups, "group_name", "left")
+    matched = reg.match_names(*people(spark, sf)).join(groups.hint("merge"), "group_name", "left")  # a row per page: not to be broadcast
     return reg.name_changes(matched.withColumn("search_hint", F.expr(GROUP_HINT)))
 
 
