@@ -103,6 +103,21 @@ def test_words_with_special_tokens_are_encoded_as_in_the_text():
     assert [x.tolist() for x in own(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_remembered_words_are_looked_up():
+    """The memo is asked for the words of a text and never walked through; words of the older half move over."""
+
+    class Memo(dict):
+        def keys(self):
+            raise AssertionError("walks through the memo")
+
+    own = token_file.Encoder(token_file.default_tokenizer())
+    want = [x.tolist() for x in own(["one two three", "two four"])]
+    assert set(own.recent) == {"one", "two", "three", "four"}
+    own.recent, own.older = Memo({w: own.recent[w] for w in ("one", "two")}), Memo({w: own.recent[w] for w in ("three",)})
+    assert [x.tolist() for x in own(["one two three", "two four"])] == want
+    assert set(own.recent) == {"one", "two", "three", "four"}
+
+
 def test_mixture_meets_its_limits(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(k, " ".join(words(k, 5 + k % 7)), "abcde"[min(4, int(math.log2(k % 31 + 1)))]) for k in range(3000)], "doc_id bigint, text string, source string")
     size = {r.doc_id: (r.source, len(r.text.split())) for r in docs.collect()}

@@ -37,6 +37,8 @@ BLOCK, PERCENTILE, MARK = 8192, 95, b"PFORIDS1"
 END_ID = 1
 #: Words a Python worker remembers the ids of, twice over at most.
 MEMO_WORDS = 800_000
+#: New words that the library encodes as one text.
+JOINED = 2000
 #: Characters that str.split takes for white space but the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -168,12 +170,12 @@ class Encoder:
         """Ids of each word."""
         plain = [w for w in words if self.between is None or self.between in w]
         alone = dict(zip(plain, (i.tobytes() for i in self._encode(plain)), strict=True))
-        for k in range(0, len(words), 500):
-            part = [w for w in words[k : k + 500] if w not in alone]
+        for k in range(0, len(words), JOINED):
+            part = [w for w in words[k : k + JOINED] if w not in alone]
             ids = self._encode([self.between.join(part)])[0] if part else np.zeros(0, "<u4")
             data, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * 4).tolist()
             cut = iter(zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True))
-            for w in words[k : k + 500]:
+            for w in words[k : k + JOINED]:
                 if w in alone:
                     yield alone[w]
                 else:
@@ -184,10 +186,12 @@ class Encoder:
         """The memo with all of ``wanted``; words not asked for lately leave when it is full."""
         if len(self.recent) > MEMO_WORDS:
             self.recent, self.older = {}, self.recent
-        missing = wanted - self.recent.keys()
-        for w in missing & self.older.keys():
+        # set.difference of a dict looks up the words wanted; ``-`` of its keys would walk through the whole memo
+        missing = wanted.difference(self.recent)
+        new = missing.difference(self.older)
+        for w in missing.difference(new):
             self.recent[w] = self.older[w]
-        new = list(missing - self.older.keys())
+        new = list(new)
         self.recent.update(zip(new, self._words(new), strict=True))
         return self.recent
 
