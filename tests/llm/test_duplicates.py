@@ -10,6 +10,7 @@ from tests.llm.conftest import prose, words
 
 from vecrec.llm import decontaminate, line_dedup, simhash, suffix_dedup
 from vecrec.llm.components import components
+from vecrec.session import cut_lineage, fewer_files
 
 
 def reach_all(near):
@@ -89,6 +90,22 @@ def edited(text, share, seed):
     return " ".join(found)
 
 
+def test_rounds_on_few_links_write_few_files(spark):
+    put = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        links = cut_lineage(spark.range(2000).selectExpr("id as a", "id - id % 4 as b"))
+        found = components(links, "a", "b")
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {(r.node, r.root) for r in found.collect()} == {(k, k - k % 4) for k in range(2000)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert fewer_files(spark.range(0, 1000, 1, 64), 60_000_000).rdd.getNumPartitions() == 64
+
+
 def test_near_duplicates_leave_one_of_each_group(spark, odd_docs, no_docs):
     rows = []
     for k in range(40):

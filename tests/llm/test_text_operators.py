@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -143,3 +144,15 @@ def test_mixture_meets_its_limits(spark, odd_docs, no_docs):
     assert odd.columns == odd_docs.columns
     assert {(r.doc_id, r.text) for r in odd.collect()} == {(r.doc_id, r.text) for r in odd_docs.collect()}
     assert mixing.mix(no_docs).count() == 0
+
+
+def test_an_idle_worker_forgets_its_words(monkeypatch):
+    monkeypatch.setattr(token_file, "IDLE_S", 0.2)
+    path = token_file.default_tokenizer()
+    encode = token_file.worker_encoder(path)
+    token_file.forget_later()
+    assert token_file.worker_encoder(path) is encode
+    time.sleep(1)
+    assert token_file.worker_encoder.cache_info().currsize == 0
+    # one that a task still holds goes on
+    assert encode(["again"])[0].tolist() == token_file.worker_encoder(path)(["again"])[0].tolist()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecrec.session import cut_lineage
+from vecrec.session import cut_lineage, fewer_files
 
 #: White space of the word rule: a word is a maximal run of other characters.
 SPACE = "\\x20\\x09-\\x0D"
@@ -51,4 +51,4 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-__all__ = ["LOWER_AZ", "SPACE", "ascii_words", "batched", "cut_lineage", "rows_of", "table", "words"]
+__all__ = ["LOWER_AZ", "SPACE", "ascii_words", "batched", "cut_lineage", "fewer_files", "rows_of", "table", "words"]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecrec.llm.common import ascii_words, batched, cut_lineage, rows_of
+from vecrec.llm.common import ascii_words, batched, cut_lineage, fewer_files, rows_of
 from vecrec.llm.components import components
 
 SEED = 42
@@ -382,7 +382,7 @@ def proposed_links(classes: DataFrame, similarity: float, hot_rows: int = HOT_RO
     Classes that share a minimum hash meet in its block. Blocks that one class alone names never reach Python.
     """
     asked = classes.select(F.explode("blocks").alias("block"), "ident", "sketch")
-    sizes = cut_lineage(asked.groupBy("block").count().where("count > 1"))
+    sizes = cut_lineage(fewer_files(asked.groupBy("block").count().where("count > 1"), BLOCKS * classes.count() // 2))
     met = asked.join(sizes.select("block", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts")), "block")
     least = sketch_bound(similarity)
     return _in_cells(met, "block", ["ident", "sketch"], lambda group: [(group[p][0], group[q][0]) for p, q in linked(_table_of(group), least)])
@@ -419,7 +419,9 @@ def exact_links(docs: DataFrame, members: DataFrame, key: str, text: str, shingl
 
 def fingerprint_links(classes: DataFrame, reach: int) -> DataFrame:
     """Spanning links (a, b) of the classes (ident, fp) whose fingerprints are connected at ``reach`` or fewer bits."""
-    roots = cut_lineage(fingerprint_roots(cut_lineage(classes.select("fp").distinct()), reach))
+    most = classes.count()
+    fps = cut_lineage(fewer_files(classes.select("fp").distinct(), most))
+    roots = cut_lineage(fewer_files(fingerprint_roots(fps, reach), most))
     rooted = classes.select("ident", "fp").join(roots, "fp")
     lows = rooted.groupBy("root").agg(F.min("ident").alias("b"))
     return rooted.join(lows, "root").where("ident <> b").select(F.col("ident").alias("a"), "b")
@@ -437,14 +439,17 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     measured = cut_lineage(sketches(docs, key, text, shingle))
     first = F.struct(F.col("key").isNull().alias("no_key"), "key", "row")
-    classes = cut_lineage(measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")))
+    classes = measured.groupBy("ident").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch"))
+    classes = cut_lineage(fewer_files(classes, measured.count()))
+    most = classes.count()
     proposed = fingerprint_links(classes, reach).unionByName(proposed_links(classes, similarity, hot_rows))
     clusters = components(cut_lineage(proposed), "a", "b").select(F.col("node").alias("ident"), F.col("root").alias("cluster"))
-    members = cut_lineage(classes.drop("blocks", "fp").join(clusters, "ident"))
+    members = cut_lineage(fewer_files(classes.drop("blocks", "fp").join(clusters, "ident"), most))
     links = cut_lineage(exact_links(docs, members, key, text, shingle, similarity, hot_rows))
     found = components(links, "a", "b").withColumnRenamed("node", "ident")
     rooted = classes.select("ident", "first").join(found, "ident", "left").withColumn("root", F.coalesce("root", "ident"))
-    kept = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"), F.col("first.row").alias("__row")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"), F.col("first.row").alias("__row"))
+    kept = cut_lineage(fewer_files(kept, most))
     marked = docs.withColumn("__row", F.xxhash64(docs[text]))
     same = marked[key].eqNullSafe(kept["__key"]) & (marked["__row"] == kept["__row"])
     return marked.join(kept, same, "left_semi").dropDuplicates([key, "__row"]).drop("__row")
