@@ -217,11 +217,16 @@ def worker_encoder(tokenizer: str) -> Encoder:
 _forgetting: threading.Timer | None = None
 
 
-def forget_later() -> None:
-    """Lets this worker's encoder go ``IDLE_S`` after the last call. A task at work keeps its own."""
-    global _forgetting
+def keep_words() -> None:
+    """A task begins: what this worker remembers stays."""
     if _forgetting is not None:
         _forgetting.cancel()
+
+
+def forget_later() -> None:
+    """A task has ended: unless another begins within ``IDLE_S``, this worker's encoder goes."""
+    global _forgetting
+    keep_words()
     _forgetting = threading.Timer(IDLE_S, worker_encoder.cache_clear)
     _forgetting.daemon = True
     _forgetting.start()
@@ -262,6 +267,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, key: str = "doc_id", text
         first = next(rows, None)
         if first is None:
             return
+        keep_words()
         encode = worker_encoder(tokenizer)
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root)
