@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vecrec.operators import blocks, cluster, dedupe, graph, pairs
+from vecrec import session
+from vecrec.operators import blocks, cells, cluster, dedupe, graph, pairs
 from vecrec.operators.cells import CellIndex
 
 GRID = dict(broadcast_bytes=1, block_rows=17)
@@ -455,3 +456,59 @@ def test_block_grid_covers_every_pair_once(spark):
         got = [(r.x, r.y) for r in blocks.self_block_apply(df, pair, "x long, y long", "id", 8, broadcast_bytes=1, block_rows=rows).collect()]
         assert len(got) == len(set(got)) == 53 * 52 // 2
     assert F is not None
+
+
+@pytest.mark.parametrize("grid_rows", [7, 20, 100])
+def test_scattered_vectors_meet_in_whole_blocks(cloud, monkeypatch, grid_rows):
+    """Where cells rule out too little nothing is sent to them: rows go once to each large block, and all is found."""
+    u, nodes, _ = cloud
+    monkeypatch.setattr(cells, "SEND_BYTES", 0)
+    monkeypatch.setattr(cells, "SPARED", 0.0)
+    monkeypatch.setattr(CellIndex, "send", lambda *_, **__: pytest.fail("sent to cells"))
+    ids = sorted(r.id for r in nodes.collect())
+    want = {(a, b) for a in ids for b in ids if a < b and u[a] @ u[b] >= 0.6}
+    found = pairs.similar_pairs(nodes, "v", 5, 0.6, **GRID, grid_rows=grid_rows)
+    got = [(r.src, r.dst) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    small = {(r.src, r.dst, r["rank"]) for r in pairs.nearest(nodes, "v", 5, 4).collect()}
+    grid = {(r.src, r.dst, r["rank"]) for r in pairs.nearest(nodes, "v", 5, 4, broadcast_bytes=1, right_rows=11, grid_rows=grid_rows).collect()}
+    assert small == grid
+
+
+def test_block_best_of_near_copies():
+    """Weights that single precision cannot tell apart, more of them than are asked for."""
+    rng = np.random.default_rng(3)
+    x = np.array([1.0, 0, 0, 0]) + rng.normal(scale=1e-6, size=(6000, 4))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = pd.DataFrame({"id": rng.permutation(6000), "v": list(u)})
+    got = pairs.closest_in_block(frame.iloc[:40], frame, 3, np.full(40, -2.0))
+    s = np.einsum("ij,kj->ik", u[:40], u)
+    s[np.arange(40), np.arange(40)] = -np.inf
+    best = got.groupby("src")["weight"].apply(lambda w: np.sort(w)[::-1])
+    for i in range(40):
+        np.testing.assert_allclose(best[frame["id"][i]], np.sort(s[i])[::-1][:3], atol=1e-15)
+    assert not (got["src"] == got["dst"]).any() and len(got) == 120
+
+
+def test_links_are_made_once(spark):
+    """Both directions come from one run of the plan of the edges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.25)], "src long, dst long, weight double").mapInPandas(count, "src long, dst long, weight double")
+    assert sorted(map(tuple, graph.both_ways(edges, []).collect())) == [(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.25), (3, 2, 0.25)]
+    assert seen.value == 2
+
+
+def test_shuffle_files_go_with_their_round(spark):
+    """A stored round leaves no shuffle behind, and keeps the setting as it was."""
+    was = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = tracker.size()
+    stored = session.cut_lineage(spark.range(1000).repartition(4, "id"))
+    assert tracker.size() <= before and spark.conf.get(session.SHUFFLE_CLEANUP, None) == was
+    assert stored.count() == 1000
