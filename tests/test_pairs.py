@@ -512,3 +512,35 @@ def test_shuffle_files_go_with_their_round(spark):
     stored = session.cut_lineage(spark.range(1000).repartition(4, "id"))
     assert tracker.size() <= before and spark.conf.get(session.SHUFFLE_CLEANUP, None) == was
     assert stored.count() == 1000
+
+
+def test_density_stores_only_pairs_that_join_components(spark, monkeypatch):
+    """A ball whose rows are all near to each other gives fewer pairs than rows and bounds, with the same components."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 4))
+    x[100:] = np.array([2.0, 0, 0, 0]) + rng.normal(scale=0.05, size=(200, 4))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, 1, [float(v) for v in u[i]]) for i in range(300)], "id long, copies long, v array<double>")
+    made, eps = [], [0.01, 0.05, 0.1]
+    search = graph.similar_pairs
+    monkeypatch.setattr(graph, "similar_pairs", lambda *a, **b: made.append(search(*a, **b)) or made[-1])
+    monkeypatch.setattr(cells, "SEND_BYTES", 0)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    core = np.sort(np.maximum(d, 0), axis=1)[:, 1]
+    for spared, sizes in ((1.0, {}), (1.0, {"broadcast_bytes": 1, "block_rows": 40}), (0.0, {"broadcast_bytes": 1, "block_rows": 40, "grid_rows": 160})):
+        monkeypatch.setattr(cells, "SPARED", spared)
+        got = {(r.eps, r.id): r.label for r in graph.density_labels(nodes, "v", 4, eps, 2, **sizes).collect()}
+        if "block_rows" not in sizes or "grid_rows" in sizes:
+            assert made[-1].count() < 6 * 300 * len(eps)
+        for e in eps:
+            near = np.maximum(np.maximum(core[:, None], core[None, :]), d) <= e
+            assert near.sum() > 2 * 6 * 300 * len(eps)
+            label = np.arange(300)
+            for _ in range(300):
+                new = np.where(near, label[None, :], 300).min(axis=1)
+                new = np.minimum(label, new)
+                if (new == label).all():
+                    break
+                label = new
+            assert [got[e, i] for i in range(300)] == label.tolist()
